@@ -1,0 +1,24 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded count proves it small; otherwise the
+join is left to the planner (sort-merge or shuffle-hash, with AQE free to
+switch to a broadcast later from runtime statistics).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed default: rows a broadcast side may hold.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if its row count is proven ``<= max_rows``, else ``df``."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
