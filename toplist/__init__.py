@@ -17,7 +17,13 @@ from toplist.constants import (
 from toplist.functions.normalize import normalize_column, normalize_text
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits
 from toplist.operators.calendar import calendar_batch, ones_calendar
-from toplist.operators.index import build_search_index, index_entries, read_index, write_index
+from toplist.operators.index import (
+    build_index,
+    build_search_index,
+    index_entries,
+    read_index,
+    write_index,
+)
 from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart
 from toplist.sources.catalog import (
     generate_frictionless_packages,
@@ -33,6 +39,7 @@ __all__ = [
     "anniversary_batch",
     "anniversary_hits",
     "best_rank_in_year",
+    "build_index",
     "build_search_index",
     "calendar_batch",
     "generate_frictionless_packages",

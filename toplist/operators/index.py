@@ -44,6 +44,19 @@ def index_entries(entries: DataFrame) -> DataFrame:
 _CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week"]
 
 
+def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Normalise chart entries and write them as the index (see :func:`write_index`).
+
+    The range shuffle is placed *before* the normalisation, so the sampling
+    pass of the range partitioner only re-runs the cheap upstream stage and
+    the names are normalised once, after the shuffle.
+    """
+    clustered = entries.repartitionByRange(
+        "provider", F.year("date"), "chart", "date", "this_week"
+    )
+    _write(index_entries(clustered), path, mode)
+
+
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write index rows as Parquet partitioned by provider and year.
 
@@ -55,9 +68,12 @@ def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     Inside a file rows are ordered by chart and date for row-group pruning.
     ``mode="overwrite"`` with dynamic partition overwrite enabled replaces only the (provider, year) directories present in ``index``.
     """
+    _write(index.select(*INDEX_COLUMNS).repartitionByRange(*_CLUSTER_COLUMNS), path, mode)
+
+
+def _write(index: DataFrame, path: str, mode: str) -> None:
     (
         index.select(*INDEX_COLUMNS)
-        .repartitionByRange(*_CLUSTER_COLUMNS)
         .sortWithinPartitions(*_CLUSTER_COLUMNS)
         .write.mode(mode)
         .partitionBy(*INDEX_PARTITION_COLUMNS)
@@ -74,4 +90,4 @@ def build_search_index(spark: SparkSession, data_root: str, path: str) -> None:
     """Build the index from a provider tree of metadata + annual CSV files."""
     from toplist.sources.csv_tree import read_chart_entries
 
-    write_index(index_entries(read_chart_entries(spark, data_root)), path)
+    build_index(read_chart_entries(spark, data_root), path)

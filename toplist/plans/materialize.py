@@ -1,0 +1,21 @@
+"""Cut a plan's lineage into the cluster's shared checkpoint folder.
+
+Used where a derived table is read by a predicate that references an
+expensive derived column many times: on a lazy plan Catalyst substitutes the
+column's whole expression into every reference (filter push-down through the
+projection), while on a checkpointed table it is a plain stored column.
+Reliable checkpoints live in ``spark.checkpoint.dir`` (shared storage on a
+cluster), so they survive executor loss.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from toplist.session import ensure_checkpoint_dir
+
+
+def checkpoint_table(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint of ``df`` (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -26,18 +26,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's checkpoint folder for intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only when unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        try:
+            base = spark.conf.get("spark.checkpoint.dir")
+        except Exception:
+            base = None
     if not base:
         base = tempfile.mkdtemp(prefix="toplist-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the cluster's checkpoint folder for intermediate tables."""
+    base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
