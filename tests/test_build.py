@@ -1,0 +1,144 @@
+"""Metadata + CSV tree -> catalog tables, descriptors and the index (round trip)."""
+
+import json
+from datetime import date
+
+import pytest
+from conftest import write_tree
+
+from toplist.operators.index import build_search_index, read_index
+from toplist.operators.lookup import search_hits, show_chart
+from toplist.schema import INDEX_COLUMNS
+from toplist.sources.catalog import (
+    field_schema,
+    generate_frictionless_packages,
+    list_charts,
+    master_catalog,
+    package_descriptors,
+)
+from toplist.sources.csv_tree import read_chart_entries
+from toplist.session import scratch_dir
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    return str(write_tree(tmp_path_factory.mktemp("data")))
+
+
+def test_list_charts(spark, tree):
+    rows = [r.asDict() for r in list_charts(spark, tree).collect()]
+    assert rows == [
+        {"provider": "radio", "name": "radio-empty", "title": "Radio Empty", "frequency": "fortnightly",
+         "start_date": "1995-01-01", "end_date": None},
+        {"provider": "radio", "name": "radio-latin", "title": "Radio Latin", "frequency": "monthly",
+         "start_date": "1990-01-01", "end_date": "1990-12-01"},
+        {"provider": "radio", "name": "radio-top40", "title": "Radio Top 40", "frequency": "weekly",
+         "start_date": "1989-01-07", "end_date": None},
+    ]
+
+
+def test_field_schema(spark, tree):
+    got = {
+        (r["chart"], r["position"]): (r["name"], r["type"])
+        for r in field_schema(spark, tree).collect()
+    }
+    assert got[("radio-top40", 1)] == ("this_week", "integer")
+    assert got[("radio-latin", 4)] == ("composer", "string")
+    assert got[("radio-latin", 5)] == ("weeks_on_chart", "integer")
+    assert got[("radio-top40", 0)] == ("date", "date")
+
+
+def test_package_descriptor(spark, tree):
+    rows = package_descriptors(spark, tree).collect()
+    assert [r["provider"] for r in rows] == ["radio"]
+    pkg = json.loads(rows[0]["descriptor"])
+    assert pkg["profile"] == "tabular-data-package"
+    assert pkg["name"] == "radio-uno"
+    assert pkg["title"] == "Radio Uno Charts Dataset"
+    assert pkg["country"] == "Spain"
+    assert "url" not in pkg  # empty url omitted
+    res = {r["name"]: r for r in pkg["resources"]}
+    assert [r["name"] for r in pkg["resources"]] == ["radio-top40", "radio-latin", "radio-empty"]
+    top = res["radio-top40"]
+    assert top["path"] == ["top40/1989.csv", "top40/1990.csv"]
+    assert top["format"] == "csv" and top["mediatype"] == "text/csv"
+    assert top["dialect"] == {"delimiter": ","}
+    assert top["schema"]["fields"][0] == {"name": "date", "type": "date"}
+    assert top["custom"] == {
+        "size": 3, "frequency": "weekly", "day_of_week": "Saturday", "start_date": "1989-01-07"
+    }
+    assert res["radio-empty"]["path"] == []
+    assert res["radio-latin"]["custom"]["size_history"] == [
+        {"start": "1990-01-01", "end": "1990-06-01", "size": 2}
+    ]
+
+
+def test_master_catalog(spark, tree):
+    (row,) = master_catalog(spark, tree).collect()
+    cat = json.loads(row["catalog"])
+    assert cat["profile"] == "data-package"
+    assert cat["name"] == "international-music-charts-1980-1999"
+    (res,) = cat["resources"]
+    assert res["name"] == "radio"
+    assert res["path"] == "radio/datapackage.json"
+    assert res["title"] == "Radio Uno"
+    assert res["custom"]["country"] == "Spain"
+    assert [c["name"] for c in res["custom"]["charts"]] == ["radio-top40", "radio-latin", "radio-empty"]
+
+
+def test_generate_writes_descriptors(spark, tree):
+    out = scratch_dir(spark, "descriptors")
+    generate_frictionless_packages(spark, tree, out)
+    text = spark.read.text(f"{out}/catalog").collect()
+    assert json.loads(text[0]["value"])["profile"] == "data-package"
+    pk = spark.read.text(f"{out}/packages").collect()
+    assert pk[0]["provider"] == "radio"
+
+
+def test_read_entries(spark, tree):
+    rows = {
+        (r["chart"], r["date"], r["this_week"]): r.asDict()
+        for r in read_chart_entries(spark, tree).collect()
+    }
+    assert len(rows) == 7
+    r = rows[("radio-top40", date(1989, 12, 30), 1)]
+    assert r["song"] == 'Hey "Jude"' and r["frequency"] == "weekly" and r["provider"] == "radio"
+    assert rows[("radio-top40", date(1989, 12, 30), 2)]["song"] == "Just\nDance"
+    assert rows[("radio-top40", date(1989, 12, 30), 3)]["artist"] is None
+    # different column order is read by header name
+    latin = rows[("radio-latin", date(1990, 1, 1), 1)]
+    assert (latin["artist"], latin["song"]) == ("Gipsy Kings", "Bamboleo")
+
+
+def test_bad_header_fails(spark, tmp_path):
+    root = write_tree(tmp_path / "bad")
+    (root / "radio" / "latin" / "1991.csv").write_text(
+        "artist,song,this_week,date,composer,weeks_on_chart\nX,Y,1,1991-01-01,,\n"
+    )
+    with pytest.raises(Exception):
+        read_chart_entries(spark, str(root)).collect()
+
+
+def test_build_round_trip(spark, tree):
+    path = scratch_dir(spark, "index")
+    build_search_index(spark, tree, path)
+    idx = read_index(spark, path)
+    assert idx.columns == INDEX_COLUMNS
+    assert idx.count() == 7
+    norms = {r["artist"]: r["artist_norm"] for r in idx.collect()}
+    assert norms["The Beatles"] == "beatles"
+    assert norms["Édith Piaf"] == "edithpiaf"
+    assert norms["Los Lobos y Amigos"] == "lobos&amigos"
+    assert [r["artist"] for r in show_chart(idx, "1990-01-06").collect()] == ["Édith Piaf", "The Beatles"]
+    assert [r["song"] for r in search_hits(idx, artist="Edit Piaf").collect()] == ["La Vie en Rose (Live)"]
+    # partition pruning on the written layout
+    from toplist.plans.inspect import plan_text
+
+    plan = plan_text(show_chart(idx, "1990-01-06", provider="radio"))
+    assert "PartitionFilters" in plan and "isnotnull(year" in plan
+
+
+def test_no_metadata_raises(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    with pytest.raises(Exception):
+        read_chart_entries(spark, str(tmp_path)).collect()

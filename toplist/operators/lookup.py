@@ -33,27 +33,37 @@ def exact_filters(index: DataFrame, provider: str | None, chart: str | None) ->
     return index
 
 
+# Packing of (rank, date) into one bigint whose order is (rank, dated first, date):
+# rank * 10^8 + (days since 1970-01-01 + 10^6), or + (10^8 - 1) for a null date.
+# Day numbers of years 1..9999 lie in [-719162, 2932896], so the low part stays
+# in [280838, 3932896] below the null code; ranks beyond +-9.2e10 overflow the
+# bigint and fail loudly under ANSI arithmetic.
+_RANK_SCALE = 100_000_000
+_DAY_OFFSET = 1_000_000
+_NO_DATE = _RANK_SCALE - 1
+
+
 def best_rank(df: DataFrame, keys: list[str] = CHART_KEYS) -> DataFrame:
     """Per group: ``best_rank = min(this_week)`` and the earliest date at that rank.
 
-    One partial+final aggregate of a struct minimum: rows with a null rank
-    are ignored, and ``date IS NULL`` sorts dated rows first, so the result is
-    the earliest non-null date at the best rank, null when none is dated, and
-    (null, null) for a group with no ranked row.  Exact on ties, unlike
-    ``min_by``.
+    Rows with a null rank are ignored; among rows at the best rank the
+    earliest non-null date wins, null when none is dated; a group with no
+    ranked row gives (null, null).  Exact on ties, unlike ``min_by``.
+
+    Rank and date are packed into one bigint ordered as (rank, dated first,
+    date), so the whole thing is a single ``min`` over a fixed-width value:
+    a partial+final *hash* aggregate (a struct minimum would force a sort
+    aggregate, sorting every row before the shuffle).
     """
-    ranked = F.when(
-        F.col("this_week").isNotNull(),
-        F.struct(
-            F.col("this_week").alias("rank"),
-            F.col("date").isNull().alias("undated"),
-            F.col("date").alias("date"),
-        ),
+    day = F.coalesce(F.unix_date("date") + F.lit(_DAY_OFFSET), F.lit(_NO_DATE))
+    packed = F.when(
+        F.col("this_week").isNotNull(), F.col("this_week") * F.lit(_RANK_SCALE) + day
     )
-    return df.groupBy(*keys).agg(F.min(ranked).alias("_best")).select(
-        *keys,
-        F.col("_best.rank").alias("best_rank"),
-        F.col("_best.date").alias("best_date"),
+    low = F.pmod(F.col("_best"), F.lit(_RANK_SCALE))
+    rank = F.expr(f"(_best - pmod(_best, {_RANK_SCALE})) div {_RANK_SCALE}")
+    best_date = F.when(low != _NO_DATE, F.date_from_unix_date(low - F.lit(_DAY_OFFSET)))
+    return df.groupBy(*keys).agg(F.min(packed).alias("_best")).select(
+        *keys, rank.alias("best_rank"), best_date.alias("best_date")
     )
 
 
