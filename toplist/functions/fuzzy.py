@@ -16,7 +16,11 @@ needed.  The last term is the two-swap case: ``a = s2(s1(q))`` with swaps
 being involutions means ``s2(a) = s1(q)``.
 
 Everything compiles to built-in expressions (``levenshtein``, ``substring``,
-``concat``), so a literal search stays inside whole-stage codegen.
+``concat``), so a literal search stays inside whole-stage codegen.  Two
+cheap necessary conditions run first and reject almost every row: the
+length band ``|len(a) - len(q)| <= 2`` and ``lev(a, q) <= 4`` (a
+transposition is two Levenshtein edits), evaluated with Spark's banded
+early-exit Levenshtein.
 """
 
 from __future__ import annotations
@@ -94,7 +98,8 @@ def dl_within_literal(c: Column | str, q: str, threshold: int = 2) -> Column:
         terms.append(near_len & reduce(lambda x, y: x | y, sw_a))
     if sw_sw_q:
         terms.append(c.isin(sw_sw_q))
-    return length.between(n - 2, n + 2) & reduce(lambda x, y: x | y, terms)
+    prefilter = length.between(n - 2, n + 2) & _lev_within(c, q, 4)
+    return prefilter & reduce(lambda x, y: x | y, terms)
 
 
 def dl_within2_columns(a: Column, b: Column) -> Column:
