@@ -75,6 +75,15 @@ def test_literal_predicate_matches_textbook(spark, seed):
         assert got == want, q
 
 
+def test_long_literal_query_uses_lambda_form(spark):
+    rng = random.Random(4)
+    q = "".join(rng.choice("abcd") for _ in range(30))
+    names = set(mutations(q, rng, "abcd")) | {q, q[::-1], q[1:], q + "ab"}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = {r["name"] for r in df.where(dl_within_literal("name", q)).collect()}
+    assert got == {n for n in names if dl(n, q) <= 2}
+
+
 def test_literal_thresholds_0_and_1(spark):
     names = ["abc", "acb", "ab", "abcd", "xbc", "cab", "bca"]
     df = spark.createDataFrame([(n,) for n in names], "name string")

@@ -31,6 +31,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Longest literal query whose swap terms are unrolled into the filter; longer
+# ones use array lambdas to keep the generated code within JVM method limits.
+MAX_UNROLLED_QUERY_LEN = 24
+
+
 def swaps(s: str) -> set[str]:
     """All strings one adjacent transposition away from ``s`` (driver side)."""
     return {s[:i] + s[i + 1] + s[i] + s[i + 2 :] for i in range(len(s) - 1)}
@@ -86,16 +91,23 @@ def dl_within_literal(c: Column | str, q: str, threshold: int = 2) -> Column:
     sw_q = sorted(swaps(q) - {q})
     sw_sw_q = sorted({y for x in swaps(q) for y in swaps(x)} - {q})
     terms = [_lev_within(c, q, 2)]
-    terms += [_lev_within(c, x, 1) for x in sw_q]
-    # sw(a): unrolled over the positions a string within one of len(q) can have,
-    # so no lambda (and no codegen fallback) is needed.
     near_len = (length >= n - 1) & (length <= n + 1)
-    sw_a = [
-        (length >= i + 1) & _lev_within(swap_at(c, i), q, 1)
-        for i in range(1, n + 1)
-    ]
-    if sw_a:
-        terms.append(near_len & reduce(lambda x, y: x | y, sw_a))
+    if n <= MAX_UNROLLED_QUERY_LEN:
+        # Unrolled over literals and over the positions a string within one of
+        # len(q) can have: no lambda, so the filter stays in whole-stage codegen.
+        terms += [_lev_within(c, x, 1) for x in sw_q]
+        sw_a = [
+            (length >= i + 1) & _lev_within(swap_at(c, i), q, 1)
+            for i in range(1, n + 1)
+        ]
+        if sw_a:
+            terms.append(near_len & reduce(lambda x, y: x | y, sw_a))
+    else:
+        # Long query: array lambdas keep the generated code small (one
+        # interpreted filter instead of a method too large to compile).
+        if sw_q:
+            terms.append(F.exists(F.array(*[F.lit(x) for x in sw_q]), lambda x: _lev_within(c, x, 1)))
+        terms.append(near_len & F.exists(swaps_array(c), lambda x: _lev_within(x, q, 1)))
     if sw_sw_q:
         terms.append(c.isin(sw_sw_q))
     prefilter = length.between(n - 2, n + 2) & _lev_within(c, q, 4)

@@ -91,7 +91,7 @@ def anniversary_batch(
     provider: str | None = None,
     chart: str | None = None,
     ref_col: str = "ref_date",
-    max_broadcast_rows: int = 1_000_000,
+    max_broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """:func:`anniversary_hits` for every date in ``refs[ref_col]`` in one join.
 

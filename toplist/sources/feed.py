@@ -15,14 +15,16 @@ brand and a "song" per part name, ranked by units shipped in each chart period.
 * song      = ``<p_name> (Remix)`` when ``p_size % 3 = 0``, else ``p_name``
 * this_week = rank by units desc, then artist, song within (chart, date); top 40
 
-Plan shape: the line items are pre-aggregated per (part, supplier, period) is
-not possible before the part join (the period depends on the part type), so
-line items join part and supplier (planner's choice of strategy, AQE may
-broadcast from runtime sizes); nation x region is a fixed 25-row dimension,
-broadcast after a size check.  One partial+final aggregate on the chart key,
-then ``row_number() <= 40`` per (chart, date), which Spark plans as a
-per-partition group limit *before* the window shuffle, so a hot chart date
-ships at most 40 rows per map task.
+Plan shape: line items cannot be pre-aggregated before the part join (the
+chart period depends on the part type).  Part and supplier (with its nation
+and region) are each broadcast only when a bounded count proves them small
+(``DIM_BROADCAST_ROWS``); the line items then flow through both hash joins
+and the partial aggregate without being shuffled.  Beyond the bound (part
+and supplier grow with the scale factor) the planner falls back to shuffle
+joins, with AQE free to re-plan from runtime sizes.  One partial+final
+aggregate on the chart key, then ``row_number() <= 40`` per (chart, date),
+which Spark plans as a per-partition group limit *before* the window
+shuffle, so a hot chart date ships at most 40 rows per map task.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from toplist.sources.tables import read_table
 
 # Fixed value: entries per chart date in the derived feed.
 FEED_CHART_SIZE = 40
+# Rows a dimension side (part, supplier) may hold to be broadcast.
+DIM_BROADCAST_ROWS = 1_000_000
 
 
 def _period_date(frequency: F.Column, ship_date: F.Column) -> F.Column:
@@ -72,47 +76,52 @@ def chart_feed(
     supplier_geo = supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "n_name", "r_name"
     )
+    part = broadcast_if_bounded(part, DIM_BROADCAST_ROWS)
+    supplier_geo = broadcast_if_bounded(supplier_geo, DIM_BROADCAST_ROWS)
 
     joined = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
         supplier_geo, F.col("l_suppkey") == F.col("s_suppkey")
     )
 
-    provider = F.lower(F.regexp_replace("r_name", " ", "-"))
     frequency = (
         F.when(F.col("p_type").isin("ECONOMY", "MEDIUM"), "monthly")
         .when(F.col("p_type") == "PROMO", "fortnightly")
         .otherwise("weekly")
     )
     ship_date = F.to_date("l_shipdate")
-    key4 = F.col("p_partkey") % 4
+    date = _period_date(frequency, ship_date) if snap else ship_date
+    key4 = (F.col("p_partkey") % 4).cast("int")
+    # Group on the raw columns the names are made of (the mapping to names is
+    # one-to-one; the nation only enters "feat." names), so the strings are
+    # built once per group instead of once per line item.
+    units = joined.groupBy(
+        "r_name",
+        "p_type",
+        date.alias("date"),
+        key4.alias("k4"),
+        "p_brand",
+        F.when(key4 == 1, F.col("n_name")).alias("feat"),
+        "p_name",
+        (F.col("p_size") % 3 == 0).alias("remix"),
+    ).agg(F.sum("l_quantity").alias("units"))
+
+    provider = F.lower(F.regexp_replace("r_name", " ", "-"))
     artist = (
-        F.when(key4 == 0, F.concat(F.lit("The "), "p_brand"))
-        .when(key4 == 1, F.concat("p_brand", F.lit(" feat. "), "n_name"))
-        .when(key4 == 2, F.concat(F.lit("Éd "), "p_brand"))
+        F.when(F.col("k4") == 0, F.concat(F.lit("The "), "p_brand"))
+        .when(F.col("k4") == 1, F.concat("p_brand", F.lit(" feat. "), "feat"))
+        .when(F.col("k4") == 2, F.concat(F.lit("Éd "), "p_brand"))
         .otherwise(F.col("p_brand"))
     )
-    song = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" (Remix)"))).otherwise(
-        F.col("p_name")
-    )
-
-    entries = joined.select(
+    song = F.when(F.col("remix"), F.concat("p_name", F.lit(" (Remix)"))).otherwise(F.col("p_name"))
+    units = units.select(
         provider.alias("provider"),
-        F.lower("p_type").alias("ct"),
+        F.concat(provider, F.lit("-"), F.lower("p_type")).alias("chart"),
         frequency.alias("frequency"),
-        ship_date.alias("sd"),
+        "date",
         artist.alias("artist"),
         song.alias("song"),
-        "l_quantity",
+        "units",
     )
-    date = _period_date(F.col("frequency"), F.col("sd")) if snap else F.col("sd")
-    units = entries.groupBy(
-        "provider",
-        F.concat("provider", F.lit("-"), "ct").alias("chart"),
-        "frequency",
-        date.alias("date"),
-        "artist",
-        "song",
-    ).agg(F.sum("l_quantity").alias("units"))
 
     w = Window.partitionBy("chart", "date").orderBy(F.desc("units"), "artist", "song")
     ranked = units.withColumn("this_week", F.row_number().over(w).cast("bigint"))
