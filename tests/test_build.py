@@ -142,3 +142,36 @@ def test_no_metadata_raises(spark, tmp_path):
     (tmp_path / "x").mkdir()
     with pytest.raises(Exception):
         read_chart_entries(spark, str(tmp_path)).collect()
+
+
+def test_read_back_generated_descriptors(spark, tree):
+    from toplist.sources.catalog import list_charts_from_catalog, read_packages
+
+    out = scratch_dir(spark, "desc")
+    generate_frictionless_packages(spark, tree, out)
+    assert [tuple(r) for r in list_charts_from_catalog(spark, f"{out}/catalog").collect()] == [
+        tuple(r) for r in list_charts(spark, tree).collect()
+    ]
+    pk = {r["chart"]: r for r in read_packages(spark, f"{out}/packages").collect()}
+    assert pk["radio-top40"]["frequency"] == "weekly"
+    assert pk["radio-top40"]["paths"] == ["top40/1989.csv", "top40/1990.csv"]
+    assert pk["radio-empty"]["paths"] == []
+
+
+def test_catalog_validation_fails_on_missing_fields(spark, tmp_path):
+    from toplist.sources.catalog import read_catalog
+
+    p = tmp_path / "cat.json"
+    p.write_text('{"resources": [{"name": "x", "path": "x/datapackage.json", "custom": {}}]}')
+    with pytest.raises(Exception, match="custom.charts"):
+        read_catalog(spark, str(p)).collect()
+
+
+def test_missing_index_gives_typed_empty_results(spark, tmp_path):
+    from toplist.operators.anniversary import anniversary_hits
+    from toplist.schema import ANNIVERSARY_COLUMNS
+
+    idx = read_index(spark, str(tmp_path / "nope"))
+    assert idx.columns == INDEX_COLUMNS and idx.count() == 0
+    df = anniversary_hits(idx, "2024-01-07")
+    assert df.columns == ANNIVERSARY_COLUMNS and df.count() == 0

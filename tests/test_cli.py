@@ -28,3 +28,21 @@ def test_cli_round_trip(spark, tmp_path, capsys):
     assert rows and set(rows[0]) == {"week", "date", "original_date", "event"}
     assert main(["--data", root, "list"]) == 0
     assert "radio-top40" in capsys.readouterr().out
+
+
+def test_listing_defaults_and_period_labels(spark, six):
+    from datetime import date
+
+    from toplist.cli import chart_listing, period_label
+    from toplist.operators.anniversary import anniversary_hits
+
+    charts = spark.createDataFrame(
+        [("p", "c", "C", "weekly", None, None)],
+        "provider string, name string, title string, frequency string, start_date string, end_date string",
+    )
+    r = chart_listing(charts).collect()[0]
+    assert (r["start_date"], r["end_date"]) == ("????", "Present")
+    labels = {x["artist"]: x["period"] for x in period_label(anniversary_hits(six, "2024-01-07")).collect()}
+    assert labels == {"Artist A": "Jan 07", "Artist C": "Jan *", "Artist D": "Jan H1"}
+    late = {x["artist"]: x["period"] for x in period_label(anniversary_hits(six, "2024-01-20")).collect()}
+    assert late["Artist E"] == "Jan H2"

@@ -65,6 +65,33 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def chart_listing(charts):
+    """Catalog listing for display: unknown start ``????``, open end ``Present``."""
+    from pyspark.sql import functions as F
+
+    return charts.select(
+        "provider", "name", "title", "frequency",
+        F.coalesce("start_date", F.lit("????")).alias("start_date"),
+        F.coalesce("end_date", F.lit("Present")).alias("end_date"),
+    )
+
+
+def period_label(hits):
+    """Anniversary rows with a display label of the chart period (``Jan 07``, ``Jan *``, ``Jan H2``)."""
+    from pyspark.sql import functions as F
+
+    month = F.date_format("date", "MMM")
+    label = (
+        F.when(F.col("frequency") == "monthly", F.concat(month, F.lit(" *")))
+        .when(
+            F.col("frequency") == "fortnightly",
+            F.concat(month, F.when(F.dayofmonth("date") <= 14, F.lit(" H1")).otherwise(F.lit(" H2"))),
+        )
+        .otherwise(F.date_format("date", "MMM dd"))
+    )
+    return hits.withColumn("period", label)
+
+
 def check_search_args(artist: str | None, song: str | None, date_str: str | None, year: int | None) -> str | None:
     """The command line's own rules: a name is required, date and year exclude each other."""
     if not artist and not song:
@@ -100,11 +127,13 @@ def main(argv: list[str] | None = None) -> int:
         generate_frictionless_packages(spark, args.data, args.out or os.path.join(args.data, "descriptors"))
         return 0
     if args.command == "list":
-        df = list_charts(spark, args.data)
+        df = chart_listing(list_charts(spark, args.data))
     else:
         index = read_index(spark, index_path)
         if args.command == "anniversary":
-            df = anniversary_hits(index, args.date_str, args.rank, args.provider, args.chart)
+            df = period_label(
+                anniversary_hits(index, args.date_str, args.rank, args.provider, args.chart)
+            )
         elif args.command == "search":
             df = search_hits(
                 index, args.artist, args.song, args.date_str, args.year,

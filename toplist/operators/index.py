@@ -10,6 +10,9 @@ inference would turn a numeric provider name into a number).
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ def index_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+log = logging.getLogger(__name__)
+
 _CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week"]
 
 
@@ -81,9 +86,19 @@ def _write(index: DataFrame, path: str, mode: str) -> None:
     )
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy scan of an index written by :func:`write_index`, in index column order."""
-    return spark.read.schema(INDEX_SCHEMA).parquet(path).select(*INDEX_COLUMNS)
+def read_index(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
+    """Lazy scan of an index written by :func:`write_index`, in index column order.
+
+    A missing index logs a warning and gives an empty index with the full
+    schema (so every query still returns its own typed, empty result).
+    """
+    try:
+        return spark.read.schema(INDEX_SCHEMA).parquet(path).select(*INDEX_COLUMNS)
+    except AnalysisException as exc:
+        if not missing_ok or "PATH_NOT_FOUND" not in str(exc):
+            raise
+        log.warning("Index not found at %s; build it first.", path)
+        return spark.createDataFrame([], INDEX_SCHEMA)
 
 
 def build_search_index(spark: SparkSession, data_root: str, path: str) -> None:

@@ -263,6 +263,115 @@ def master_catalog(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+# Schemas of the descriptors as read back (only the fields the engine uses are
+# declared; `custom` is reached by nested path).
+CATALOG_READ = T.StructType(
+    [
+        T.StructField(
+            "resources",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("name", T.StringType()),
+                        T.StructField("path", T.StringType()),
+                        T.StructField("title", T.StringType()),
+                        T.StructField(
+                            "custom",
+                            T.StructType(
+                                [
+                                    T.StructField("country", T.StringType()),
+                                    T.StructField(
+                                        "charts",
+                                        T.ArrayType(
+                                            T.StructType(
+                                                [
+                                                    T.StructField("name", T.StringType()),
+                                                    T.StructField("title", T.StringType()),
+                                                    T.StructField("frequency", T.StringType()),
+                                                    T.StructField("start_date", T.StringType()),
+                                                    T.StructField("end_date", T.StringType()),
+                                                ]
+                                            )
+                                        ),
+                                    ),
+                                ]
+                            ),
+                        ),
+                    ]
+                )
+            ),
+        )
+    ]
+)
+PACKAGE_READ = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField(
+            "resources",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("name", T.StringType()),
+                        T.StructField("path", T.ArrayType(T.StringType())),
+                        T.StructField(
+                            "custom", T.StructType([T.StructField("frequency", T.StringType())])
+                        ),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+
+
+def _required(c: Column, what: str) -> Column:
+    """``c`` itself, failing the query on a null (checked wherever ``c`` is used)."""
+    msg = F.lit(f"catalog validation failed: {what} is required")
+    return F.when(c.isNotNull(), c).otherwise(F.raise_error(msg))
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Validated master catalog -> one row per provider: ``provider, path, charts``.
+
+    A malformed document fails the read (``FAILFAST``); a provider without
+    ``name``, ``path`` or ``custom.charts`` fails the query that uses it.
+    """
+    doc = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(CATALOG_READ).json(path)
+    res = doc.select(F.explode(_required(F.col("resources"), "resources")).alias("r"))
+    return res.select(
+        _required(F.col("r.name"), "resources[].name").alias("provider"),
+        _required(F.col("r.path"), "resources[].path").alias("path"),
+        _required(F.col("r.custom.charts"), "resources[].custom.charts").alias("charts"),
+    )
+
+
+def list_charts_from_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`list_charts` read from a written master catalog."""
+    cat = read_catalog(spark, path)
+    return cat.select("provider", F.inline("charts")).select(
+        "provider", "name", "title", "frequency", "start_date", "end_date"
+    ).orderBy("provider", "name")
+
+
+def read_packages(spark: SparkSession, path: str) -> DataFrame:
+    """Validated provider packages -> one row per chart resource.
+
+    ``package, chart, frequency, paths``; ``frequency`` is read by nested path
+    from ``custom.frequency`` and is required.
+    """
+    doc = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(PACKAGE_READ).json(path)
+    res = doc.select(
+        F.col("name").alias("package"),
+        F.explode(_required(F.col("resources"), "resources")).alias("r"),
+    )
+    return res.select(
+        "package",
+        _required(F.col("r.name"), "resources[].name").alias("chart"),
+        _required(F.col("r.custom.frequency"), "resources[].custom.frequency").alias("frequency"),
+        F.col("r.path").alias("paths"),
+    )
+
+
 def generate_frictionless_packages(spark: SparkSession, root: str, out: str) -> None:
     """Write descriptors under ``out``: ``packages/provider=<dir>/`` and ``catalog/``.
 
