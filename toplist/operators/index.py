@@ -46,7 +46,10 @@ def index_entries(entries: DataFrame) -> DataFrame:
 
 log = logging.getLogger(__name__)
 
-_CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week"]
+# Range-partitioning / sort key of the written index: directory columns first,
+# then the columns queries filter on, then the names, so that even a single
+# hot chart date is split across tasks by the sampled range bounds.
+_CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week", "artist", "song"]
 
 
 def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -57,7 +60,7 @@ def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     the names are normalised once, after the shuffle.
     """
     clustered = entries.repartitionByRange(
-        "provider", F.year("date"), "chart", "date", "this_week"
+        "provider", F.year("date"), "chart", "date", "this_week", "artist", "song"
     )
     _write(index_entries(clustered), path, mode)
 
@@ -65,8 +68,8 @@ def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write index rows as Parquet partitioned by provider and year.
 
-    Rows are range-partitioned on ``provider, year, chart, date, this_week``
-    (one sampled shuffle): each task writes a contiguous key range, so a
+    Rows are range-partitioned on ``provider, year, chart, date, this_week,
+    artist, song`` (one sampled shuffle): each task writes a contiguous key range, so a
     directory gets few, large files instead of one file per task, and a hot
     provider/year is split across tasks by the sampled boundaries rather than
     landing in one task as hash partitioning on the directory keys would do.
