@@ -86,3 +86,23 @@ def test_feed_limits_rows_before_window_shuffle(spark):
     plan = plan_text(chart_feed(spark, "/root/testdata/sf0.001"))
     assert len(_node(plan, "WindowGroupLimit")) == 2
     assert "BroadcastExchange" in plan  # nation x region, size-checked
+
+
+def test_no_registered_query_pairs_rows_without_keys(spark):
+    import __spark_entry__ as E
+
+    for name, make in E.queries().items():
+        plan = plan_text(make(spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_anniversary_batch_is_an_equi_join(spark, stored):
+    from datetime import date
+
+    from toplist.operators.anniversary import anniversary_batch
+
+    refs = spark.createDataFrame([(date(2024, 1, 7),), (date(2023, 12, 31),)], "ref_date date")
+    plan = plan_text(anniversary_batch(stored, refs))
+    (join,) = _node(plan, "BroadcastHashJoin")
+    assert "Left keys [3]" in join and "ref_year" in join
