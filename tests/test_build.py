@@ -175,3 +175,27 @@ def test_missing_index_gives_typed_empty_results(spark, tmp_path):
     assert idx.columns == INDEX_COLUMNS and idx.count() == 0
     df = anniversary_hits(idx, "2024-01-07")
     assert df.columns == ANNIVERSARY_COLUMNS and df.count() == 0
+
+
+def test_strict_casts_fail_the_build(spark, tmp_path):
+    for bad in ("1990/01/06,1,X,Y,\n", "1990-01-06,first,X,Y,\n"):
+        root = write_tree(tmp_path / f"strict{len(bad)}{bad[4]}")
+        (root / "radio" / "top40" / "1991.csv").write_text(
+            "date,this_week,artist,song,last_week\n" + bad, encoding="utf-8"
+        )
+        with pytest.raises(Exception):
+            read_chart_entries(spark, str(root)).collect()
+
+
+def test_partition_rebuild_keeps_other_partitions(spark, tree):
+    from toplist.operators.index import build_index
+
+    path = scratch_dir(spark, "rebuild")
+    entries = read_chart_entries(spark, tree)
+    build_index(entries, path)
+    before = read_index(spark, path).count()
+    only_1990 = entries.where("year(date) = 1990")
+    build_index(only_1990, path, only_present_partitions=True)
+    assert read_index(spark, path).count() == before
+    build_index(only_1990, path)  # full rebuild drops 1989
+    assert read_index(spark, path).count() == only_1990.count()

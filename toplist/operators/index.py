@@ -52,7 +52,9 @@ log = logging.getLogger(__name__)
 _CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week", "artist", "song"]
 
 
-def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+def build_index(
+    entries: DataFrame, path: str, mode: str = "overwrite", only_present_partitions: bool = False
+) -> None:
     """Normalise chart entries and write them as the index (see :func:`write_index`).
 
     The range shuffle is placed *before* the normalisation, so the sampling
@@ -62,28 +64,38 @@ def build_index(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     clustered = entries.repartitionByRange(
         "provider", F.year("date"), "chart", "date", "this_week", "artist", "song"
     )
-    _write(index_entries(clustered), path, mode)
+    _write(index_entries(clustered), path, mode, only_present_partitions)
 
 
-def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_index(
+    index: DataFrame, path: str, mode: str = "overwrite", only_present_partitions: bool = False
+) -> None:
     """Write index rows as Parquet partitioned by provider and year.
 
     Rows are range-partitioned on ``provider, year, chart, date, this_week,
-    artist, song`` (one sampled shuffle): each task writes a contiguous key range, so a
-    directory gets few, large files instead of one file per task, and a hot
-    provider/year is split across tasks by the sampled boundaries rather than
-    landing in one task as hash partitioning on the directory keys would do.
-    Inside a file rows are ordered by chart and date for row-group pruning.
-    ``mode="overwrite"`` with dynamic partition overwrite enabled replaces only the (provider, year) directories present in ``index``.
+    artist, song`` (one sampled shuffle): each task writes a contiguous key
+    range, so a directory gets few, large files instead of one file per task,
+    and a hot provider/year is split across tasks by the sampled boundaries
+    rather than landing in one task as hash partitioning on the directory
+    keys would do.  Inside a file rows are ordered by chart and date for
+    row-group pruning.  ``mode="overwrite"`` replaces the whole index (a full
+    rebuild); with ``only_present_partitions`` it replaces only the
+    (provider, year) directories present in ``index`` and keeps the others.
     """
-    _write(index.select(*INDEX_COLUMNS).repartitionByRange(*_CLUSTER_COLUMNS), path, mode)
+    _write(
+        index.select(*INDEX_COLUMNS).repartitionByRange(*_CLUSTER_COLUMNS),
+        path,
+        mode,
+        only_present_partitions,
+    )
 
 
-def _write(index: DataFrame, path: str, mode: str) -> None:
+def _write(index: DataFrame, path: str, mode: str, only_present_partitions: bool) -> None:
     (
         index.select(*INDEX_COLUMNS)
         .sortWithinPartitions(*_CLUSTER_COLUMNS)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic" if only_present_partitions else "static")
         .partitionBy(*INDEX_PARTITION_COLUMNS)
         .parquet(path)
     )
