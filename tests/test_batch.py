@@ -28,3 +28,15 @@ def test_calendar_batch_equals_single(six):
         (y, *tuple(r)) for y in (2023, 2024) for r in ones_calendar(six, year=y).collect()
     )
     assert got == want
+
+
+def test_week_day_sets_column_form_equals_scalar_rule(spark):
+    from pyspark.sql import functions as F
+
+    from toplist.functions.dates import week_days_col, week_window
+
+    days = [date(2023, 1, 1) + timedelta(days=i) for i in range(0, 3 * 366)]
+    df = spark.createDataFrame([(d,) for d in days], "r date")
+    got = df.select("r", week_days_col(F.col("r")).alias("days")).collect()
+    for row in got:
+        assert row["days"] == week_window(row["r"]).weekly_days(), row["r"]

@@ -70,6 +70,15 @@ def week_start_col(ref: Column) -> Column:
     return F.date_sub(ref, F.dayofweek(ref) - 1)
 
 
+def week_days_col(ref: Column) -> Column:
+    """Column form of :meth:`WeekWindow.weekly_days` (array of days of year)."""
+    ws = week_start_col(ref)
+    s, e = F.dayofyear(ws), F.dayofyear(F.date_add(ws, 6))
+    return F.when(s <= e, F.sequence(s, e)).otherwise(
+        F.concat(F.sequence(s, F.lit(366)), F.sequence(F.lit(1), e))
+    )
+
+
 def fortnight_day_col(ref: Column) -> Column:
     return F.when(F.dayofmonth(ref) <= 14, F.lit(1)).otherwise(F.lit(15))
 

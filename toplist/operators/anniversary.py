@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toplist.constants import DEFAULT_ANNIVERSARY_RANK
-from toplist.functions.dates import fortnight_day_col, parse_date, week_start_col, week_window
+from toplist.functions.dates import fortnight_day_col, parse_date, week_days_col, week_window
 from toplist.operators.lookup import empty_like, exact_filters
 from toplist.plans.broadcast import broadcast_if_bounded
 from toplist.schema import ANNIVERSARY_COLUMNS
@@ -107,11 +107,7 @@ def anniversary_batch(
     reference row.
     """
     r = F.col(ref_col)
-    ws = week_start_col(r)
-    s, e = F.dayofyear(ws), F.dayofyear(F.date_add(ws, 6))
-    week_days = F.when(s <= e, F.sequence(s, e)).otherwise(
-        F.concat(F.sequence(s, F.lit(366)), F.sequence(F.lit(1), e))
-    )
+    week_days = week_days_col(r)
     keys = F.array(
         F.struct(F.lit("monthly").alias("frequency"), F.month(r).alias("k1"), F.lit(0).alias("k2")),
         F.struct(
