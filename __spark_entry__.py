@@ -124,6 +124,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_filters_only": lambda s, d: search_hits(
             _index(s, d), provider="africa", chart="africa-large", year=1996
         ),
+        "peak_year_provider": lambda s, d: best_rank_in_year(
+            _index(s, d), 1997, 3, provider="middle-east"
+        ),
+        "calendar_chart": lambda s, d: ones_calendar(
+            _index(s, d, snap=False), chart="america-promo", year=2025
+        ),
+        "search_best_provider_chart": lambda s, d: search_hits(
+            _stored_index(s, d), song="small widget", provider="asia", chart="asia-standard",
+            best_position=True,
+        ),
+        "search_song_in_year": lambda s, d: search_hits(
+            _stored_index(s, d), song="blue bolt", year=2000
+        ),
+        "anniversary_invalid_date": lambda s, d: anniversary_hits(_index(s, d), "1999-02-30"),
         "anniversary_batch": lambda s, d: anniversary_batch(
             _index(s, d), _order_dates_1998(s, d)
         ),
@@ -294,6 +308,21 @@ def oracle_sql() -> dict[str, str]:
         "search_filters_only": _search_rows_sql(
             "provider = 'africa' and chart = 'africa-large' and year = 1996"
         ),
+        "peak_year_provider": _with(
+            "select * from best where best_rank <= 3 and year(best_date) = 1997",
+            extra=_best_sql("provider = 'middle-east'"),
+        ),
+        "calendar_chart": _calendar_sql(2025, "and chart = 'america-promo'"),
+        "search_best_provider_chart": _with(
+            "select * from best",
+            extra=_best_sql(
+                _dl("song_norm", "small widget") + " and provider = 'asia' and chart = 'asia-standard'"
+            ),
+        ),
+        "search_song_in_year": _search_rows_sql(_dl("song_norm", "blue bolt") + " and year = 2000"),
+        "anniversary_invalid_date": _with(
+            "select provider, chart, frequency, year, artist, song, date from idx where false"
+        ),
         "anniversary_batch": _with(
             """
 select ref_date, provider, chart, frequency, year, artist, song, date
