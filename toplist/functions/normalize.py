@@ -2,11 +2,11 @@
 
 Two forms that must agree:
 
-* ``normalize_column`` -- a Column expression used when the index is built.
-  Everything runs in the JVM except the Unicode compatibility decomposition
-  (NFKD), which Spark has no built-in for; that step is one Arrow-batched
-  UDF over pyarrow's C++ kernels, and it only receives the values that are
-  not already pure ASCII (the others travel as nulls, i.e. a validity bit).
+* ``normalize_column`` -- a Column expression used when the index is built,
+  made of built-in functions only.  Spark has no Unicode normalisation
+  function, but "NFKD, then drop non-ASCII" is a per-code-point map, so it is
+  generated once from ``unicodedata`` and applied with ``translate`` (plus a
+  map lookup for the few code points that expand to several characters).
 * ``normalize_text`` -- the same pipeline on one Python string, used for the
   literal query parameter on the driver.
 
@@ -18,14 +18,13 @@ drop one leading article; whole-word conjunctions and featuring tags become
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The normalisation patterns.
 REGEX_PARENS = r"[\(\[].*?[\)\]]"
@@ -60,25 +59,59 @@ def normalize_text(text: str | None) -> str:
     return s.strip()
 
 
-@F.arrow_udf(T.StringType())
-def _fold_ascii_arrow(values: pa.Array) -> pa.Array:
-    """Vectorised NFKD + non-ASCII removal over one Arrow batch."""
-    if values.null_count == len(values):
-        return values
-    decomposed = pc.utf8_normalize(values, form="NFKD")
-    return pc.replace_substring_regex(decomposed, pattern=r"[^\x00-\x7F]", replacement="")
+@functools.cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Per-code-point ASCII fold, derived from ``unicodedata`` (the rule itself).
 
+    NFKD only moves combining marks, which are non-ASCII and removed anyway, so
+    folding a string equals folding each code point and concatenating.  Code
+    points without a decomposition fold to nothing.  Returns the one-to-one
+    folds as ``translate`` arguments and the expanding ones as a dict.
+    """
+    src, dst, expand = [], [], {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if not unicodedata.decomposition(ch):
+            continue
+        folded = fold_ascii(ch)
+        if len(folded) == 1:
+            src.append(ch)
+            dst.append(folded)
+        elif folded:
+            expand[ch] = folded
+    return "".join(src), "".join(dst), expand
+
+
+def _char_class(chars) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
 
-def fold_ascii_column(c: Column) -> Column:
-    """Column form of :func:`fold_ascii`.
 
-    Pure-ASCII values (UTF-8 byte length equal to character length) are already
-    folded, so only the others are shipped to Python; ASCII rows reach the UDF
-    as nulls and come back through ``coalesce`` unchanged.  Null stays null.
+def _literal_list(values: list[str]) -> Column:
+    """An array literal built from one string (one JVM call, not one per element)."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def fold_ascii_column(c: Column) -> Column:
+    """Column form of :func:`fold_ascii`, in built-in JVM expressions only.
+
+    Pure-ASCII values (UTF-8 byte length equal to character length) pass
+    through.  Otherwise: the rare code points that expand to several ASCII
+    characters (ligatures, fractions, squared units...) are replaced through
+    a per-character map lookup -- evaluated only for values holding one --
+    then ``translate`` applies the one-to-one folds and every remaining
+    non-ASCII code point is deleted.  Null stays null.
     """
+    src, dst, expand = _fold_tables()
+    keys = sorted(expand)
+    expand_map = F.map_from_arrays(_literal_list(keys), _literal_list([expand[k] for k in keys]))
+    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), 1)
+    expanded = F.array_join(
+        F.transform(chars, lambda ch: F.coalesce(F.element_at(expand_map, ch), ch)), ""
+    )
+    s = F.when(c.rlike(_char_class(keys)), expanded).otherwise(c)
+    s = F.regexp_replace(F.translate(s, src, dst), F.lit(r"[^\x00-\x7F]"), F.lit(""))
     is_ascii = F.octet_length(c) == F.length(c)
-    needs_fold = F.when(~is_ascii, c)
-    return F.coalesce(_fold_ascii_arrow(needs_fold), c)
+    return F.when(is_ascii, c).otherwise(s)
 
 
 def normalize_column(c: Column | str) -> Column:
