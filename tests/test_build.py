@@ -199,3 +199,20 @@ def test_partition_rebuild_keeps_other_partitions(spark, tree):
     assert read_index(spark, path).count() == before
     build_index(only_1990, path)  # full rebuild drops 1989
     assert read_index(spark, path).count() == only_1990.count()
+
+
+def test_folder_names_with_spaces_and_plus(spark, tmp_path):
+    import shutil
+
+    root = write_tree(tmp_path / "enc")
+    shutil.move(str(root / "radio"), str(root / "radio uno+1"))
+    meta = root / "radio uno+1" / "radio-metadata.json"
+    doc = json.loads(meta.read_text(encoding="utf-8"))
+    doc["charts"][0]["folder"] = "top 40"
+    meta.write_text(json.dumps(doc), encoding="utf-8")
+    shutil.move(str(root / "radio uno+1" / "top40"), str(root / "radio uno+1" / "top 40"))
+    rows = read_chart_entries(spark, str(root)).collect()
+    assert len(rows) == 7
+    assert {r["provider"] for r in rows} == {"radio uno+1"}
+    pkg = json.loads(package_descriptors(spark, str(root)).collect()[0]["descriptor"])
+    assert pkg["resources"][0]["path"] == ["top 40/1989.csv", "top 40/1990.csv"]

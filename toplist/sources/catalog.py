@@ -80,6 +80,13 @@ def _path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
+def source_path() -> Column:
+    """The input file of each row, decoded (``_metadata.file_path`` is a URI:
+    a space arrives as ``%20``).  A literal ``+`` is protected from the
+    form-decoding rule that would turn it into a space."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """One row per provider directory holding a ``*-metadata.json``.
 
@@ -92,7 +99,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
         .option("mode", "FAILFAST")
         .schema(PROVIDER_META)
         .json(f"{root}/*/*-metadata.json")
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+        .select("*", source_path().alias("_path"))
         .withColumn("provider", _path_part(F.col("_path"), 2))
     )
     first = raw.groupBy("provider").agg(F.min("_path").alias("_path"))

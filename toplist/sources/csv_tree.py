@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toplist.plans.broadcast import broadcast_if_bounded
-from toplist.sources.catalog import _path_part, chart_catalog, csv_files, read_metadata
+from toplist.sources.catalog import _path_part, chart_catalog, csv_files, read_metadata, source_path
 
 REQUIRED = ["date", "this_week", "artist", "song"]
 _MAX_CHARTS_BROADCAST = 100_000
@@ -31,7 +31,7 @@ _MAX_CHARTS_BROADCAST = 100_000
 
 def _read_layout(spark: SparkSession, globs: list[str], fields: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    path = F.col("_metadata.file_path")
+    path = source_path()
     return (
         spark.read.schema(schema)
         .option("header", True)
