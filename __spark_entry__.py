@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits
 from toplist.operators.calendar import calendar_batch, ones_calendar
-from toplist.operators.fuzzy_join import fuzzy_name_join
+from toplist.operators.fuzzy_join import fuzzy_name_join, search_batch
 from toplist.operators.index import index_entries
 from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart
 from toplist.plans.materialize import checkpoint_table
@@ -77,6 +77,14 @@ def _typo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(typo.alias("query")).distinct()
 
 
+def _brand_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt artist queries: each brand with its 2nd and 3rd characters swapped."""
+    part = read_table(spark, sf_dir, "part")
+    b = F.col("p_brand")
+    typo = F.concat(F.substring(b, 1, 1), F.substring(b, 3, 1), F.substring(b, 2, 1), F.substr(b, F.lit(4)))
+    return part.select(typo.alias("query")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     today = date(2024, 1, 7)
     return {
@@ -144,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "calendar_batch": lambda s, d: calendar_batch(
             _index(s, d, snap=False), [2023, 2024], provider="europe"
         ),
+        "search_batch": lambda s, d: search_batch(_stored_index(s, d), _brand_typos(s, d)),
         "fuzzy_join": lambda s, d: fuzzy_name_join(
             _typo_queries(s, d), _index(s, d).select(F.col("song_norm").alias("name")),
             "query", "name",
@@ -354,6 +363,13 @@ from (
        (values (2023), (2024)) y(target_year))""",
             snap=False,
         ),
+        "search_batch": _with(
+            f"""
+select q.query, provider, chart, date, this_week, artist, song
+from (select distinct substr(p_brand, 1, 1) || substr(p_brand, 3, 1) || substr(p_brand, 2, 1)
+        || substr(p_brand, 4) as query from part) q
+join idx on damerau_levenshtein(idx.artist_norm, {_norm_sql('q.query')}) <= 2"""
+        ),
         "fuzzy_join": _with(
             """
 select distinct q.query, n.name

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from test_fuzzy import dl, mutations
 
 from toplist.operators.fuzzy_join import fuzzy_name_join
@@ -36,3 +38,16 @@ def test_long_strings_use_segments(spark):
 
 def test_duplicates_and_empty(spark):
     _check(spark, ["", "ab", "ab", "abc"], ["", "a", "xyz", "ab", "ba", "abcd"])
+
+
+def test_search_batch_equals_one_search_per_query(spark, six):
+    from toplist.operators.fuzzy_join import search_batch
+    from toplist.operators.lookup import search_hits
+
+    queries = ["Leap Artst", "Artist A", "(x)", "nobody at all"]
+    qdf = spark.createDataFrame([(q,) for q in queries], "query string")
+    got = sorted(tuple(r) for r in search_batch(six, qdf).collect())
+    want = sorted((q, *tuple(r)) for q in queries for r in search_hits(six, artist=q).collect())
+    assert got == want
+    songs = sorted(tuple(r) for r in search_batch(six, qdf.select(F.lit("Leap Snog").alias("query")), by="song").collect())
+    assert [r[-2] for r in songs] == ["Leap Artist"]

@@ -32,6 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toplist.functions.fuzzy import dl_within2_columns
+from toplist.functions.normalize import normalize_column
+from toplist.plans.broadcast import broadcast_if_bounded
+from toplist.schema import SEARCH_ROW_COLUMNS
 
 # Edits allowed (the search threshold) and the pigeonhole segment count.
 MAX_EDITS = 2
@@ -155,3 +158,33 @@ def fuzzy_name_join(
         .distinct()
         .where(dl_within2_columns(F.col("query"), F.col("name")))
     )
+
+
+def search_batch(
+    index: DataFrame,
+    queries: DataFrame,
+    query_col: str = "query",
+    by: str = "artist",
+    max_broadcast_pairs: int = 1_000_000,
+) -> DataFrame:
+    """Row-mode search for a whole table of queries at once.
+
+    Each raw query is normalised like the index names, matched to the
+    *distinct* normalised names of the index by :func:`fuzzy_name_join`, and
+    the matching (query, name) pairs are joined back to the index rows --
+    broadcast when a bounded count proves the pair list small, a shuffle
+    join otherwise (AQE splits a hot name's partition).  Output: ``query``
+    plus the search row columns, one row per (query, matching index row).
+    """
+    norm_col = {"artist": "artist_norm", "song": "song_norm"}[by]
+    q = queries.select(F.col(query_col).alias("query")).where(F.col("query").isNotNull()).distinct()
+    qn = q.select("query", normalize_column("query").alias("q_norm"))
+    names = index.select(F.col(norm_col).alias("name"))
+    pairs = fuzzy_name_join(qn.select(F.col("q_norm").alias("query")), names).select(
+        F.col("query").alias("q_norm"), F.col("name")
+    )
+    matches = broadcast_if_bounded(qn.join(pairs, "q_norm").select("query", "name"), max_broadcast_pairs)
+    rows = index.join(matches, index[norm_col] == matches["name"])
+    return rows.select("query", *[index[c] for c in SEARCH_ROW_COLUMNS]).orderBy(
+        "query", "provider", "chart", "date", "this_week", "artist", "song"
+    )
