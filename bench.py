@@ -27,7 +27,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits  # noqa: E402
 from toplist.operators.calendar import calendar_batch, ones_calendar  # noqa: E402
-from toplist.operators.fuzzy_join import fuzzy_name_join  # noqa: E402
+from toplist.operators.fuzzy_join import fuzzy_name_join, search_batch  # noqa: E402
 from toplist.operators.index import build_index, read_index  # noqa: E402
 from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart  # noqa: E402
 from toplist.session import local_session, scratch_dir  # noqa: E402
@@ -60,6 +60,17 @@ def main() -> None:
         .select(F.to_date("o_orderdate").alias("ref_date"))
         .distinct()
     )
+    brand = F.col("p_brand")
+    brand_typos = (
+        read_table(spark, sf_dir, "part")
+        .select(
+            F.concat(
+                F.substring(brand, 1, 1), F.substring(brand, 3, 1), F.substring(brand, 2, 1),
+                F.substr(brand, F.lit(4)),
+            ).alias("query")
+        )
+        .distinct()
+    )
     names = index.select(F.col("song_norm").alias("name"))
     typos = names.select(F.concat(F.col("name"), F.lit("x")).alias("query"))
 
@@ -76,6 +87,7 @@ def main() -> None:
         "anniversary_batch": lambda: anniversary_batch(index, refs),
         "calendar_batch": lambda: calendar_batch(index, [2023, 2024, 2025]),
         "fuzzy_join": lambda: fuzzy_name_join(typos, names),
+        "search_batch": lambda: search_batch(index, brand_typos),
     }
     times: dict[str, float] = {}
     for name, make in suite.items():

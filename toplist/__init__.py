@@ -17,6 +17,7 @@ from toplist.constants import (
 from toplist.functions.normalize import normalize_column, normalize_text
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits
 from toplist.operators.calendar import calendar_batch, ones_calendar
+from toplist.operators.fuzzy_join import fuzzy_name_join, search_batch
 from toplist.operators.index import (
     build_index,
     build_search_index,
@@ -42,6 +43,7 @@ __all__ = [
     "build_index",
     "build_search_index",
     "calendar_batch",
+    "fuzzy_name_join",
     "generate_frictionless_packages",
     "index_entries",
     "list_charts",
@@ -51,6 +53,7 @@ __all__ = [
     "ones_calendar",
     "package_descriptors",
     "read_index",
+    "search_batch",
     "search_hits",
     "show_chart",
     "write_index",

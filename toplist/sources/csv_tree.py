@@ -29,14 +29,16 @@ REQUIRED = ["date", "this_week", "artist", "song"]
 _MAX_CHARTS_BROADCAST = 100_000
 
 
-def _read_layout(spark: SparkSession, globs: list[str], fields: list[str]) -> DataFrame:
+def _read_layout(
+    spark: SparkSession, globs: list[str], fields: list[str], multi_line: bool
+) -> DataFrame:
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     path = source_path()
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(globs)
@@ -48,10 +50,14 @@ def _read_layout(spark: SparkSession, globs: list[str], fields: list[str]) -> Da
     )
 
 
-def read_chart_entries(spark: SparkSession, root: str) -> DataFrame:
+def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
     """All chart rows under ``root`` as ``provider, chart, frequency, date, this_week, artist, song``.
 
-    Raises ``ValueError`` when the metadata declares no chart.
+    ``multi_line`` keeps quoted fields with embedded newlines intact (RFC 4180)
+    at the price of one task per file; annual chart files are small, so that
+    is the default.  Pass ``False`` for very large files without embedded
+    newlines to let Spark split them.  Raises ``ValueError`` when the metadata
+    declares no chart.
     """
     root = root.rstrip("/")
     charts = chart_catalog(read_metadata(spark, root)).select(
@@ -79,7 +85,7 @@ def read_chart_entries(spark: SparkSession, root: str) -> DataFrame:
         raise ValueError("No data found to index.")
 
     scans = [
-        _read_layout(spark, sorted(set(globs)), list(fields))
+        _read_layout(spark, sorted(set(globs)), list(fields), multi_line)
         for fields, globs in sorted(layouts.items())
     ]
     rows = reduce(DataFrame.unionByName, scans)
