@@ -3,7 +3,7 @@
 Environment:
   BENCH_SF_DIR  data directory (default /root/testdata/sf0.1)
   BENCH_CPUS    local[N] executor threads (default 8)
-  BENCH_RUNS    timed runs per query after one warm-up run (default 3; median kept)
+  BENCH_RUNS    timed runs per query after one warm-up run (default 5; median kept)
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf", ...}.
 ``value`` is the sum of the per-query medians (index build excluded; it is
@@ -42,7 +42,7 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="toplist-bench")
     spark.sparkContext.setLogLevel("ERROR")
 
