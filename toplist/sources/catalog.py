@@ -379,12 +379,14 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def generate_frictionless_packages(spark: SparkSession, root: str, out: str) -> None:
-    """Write descriptors under ``out``: ``packages/provider=<dir>/`` and ``catalog/``.
+def generate_frictionless_packages(spark: SparkSession, root: str, out: str | None = None) -> None:
+    """Write descriptors under ``out`` (default ``<root>/descriptors``):
+    ``packages/provider=<dir>/`` and ``catalog/``.
 
     Text output, one JSON document per line (Spark writes directories of
     part files, so files are not placed inside the data tree).
     """
+    out = out or f"{root.rstrip('/')}/descriptors"
     package_descriptors(spark, root).write.mode("overwrite").partitionBy("provider").text(
         f"{out.rstrip('/')}/packages"
     )
