@@ -75,6 +75,17 @@ def dl_within_literal(c: Column | str, q: str, threshold: int = 2) -> Column:
     Only thresholds 0..2 are supported (the search threshold is fixed at 2).
     Null values of ``c`` never match.
     """
+    cheap, exact = dl_within_literal_parts(c, q, threshold)
+    return cheap & exact
+
+
+def dl_within_literal_parts(c: Column | str, q: str, threshold: int = 2) -> tuple[Column, Column]:
+    """``(cheap, exact)`` with ``cheap & exact`` equal to :func:`dl_within_literal`.
+
+    ``cheap`` is a necessary condition (length band, Levenshtein bound) that
+    rejects most rows; conjunctions over several fields should test every
+    field's ``cheap`` part before any ``exact`` part.
+    """
     if isinstance(c, str):
         c = F.col(c)
     n = len(q)
@@ -84,7 +95,7 @@ def dl_within_literal(c: Column | str, q: str, threshold: int = 2) -> Column:
         terms = [_lev_within(c, q, threshold)]
         if threshold == 1 and n >= 2:
             terms.append(c.isin(sorted(swaps(q))))
-        return length.between(n - threshold, n + threshold) & reduce(lambda x, y: x | y, terms)
+        return length.between(n - threshold, n + threshold), reduce(lambda x, y: x | y, terms)
     if threshold != 2:
         raise ValueError("only thresholds up to 2 are supported")
 
@@ -111,7 +122,7 @@ def dl_within_literal(c: Column | str, q: str, threshold: int = 2) -> Column:
     if sw_sw_q:
         terms.append(c.isin(sw_sw_q))
     prefilter = length.between(n - 2, n + 2) & _lev_within(c, q, 4)
-    return prefilter & reduce(lambda x, y: x | y, terms)
+    return prefilter, reduce(lambda x, y: x | y, terms)
 
 
 def dl_within2_columns(a: Column, b: Column) -> Column:

@@ -7,12 +7,14 @@ into the plan on the driver.  Empty string parameters mean "no filter".
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toplist.constants import DEFAULT_PEAK_RANK, FUZZY_DISTANCE_THRESHOLD
 from toplist.functions.dates import parse_date
-from toplist.functions.fuzzy import dl_within_literal
+from toplist.functions.fuzzy import dl_within_literal_parts
 from toplist.functions.normalize import normalize_text
 from toplist.schema import BEST_COLUMNS, SEARCH_ROW_COLUMNS, SHOW_COLUMNS
 
@@ -80,13 +82,20 @@ def show_chart(
 
 
 def fuzzy_name_filter(artist: str | None, song: str | None) -> Column | None:
-    """Conjunction of the fuzzy artist/song predicates for truthy parameters."""
-    cond = None
+    """Conjunction of the fuzzy artist/song predicates for truthy parameters.
+
+    Every field's cheap necessary condition comes before any field's exact
+    test, so the expensive swap terms only run on rows that pass both bands.
+    """
+    cheap, exact = [], []
     for raw, column in ((artist, "artist_norm"), (song, "song_norm")):
         if raw:
-            term = dl_within_literal(column, normalize_text(raw), FUZZY_DISTANCE_THRESHOLD)
-            cond = term if cond is None else cond & term
-    return cond
+            c, e = dl_within_literal_parts(column, normalize_text(raw), FUZZY_DISTANCE_THRESHOLD)
+            cheap.append(c)
+            exact.append(e)
+    if not cheap:
+        return None
+    return reduce(lambda x, y: x & y, cheap + exact)
 
 
 def search_hits(
@@ -107,9 +116,8 @@ def search_hits(
     within the filtered rows.  A truthy but malformed date gives no rows.
     """
     df = exact_filters(index, provider, chart)
-    fuzzy = fuzzy_name_filter(artist, song)
-    if fuzzy is not None:
-        df = df.where(fuzzy)
+    # Cheap exact filters first: Catalyst keeps conjunct order, and the fuzzy
+    # test is the expensive one.
     if date_str:
         d = parse_date(date_str)
         if d is None:
@@ -117,6 +125,9 @@ def search_hits(
         df = df.where((F.col("year") == d.year) & (F.col("date") == F.lit(d)))
     elif year is not None:
         df = df.where(F.col("year") == year)
+    fuzzy = fuzzy_name_filter(artist, song)
+    if fuzzy is not None:
+        df = df.where(fuzzy)
 
     if best_position and date_str is None:
         return best_rank(df).orderBy(
