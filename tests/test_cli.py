@@ -31,8 +31,6 @@ def test_cli_round_trip(spark, tmp_path, capsys):
 
 
 def test_listing_defaults_and_period_labels(spark, six):
-    from datetime import date
-
     from toplist.cli import chart_listing, period_label
     from toplist.operators.anniversary import anniversary_hits
 

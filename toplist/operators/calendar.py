@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from toplist.functions.dates import is_leap, is_leap_col
 from toplist.operators.lookup import CHART_KEYS, exact_filters
-from toplist.schema import CALENDAR_COLUMNS
 
 _ORDER = ["week", "date", "original_date", "event"]
 
