@@ -16,11 +16,13 @@ needed.  The last term is the two-swap case: ``a = s2(s1(q))`` with swaps
 being involutions means ``s2(a) = s1(q)``.
 
 Everything compiles to built-in expressions (``levenshtein``, ``substring``,
-``concat``), so a literal search stays inside whole-stage codegen.  Two
-cheap necessary conditions run first and reject almost every row: the
-length band ``|len(a) - len(q)| <= 2`` and ``lev(a, q) <= 4`` (a
+``concat``, ``translate``), so a literal search stays inside whole-stage
+codegen.  Cheap necessary conditions run first and reject almost every row:
+the length band ``|len(a) - len(q)| <= 2`` and ``lev(a, q) <= 4`` (a
 transposition is two Levenshtein edits), evaluated with Spark's banded
-early-exit Levenshtein.
+early-exit Levenshtein; and the swap terms only run when at most one
+character of ``a`` lies outside the characters of ``q`` (a transposition adds
+no new character and only one other edit remains).
 """
 
 from __future__ import annotations
@@ -122,7 +124,11 @@ def dl_within_literal_parts(c: Column | str, q: str, threshold: int = 2) -> tupl
     if sw_sw_q:
         terms.append(c.isin(sw_sw_q))
     prefilter = length.between(n - 2, n + 2) & _lev_within(c, q, 4)
-    return prefilter, reduce(lambda x, y: x | y, terms)
+    # Past lev <= 2 a transposition is needed, leaving at most one other edit,
+    # so at most one character of c may lie outside q's character set.
+    foreign = F.length(F.translate(c, "".join(sorted(set(q))), ""))
+    swap_terms = reduce(lambda x, y: x | y, terms[1:]) if len(terms) > 1 else F.lit(False)
+    return prefilter, terms[0] | ((foreign <= 1) & swap_terms)
 
 
 def dl_within2_columns(a: Column, b: Column) -> Column:
