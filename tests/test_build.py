@@ -216,3 +216,26 @@ def test_folder_names_with_spaces_and_plus(spark, tmp_path):
     assert {r["provider"] for r in rows} == {"radio uno+1"}
     pkg = json.loads(package_descriptors(spark, str(root)).collect()[0]["descriptor"])
     assert pkg["resources"][0]["path"] == ["top 40/1989.csv", "top 40/1990.csv"]
+
+
+def test_null_dates_and_ranks_survive_the_index(spark):
+    from datetime import date
+
+    from toplist.operators.index import build_index
+    from toplist.operators.lookup import best_rank_in_year, search_hits
+    from toplist.schema import ENTRY_SCHEMA
+
+    rows = [
+        ("p", "c", "weekly", date(1990, 1, 6), 1, "A", "S"),
+        ("p", "c", "weekly", None, 1, "A", "S"),
+        ("p", "c", "weekly", date(1990, 1, 13), None, "A", "S"),
+        ("p", "c", "weekly", date(1990, 1, 13), 2, None, "T"),
+    ]
+    path = scratch_dir(spark, "nulls")
+    build_index(spark.createDataFrame(rows, ENTRY_SCHEMA), path)
+    idx = read_index(spark, path)
+    assert idx.count() == 4
+    assert idx.where("year is null and date is null").count() == 1
+    best = {(r["artist"], r["song"]): (r["best_rank"], r["best_date"]) for r in best_rank_in_year(idx, 1990).collect()}
+    assert best == {("A", "S"): (1, date(1990, 1, 6)), (None, "T"): (2, date(1990, 1, 13))}
+    assert search_hits(idx, artist="A").count() == 3  # null names never match
