@@ -168,3 +168,21 @@ def test_calendar_filters(six):
     assert got and all(e.endswith("c1") for *_, e in got)
     assert events(ones_calendar(six, chart="c2", year=2024))[0][3].endswith("c2")
     assert ones_calendar(six, today=date(2030, 5, 5)).collect()[0]["date"].year == 2030
+
+
+def test_calendar_keeps_one_row_per_provider_for_shared_chart_names(spark):
+    from toplist.operators.index import index_entries
+    from toplist.schema import ENTRY_SCHEMA
+
+    rows = [
+        ("p1", "top", "weekly", date(1990, 3, 3), 1, "X", "Y"),
+        ("p2", "top", "weekly", date(1991, 3, 2), 1, "X", "Y"),
+        ("p2", "top", "weekly", date(1991, 3, 9), 1, "X", "Y"),
+    ]
+    idx = index_entries(spark.createDataFrame(rows, ENTRY_SCHEMA))
+    got = events(ones_calendar(idx, year=2024))
+    assert [(d, o) for _, d, o, _ in got] == [
+        (date(2024, 3, 2), date(1991, 3, 2)),
+        (date(2024, 3, 3), date(1990, 3, 3)),
+    ]
+    assert {e for *_, e in got} == {"Y by X reaches #1 on the top"}
