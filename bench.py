@@ -6,8 +6,6 @@ Environment:
   BENCH_RUNS    timed runs per query after one warm-up run (default 5; median kept)
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf", ...}.
-Queries run with AQE coalescing shuffle output by size
-(``parallelismFirst=false``); the build runs with Spark's default.
 ``value`` is the sum of the per-query medians (index build excluded; it is
 reported as ``build_index_cold`` -- the first job of the JVM, JIT and code
 generation included -- and ``build_index``, a second build of the same data).  Every query is fully executed into Spark's ``noop``
@@ -56,10 +54,6 @@ def main() -> None:
     build_index(chart_feed(spark, sf_dir), path)
     build = time.perf_counter() - t0
     index = read_index(spark, path)
-    # Query phase: small interactive results, so AQE coalesces shuffle output
-    # by advisory size rather than keeping the initial parallelism (the build
-    # above keeps the default, its normalisation and write need the tasks).
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     orders = read_table(spark, sf_dir, "orders")
     refs = (
         orders.where(F.year("o_orderdate") == 1998)
