@@ -33,17 +33,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only when unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only when unset.
+
+    Sessions without a local ``SparkContext`` handle (Spark Connect) keep the
+    server's setting untouched.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        sc = None
+    base = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
     if not base:
         try:
             base = spark.conf.get("spark.checkpoint.dir")
         except Exception:
             base = None
+    if sc is None:
+        return base or ""
     if not base:
         base = tempfile.mkdtemp(prefix="toplist-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return base
 
 
