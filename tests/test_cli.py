@@ -44,3 +44,24 @@ def test_listing_defaults_and_period_labels(spark, six):
     assert labels == {"Artist A": "Jan 07", "Artist C": "Jan *", "Artist D": "Jan H1"}
     late = {x["artist"]: x["period"] for x in period_label(anniversary_hits(six, "2024-01-20")).collect()}
     assert late["Artist E"] == "Jan H2"
+
+
+def test_cli_query_commands(spark, tmp_path, capsys):
+    import os
+
+    root = str(write_tree(tmp_path / "data2"))
+    idx = str(tmp_path / "idx2")
+    base = ["--data", root, "--index", idx]
+    assert main(base + ["build-index"]) == 0
+    capsys.readouterr()
+    assert main(base + ["search", "--artist", "Beatls"]) == 0
+    assert 'Hey "Jude"' in capsys.readouterr().out
+    assert main(base + ["search", "--song", "vie en rose", "--best"]) == 0
+    assert "best_rank" in capsys.readouterr().out
+    assert main(base + ["peak", "--year", "1989", "--rank", "3"]) == 0
+    assert "Lady Gaga" in capsys.readouterr().out
+    assert main(base + ["anniversary", "--date", "2024-01-02"]) == 0
+    out = capsys.readouterr().out
+    assert "Bamboleo" in out and "Jan *" in out
+    assert main(base + ["generate"]) == 0
+    assert os.path.isdir(os.path.join(root, "descriptors", "catalog"))
