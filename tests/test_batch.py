@@ -40,3 +40,44 @@ def test_week_day_sets_column_form_equals_scalar_rule(spark):
     got = df.select("r", week_days_col(F.col("r")).alias("days")).collect()
     for row in got:
         assert row["days"] == week_window(row["r"]).weekly_days(), row["r"]
+
+
+def _anniversary_brute(rows, ref, rank=1):
+    """The matching rule written out directly, one entry at a time."""
+    start = ref - timedelta(days=(ref.weekday() + 1) % 7)
+    s, e = start.timetuple().tm_yday, (start + timedelta(days=6)).timetuple().tm_yday
+    half = 1 if ref.day <= 14 else 15
+    out = []
+    for prov, chart, freq, d, wk, artist, song in rows:
+        if wk != rank or d is None or d.year > ref.year:
+            continue
+        doy = d.timetuple().tm_yday
+        weekly = freq == "weekly" and ((s <= doy <= e) if s <= e else (doy >= s or doy <= e))
+        monthly = freq == "monthly" and d.month == ref.month
+        fortnightly = freq == "fortnightly" and d.month == ref.month and d.day == half
+        if weekly or monthly or fortnightly:
+            out.append((prov, chart, freq, d.year, artist, song, d))
+    return sorted(out)
+
+
+def test_anniversary_matches_brute_force_on_random_entries(spark):
+    import random
+
+    from toplist.operators.index import index_entries
+    from toplist.schema import ENTRY_SCHEMA
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(600):
+        d = date(1988, 1, 1) + timedelta(days=rng.randint(0, 365 * 14))
+        freq = rng.choice(["weekly", "monthly", "fortnightly", "yearly"])
+        rows.append(("p", f"c{i % 5}", freq, d, rng.choice([1, 1, 2]), f"a{i}", f"s{i}"))
+    idx = index_entries(spark.createDataFrame(rows, ENTRY_SCHEMA)).cache()
+    refs = [date(2023, 12, 24) + timedelta(days=k) for k in range(0, 16)]
+    refs += [date(1996, 2, 29), date(1999, 12, 31), date(2000, 1, 1), date(1992, 7, 15)]
+    for ref in refs:
+        got = sorted(tuple(r) for r in anniversary_hits(idx, ref.isoformat()).collect())
+        assert got == _anniversary_brute(rows, ref), ref
+    rdf = spark.createDataFrame([(d,) for d in refs], "ref_date date")
+    got = sorted(tuple(r) for r in anniversary_batch(idx, rdf).collect())
+    assert got == sorted((ref, *r) for ref in refs for r in _anniversary_brute(rows, ref))
