@@ -24,6 +24,7 @@ from toplist.constants import DEFAULT_ANNIVERSARY_RANK
 from toplist.functions.dates import fortnight_day_col, parse_date, week_days_col, week_window
 from toplist.operators.lookup import empty_like, exact_filters
 from toplist.plans.broadcast import broadcast_if_bounded
+from toplist.plans.ordering import sorted_result
 from toplist.schema import ANNIVERSARY_COLUMNS
 
 _ORDER = ["year", "provider", "chart", "date", "artist", "song"]
@@ -69,7 +70,7 @@ def anniversary_hits(
         & (weekly | monthly | fortnightly)
         & (F.col("year") <= ref.year)
     )
-    return df.select(*ANNIVERSARY_COLUMNS).orderBy(*_ORDER)
+    return sorted_result(df.select(*ANNIVERSARY_COLUMNS), *_ORDER)
 
 
 def _period_key(frequency, doy, month, day):

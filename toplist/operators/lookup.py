@@ -16,6 +16,7 @@ from toplist.constants import DEFAULT_PEAK_RANK, FUZZY_DISTANCE_THRESHOLD
 from toplist.functions.dates import parse_date
 from toplist.functions.fuzzy import dl_within_literal_parts
 from toplist.functions.normalize import normalize_text
+from toplist.plans.ordering import sorted_result
 from toplist.schema import BEST_COLUMNS, SEARCH_ROW_COLUMNS, SHOW_COLUMNS
 
 CHART_KEYS = ["provider", "chart", "artist", "song"]
@@ -133,8 +134,8 @@ def search_hits(
         return best_rank(df).orderBy(
             "provider", "chart", "best_date", "best_rank", "artist", "song"
         )
-    return df.select(*SEARCH_ROW_COLUMNS).orderBy(
-        "provider", "chart", "date", "this_week", "artist", "song"
+    return sorted_result(
+        df.select(*SEARCH_ROW_COLUMNS), "provider", "chart", "date", "this_week", "artist", "song"
     )
 
 
