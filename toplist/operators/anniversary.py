@@ -139,6 +139,6 @@ def anniversary_batch(
         & (rows["k2"] == expanded["k2"])
         & (rows["year"] <= expanded["ref_year"]),
     )
-    return joined.select("ref_date", *[rows[c] for c in ANNIVERSARY_COLUMNS]).orderBy(
-        "ref_date", *_ORDER
+    return sorted_result(
+        joined.select("ref_date", *[rows[c] for c in ANNIVERSARY_COLUMNS]), "ref_date", *_ORDER
     )

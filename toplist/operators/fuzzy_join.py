@@ -175,6 +175,9 @@ def search_batch(
     broadcast when a bounded count proves the pair list small, a shuffle
     join otherwise (AQE splits a hot name's partition).  Output: ``query``
     plus the search row columns, one row per (query, matching index row).
+    The result can be several times the index (every query matches many
+    rows), so it is sorted directly: re-reading the index for the range
+    sampler is cheaper here than exchanging the result an extra time.
     """
     norm_col = {"artist": "artist_norm", "song": "song_norm"}[by]
     q = queries.select(F.col(query_col).alias("query")).where(F.col("query").isNotNull()).distinct()
