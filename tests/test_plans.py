@@ -106,3 +106,18 @@ def test_anniversary_batch_is_an_equi_join(spark, stored):
     plan = plan_text(anniversary_batch(stored, refs))
     (join,) = _node(plan, "BroadcastHashJoin")
     assert "Left keys [3]" in join and "ref_year" in join
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda i: anniversary_hits(i, "2024-01-07"),
+        lambda i: search_hits(i, artist="Leap Artst"),
+    ],
+)
+def test_sorted_filter_scans_exchange_their_result_before_the_range_sort(stored, make):
+    plan = plan_text(make(stored))
+    exchanges = _node(plan, "Exchange")
+    kinds = [("range" if "rangepartitioning" in b else "hash" if "hashpartitioning" in b else "?") for b in exchanges]
+    assert kinds == ["hash", "range"], kinds
+    assert len(_node(plan, "Scan parquet")) == 1
