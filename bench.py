@@ -6,10 +6,11 @@ Environment:
   BENCH_RUNS    timed runs per query after one warm-up run (default 5; median kept)
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf", ...}.
-``value`` is the sum of the per-query medians (index build excluded; it is
-reported as ``build_index_cold`` -- the first job of the JVM, JIT and code
-generation included -- and ``build_index``, a second build of the same data).  Every query is fully executed into Spark's ``noop``
-sink, so the time is the engine's, not a driver collect's.
+``value`` is the sum of the per-query medians.  The index build is excluded
+from it and reported as ``build_index_cold`` (the first job of the JVM, JIT
+and code generation included) and ``build_index`` (a second build of the same
+data).  Every query is fully executed into Spark's ``noop`` sink, so the time
+is the engine's, not a driver collect's.
 """
 
 from __future__ import annotations
