@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from toplist.functions.fuzzy import dl_within2_columns
 from toplist.functions.normalize import normalize_column
 from toplist.plans.broadcast import broadcast_if_bounded
+from toplist.plans.materialize import checkpoint_table
 from toplist.schema import SEARCH_ROW_COLUMNS
 
 # Edits allowed (the search threshold) and the pigeonhole segment count.
@@ -171,9 +172,9 @@ def search_batch(
 
     Each raw query is normalised like the index names, matched to the
     *distinct* normalised names of the index by :func:`fuzzy_name_join`, and
-    the matching (query, name) pairs are joined back to the index rows --
-    broadcast when a bounded count proves the pair list small, a shuffle
-    join otherwise (AQE splits a hot name's partition).  Output: ``query``
+    the matching (query, name) pairs -- checkpointed once -- are joined back
+    to the index rows: broadcast when a bounded count proves the pair list
+    small, a shuffle join otherwise (AQE splits a hot name's partition).  Output: ``query``
     plus the search row columns, one row per (query, matching index row).
     The result can be several times the index (every query matches many
     rows), so it is sorted directly: re-reading the index for the range
@@ -186,7 +187,11 @@ def search_batch(
     pairs = fuzzy_name_join(qn.select(F.col("q_norm").alias("query")), names).select(
         F.col("query").alias("q_norm"), F.col("name")
     )
-    matches = broadcast_if_bounded(qn.join(pairs, "q_norm").select("query", "name"), max_broadcast_pairs)
+    # The pairs are materialised once (reliable checkpoint in the shared
+    # folder): the size check below would otherwise re-run the whole fuzzy
+    # join as a separate job, and the query would run it a third time.
+    matches = checkpoint_table(qn.join(pairs, "q_norm").select("query", "name"))
+    matches = broadcast_if_bounded(matches, max_broadcast_pairs)
     rows = index.join(matches, index[norm_col] == matches["name"])
     return rows.select("query", *[index[c] for c in SEARCH_ROW_COLUMNS]).orderBy(
         "query", "provider", "chart", "date", "this_week", "artist", "song"
