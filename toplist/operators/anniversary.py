@@ -24,6 +24,7 @@ from toplist.constants import DEFAULT_ANNIVERSARY_RANK
 from toplist.functions.dates import fortnight_day_col, parse_date, week_days_col, week_window
 from toplist.operators.lookup import empty_like, exact_filters
 from toplist.plans.broadcast import broadcast_if_bounded
+from toplist.plans.materialize import checkpoint_table
 from toplist.plans.ordering import sorted_result
 from toplist.schema import ANNIVERSARY_COLUMNS
 
@@ -126,7 +127,10 @@ def anniversary_batch(
         F.year(r).alias("ref_year"),
         F.inline(F.concat(weekly_keys, keys)),
     )
-    expanded = broadcast_if_bounded(expanded, max_broadcast_rows)
+    # Materialised once: the size check would otherwise re-derive the
+    # reference dates (for instance a distinct over a large table) as a
+    # separate job before the query derives them again.
+    expanded = broadcast_if_bounded(checkpoint_table(expanded), max_broadcast_rows)
 
     k1, k2 = _period_key(F.col("frequency"), F.dayofyear("date"), F.col("month"), F.col("day"))
     rows = exact_filters(index, provider, chart).where(F.col("this_week") == rank).select(
