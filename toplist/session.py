@@ -2,13 +2,15 @@
 
 Library operators never create sessions; they take one.  On a cluster the
 session comes from the launcher and its ``spark.checkpoint.dir`` names the
-shared scratch folder; :func:`scratch_dir` reads it and only falls back to
-a fresh local folder when it is unset (tests).
+shared scratch folder; :func:`scratch_dir` reads it and falls back to a fresh
+local folder only on a ``local`` master (tests).  On any other master an unset
+folder is an error: executors would write to disks nobody else can read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,7 +35,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only when unset.
+    """The session's ``spark.checkpoint.dir``; a fresh local folder when unset on a local master.
+
+    Raises ``RuntimeError`` when it is unset on any other master.
 
     Sessions without a local ``SparkContext`` handle (Spark Connect) keep the
     server's setting untouched.
@@ -51,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is None:
         return base or ""
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="toplist-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
