@@ -25,6 +25,15 @@ from toplist.plans.materialize import checkpoint_table
 from toplist.sources.feed import chart_feed
 from toplist.sources.tables import read_table
 
+try:
+    import corpus_pipeline
+    from toplist.llm import queries as llm
+except ModuleNotFoundError as error:
+    # Only the corpus subpackage and its pipeline may be absent.
+    if not (error.name or "").startswith(("corpus_pipeline", "toplist.llm")):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -86,6 +95,10 @@ def _brand_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _chart_queries() | ({} if llm is None else llm.QUERIES | {"pipeline": corpus_pipeline.run})
+
+
+def _chart_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     today = date(2024, 1, 7)
     return {
         "show_chart_date": lambda s, d: show_chart(_index(s, d), "1997-03-01"),
@@ -268,6 +281,15 @@ _INDEX_COLS = (
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _chart_oracles()
+    if llm is not None:
+        sql |= llm.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
+
+
+def _chart_oracles() -> dict[str, str]:
     return {
         "show_chart_date": _with(
             "select provider, chart, this_week, artist, song, date from idx where date = date '1997-03-01'"
