@@ -93,3 +93,30 @@ def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, Prefi
     kept[0] = True
     np.not_equal(least[1:], least[:-1], out=kept[1:])
     return np.unique(least[kept].astype(np.int64)), prefix
+
+
+def window_hashes(
+    contexts: np.ndarray, left: np.ndarray, window: int, reach: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that start 0 to ``reach`` bytes ahead of each context's anchor.
+
+    ``contexts`` are byte strings with ``left`` bytes before the anchor.  Column
+    ``d`` of both results is the window that starts ``d`` bytes ahead; the
+    second result tells whether the context holds it.
+    """
+    width = reach + window
+    sizes = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
+    rows = np.zeros((len(contexts), width), dtype=np.uint8)
+    flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    start = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(contexts)), sizes)
+    # Contexts are lined up so that every anchor stands at column ``reach``.
+    rows[row, np.arange(len(flat)) - start[row] + (reach - left)[row]] = flat
+    up, down = _power_table(width + 1)
+    sums = np.zeros((len(contexts), width + 1), dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[rows] * up[:width], axis=1, out=sums[:, 1:])
+    d = np.arange(reach + 1)
+    hashes = mix((sums[:, reach - d + window] - sums[:, reach - d]) * down[reach - d])
+    after = sizes - left
+    valid = (left[:, None] >= d) & (after[:, None] >= window - d)
+    return hashes, valid

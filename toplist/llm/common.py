@@ -71,8 +71,8 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, per_task: int, how: s
     return dealt.drop("_slices").join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def running_totals(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` (few narrow columns) with ``before``: the sum of ``value`` over all rows ahead in ``order``.
+def running_totals(rows: DataFrame, order: list[str], values: list[str], name: str) -> DataFrame:
+    """``rows`` (narrow columns) with ``before_<value>``: its sum over all rows ahead in ``order``.
 
     The rows are range-partitioned once and stored with their partition number;
     each partition is summed, the partitions' totals are prefix-summed (one row
@@ -82,17 +82,14 @@ def running_totals(rows: DataFrame, order: list[str], value: str, name: str) ->
     blocks = stored(
         rows.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()), name
     )
-    totals = blocks.groupBy("_block").agg(F.sum(value).alias("_total"))
+    totals = blocks.groupBy("_block").agg(*[F.sum(v).alias("_" + v) for v in values])
     ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_block", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).cast("long").alias("_ahead")
+        "_block", *[F.coalesce(F.sum("_" + v).over(ahead), F.lit(0)).alias("_ahead_" + v) for v in values]
     )
     inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocks.join(F.broadcast(offsets), "_block")  # one row per range partition
-        .withColumn(
-            "before",
-            (F.col("_ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"),
-        )
-        .drop("_block", "_ahead")
-    )
+    summed = blocks.join(F.broadcast(offsets), "_block")  # one row per range partition
+    for v in values:
+        own = F.coalesce(F.sum(v).over(inside), F.lit(0))
+        summed = summed.withColumn("before_" + v, F.col("_ahead_" + v) + own)
+    return summed.drop("_block", *["_ahead_" + v for v in values])
