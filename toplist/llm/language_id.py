@@ -121,14 +121,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the smallest log loss, by golden-section search over its logarithm."""
+    """The temperature with the smallest log loss, by golden-section search over its logarithm.
+
+    Labels are smoothed by one document in all, so a sample without errors
+    does not ask for certainty.
+    """
     if not len(labels):
         return 1.0
+    doubt = 1 / (len(labels) + 2)
 
     def loss(log_t: float) -> float:
         x = logits / np.exp(log_t)
         x = x - x.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(labels)), labels]))
+        told = (1 - doubt) * x[np.arange(len(labels)), labels] + doubt * x.mean(axis=1)
+        return float(np.mean(np.log(np.exp(x).sum(axis=1)) - told))
 
     low, high, ratio = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -212,7 +218,7 @@ def train(rows: DataFrame, text: Column, lang: Column, pick: Column, p: Training
     weights = np.zeros((len(langs), BUCKETS + 1))
     temperature = 1.0
     if langs:
-        fitted = sample.groupBy(F.lit(0)).applyInArrow(_trainer(idf, langs, p), "class int, bucket int, weight double")
+        fitted = sample.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_trainer(idf, langs, p), "class int, bucket int, weight double")
         for r in fitted.collect():
             if r["class"] < 0:
                 temperature = r["weight"]

@@ -6,8 +6,9 @@ by weight among the others until none is above its cap.  A target of ``t``
 words over a source of ``s`` words takes ``floor(t / s)`` complete epochs, then
 a fraction: documents in ascending order of the exponential key
 ``-ln(u) / quality`` (a quality-weighted sample without replacement) as far as
-the rest of the budget goes.  One more document closes the last gap where its
-size brings the source nearer to its target.
+the rest of the budget goes.  A few more passes in the same order fill what the
+first document too large leaves open, and one last document closes the gap
+where its size brings the source nearer to its target.
 
 The order inside a source is a sort of narrow rows, cut into buckets of keys:
 the buckets' sizes are prefix-summed, then each bucket is summed on its own,
@@ -25,6 +26,8 @@ from toplist.llm.common import running_totals, stored, word_count
 ROWS_PER_BUCKET = 10_000
 # Fixed value: hexadecimal digits of the hash behind a document's uniform number (52 bits).
 UNIFORM_DIGITS = 13
+# Passes over the documents of a source: the sample itself, then what still fits its gap.
+FILL_ROUNDS = 4
 
 
 def letter_quality(text: Column) -> Column:
@@ -97,6 +100,7 @@ def mix_sources(
     text = F.col(text_col)
     rows = stored(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(text).alias("size"),
@@ -117,43 +121,25 @@ def mix_sources(
     )
 
     buckets = F.ceil(F.col("n") / ROWS_PER_BUCKET)
-    placed = (
+    state = (
         rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("bucket", F.least(F.floor(buckets * (1 - F.exp(-F.col("key")))), buckets - 1).cast("long"))
+        .withColumns({"gap": F.col("rest"), "extra": F.lit(False)})
     )
-    placed = stored(placed, "mix-placed")
-    ahead = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("place", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
-        .select("place", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_start"))
-    )
-    inside = Window.partitionBy("place", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = stored(
-        placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["place", "bucket"])
-        .withColumn("start", F.col("bucket_start") + F.col("within"))
-        .withColumn("fits", F.col("start") + F.col("size") <= F.col("rest")),
-        "mix-ordered",
-    )
-    gaps = ordered.groupBy("place").agg(
-        (F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap")
-    )
+    state = stored(state, "mix-placed")
+    for number in range(FILL_ROUNDS):
+        state = _filled(state, first=number == 0)
+
     off = F.abs(F.col("size") - F.col("gap"))
     closing = (
-        ordered.where(~F.col("fits") & (F.col("size") > 0))
-        .join(stored(gaps, "mix-gaps"), "place")
-        .where(off < F.col("gap"))
+        state.where(~F.col("extra") & (F.col("size") > 0) & (off < F.col("gap")))
         .groupBy("place")
-        # Sizes are positive here, so a document's start is its own.
-        .agg(F.min(F.struct(off.alias("off"), F.col("start").alias("start"))).alias("best"))
-        .select("place", F.col("best.start").alias("closing_start"))
-    )
-    closed = ordered.join(stored(closing, "mix-closing"), "place", "left")
-    extra = F.col("fits") | F.coalesce(
-        (F.col("size") > 0) & (F.col("start") == F.col("closing_start")), F.lit(False)
+        .agg(F.min(F.struct(off.alias("off"), "key", "row")).alias("best"))
+        .select("place", F.col("best.row").alias("closing"))
     )
+    closed = state.join(stored(closing, "mix-closing"), "place", "left")
+    extra = F.col("extra") | F.coalesce(F.col("row") == F.col("closing"), F.lit(False))
     copies = F.col("epochs") + F.when(extra, 1).otherwise(0)
     return closed.select(
         F.col("id").alias(id_col),
@@ -164,3 +150,38 @@ def mix_sources(
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
+
+
+def _filled(state: DataFrame, first: bool) -> DataFrame:
+    """``state`` after one more pass in key order: documents go in as far as each source's ``gap`` reaches.
+
+    The first pass sums all documents and so takes the beginning of the order;
+    later ones sum those that are left and no larger than the gap.
+    """
+    open_rows = ~F.col("extra") & (F.col("size") > 0)
+    if not first:
+        open_rows &= F.col("size") <= F.col("gap")
+    state = state.withColumn("summed", F.when(open_rows, F.col("size")).otherwise(0))
+    ahead = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        state.groupBy("place", "bucket")
+        .agg(F.sum("summed").alias("bucket_size"))
+        .select("place", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_start"))
+    )
+    inside = Window.partitionBy("place", "bucket").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, 0)
+    state = stored(
+        state.withColumn("within", F.sum("summed").over(inside))
+        .join(offsets, ["place", "bucket"])
+        .withColumn(
+            "added", (F.col("summed") > 0) & (F.col("bucket_start") + F.col("within") <= F.col("gap"))
+        )
+        .drop("within", "bucket_start"),
+        "mix-pass",
+    )
+    used = state.groupBy("place").agg(F.sum(F.when(F.col("added"), F.col("size")).otherwise(0)).alias("used"))
+    return stored(
+        state.join(stored(used, "mix-used"), "place")
+        .withColumns({"extra": F.col("extra") | F.col("added"), "gap": F.col("gap") - F.col("used")})
+        .drop("used", "added", "summed"),
+        "mix-filled",
+    )

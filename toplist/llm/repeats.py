@@ -12,9 +12,10 @@ one member are dropped after every pass (most significant digit first):
 2. The second digit is everything any window of the anchor can reach.  Anchors
    that agree on it with another are repeated to the full, without looking at
    single windows.
-3. What is left (anchors at the edges of repeats) is split window by window:
-   the windows of all anchors with the same gram are grouped by their exact
-   bytes' hash; groups of two or more are the repeated windows.  A gram with
+3. What is left (anchors at the edges of repeats) is split window by window,
+   together with one anchor of every other reach of the same gram: their
+   windows are grouped by their exact bytes' hash; groups of two or more are
+   the repeated windows.  A gram with
    more edge anchors than ``GROUP_ROWS`` is grouped by Spark, one row per
    window; the others are grouped inside tasks, many grams to a batch.
 
@@ -211,10 +212,23 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 200,
     )
     again = rows.groupBy("gram").count().where("count > 1").select("gram")
     left = stored(rows.join(again, "gram"), "repeats-left")
-    reached = left.groupBy("gram", "reach").count().withColumnRenamed("count", "alike")
-    decided = left.join(reached, ["gram", "reach"]).groupBy("doc").agg(
-        F.collect_list(F.when(F.col("alike") > 1, F.col("at"))).alias("full"),
-        F.collect_list(F.when(F.col("alike") == 1, F.col("at"))).alias("edge"),
+    reached = stored(
+        left.groupBy("gram", "reach").agg(
+            F.count("*").alias("alike"), F.min("doc").alias("first_doc"), F.min_by("at", "doc").alias("first_at")
+        ),
+        "repeats-reached",
+    )
+    # Grams with an anchor that stands alone; one anchor of every other reach is what it is compared with.
+    edged = reached.groupBy("gram").agg(F.min("alike").alias("least")).where("least = 1")
+    first = (F.col("doc") == F.col("first_doc")) & (F.col("at") == F.col("first_at"))
+    decided = (
+        left.join(reached, ["gram", "reach"])
+        .join(edged, "gram", "left")
+        .groupBy("doc")
+        .agg(
+            F.collect_list(F.when(F.col("alike") > 1, F.col("at"))).alias("full"),
+            F.collect_list(F.when(first & F.col("least").isNotNull(), F.col("at"))).alias("edge"),
+        )
     )
     decided = stored(decided.join(lists.select("doc", "_key", "n_bytes"), "doc"), "repeats-decided")
 
@@ -224,9 +238,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 200,
         F.least(F.col("at") + window, F.col("n_bytes")).cast("long").alias("end"),
     )
     edges = decided.where(F.size("edge") > 0).select("_key", "doc", "edge")
-    # Copies of a text agree on every anchor's reach, so a text with an edge occurs once.
     contexts = stored(
-        texts.join(edges, "_key")
+        texts.dropDuplicates(["_key"])
+        .join(edges, "_key")
         .select("doc", "_text", "edge")
         .mapInArrow(_edge_contexts(window), "gram long, doc long, at int, left int, context binary"),
         "repeats-edges",
