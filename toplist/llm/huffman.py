@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toplist.llm.common import running_totals, stored
-from toplist.llm.tokens import id_mapper, vocabulary_size, with_row
+from toplist.llm.tokens import id_mapper, id_type, with_row
 from toplist.session import scratch_dir
 
 # The longest code and the ids between two checkpoints.
@@ -226,7 +226,7 @@ def write_tokens(
     order of their token bytes).  Null text counts as empty: ``end_id`` alone.
     An empty table leaves an empty code book and no shard.
     """
-    kind = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
+    kind = id_type(tokenizer, end_id)
     frame, row = with_row(docs, [id_col], text_col)
     tokens = stored(
         frame.mapInArrow(id_mapper(tokenizer, end_id, _id_lists(kind)), f"{row}, ids binary, n_tokens long"),

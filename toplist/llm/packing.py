@@ -13,15 +13,13 @@ as many groups as their underfull bins allow.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toplist.llm.common import stored
-from toplist.llm.tokens import id_mapper, with_row
+from toplist.llm.tokens import id_mapper, id_type, with_row
 
 # Items packed together in one task (about).
 ITEMS_PER_GROUP = 50_000
@@ -29,11 +27,11 @@ ITEMS_PER_GROUP = 50_000
 FAN_IN = 8
 
 
-def _cut(capacity: int):
-    """Pieces of every id list: ``piece, start, length`` and the ids (little-endian unsigned 32 bits)."""
+def _cut(capacity: int, kind: str):
+    """Pieces of every id list: ``piece, start, length, ids_crc32`` and the ids (little-endian)."""
 
     def shape(texts: list[np.ndarray]):
-        rows, piece, start, length, ids = [], [], [], [], []
+        rows, piece, start, length, digest, ids = [], [], [], [], [], []
         for row, x in enumerate(texts):
             first = len(x) % capacity or capacity
             edges = [0, *range(first, len(x) + 1, capacity)]
@@ -42,14 +40,16 @@ def _cut(capacity: int):
                 piece.append(i)
                 start.append(a)
                 length.append(b - a)
-                ids.append(x[a:b].astype("<u4").tobytes())
+                digest.append(zlib.crc32(x[a:b].astype("<u4").tobytes()))
+                ids.append(x[a:b].astype(kind).tobytes())
         columns = [
             pa.array(piece, type=pa.int32()),
             pa.array(start, type=pa.int64()),
             pa.array(length, type=pa.int64()),
+            pa.array(digest, type=pa.int64()),
             pa.array(ids, type=pa.binary()),
         ]
-        return np.array(rows, dtype=np.int64), columns, ["piece", "start", "length", "ids"]
+        return np.array(rows, dtype=np.int64), columns, ["piece", "start", "length", "ids_crc32", "ids"]
 
     return shape
 
@@ -61,12 +61,14 @@ def token_pieces(
 
     Null and empty texts have ``end_id`` alone.  Only documents of more than
     ``capacity`` ids are cut, into full pieces; the first may be shorter.
+    ``ids`` are little-endian, of 16 bits where the vocabulary fits and 32
+    otherwise; ``ids_crc32`` is of the 32-bit form in either case.
     """
     carry = carry if carry is not None else [c for c in docs.columns if c != text_col]
     frame, row = with_row(docs, carry, text_col)
     return frame.mapInArrow(
-        id_mapper(tokenizer, end_id, _cut(capacity)),
-        f"{row}, piece int, start long, length long, ids binary",
+        id_mapper(tokenizer, end_id, _cut(capacity, id_type(tokenizer, end_id))),
+        f"{row}, piece int, start long, length long, ids_crc32 long, ids binary",
     )
 
 
@@ -184,18 +186,12 @@ def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, text_col: str = "text",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Pieces of all documents with their ids, ``sequence_id`` and ``offset``; carried columns in ``_row``."""
-    return pack(token_pieces(docs, tokenizer, end_id, capacity, text_col, carry), capacity)
-
-
-def ids_crc32(ids: bytes) -> int:
-    """The digest of a piece's ids, as ``crc32`` in SQL gives it for the ``ids`` column."""
-    return zlib.crc32(ids)
+    """Pieces of all documents with their ids, ``sequence_id`` and ``offset``; carried columns in ``_row``.
 
-
-def unpacked(rows: Iterator[dict]) -> dict[int, np.ndarray]:
-    """Sequences from their rows (small results only, for tests): ids in offset order."""
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(r["sequence_id"], []).append((r["offset"], np.frombuffer(r["ids"], dtype="<u4")))
-    return {k: np.concatenate([x for _, x in sorted(v, key=lambda p: p[0])]) for k, v in out.items()}
+    Only the pieces' lengths go through the packing rounds; the ids are stored
+    once and meet their places in one join.
+    """
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, text_col, carry)
+    pieces = stored(pieces.withColumn("piece_id", F.monotonically_increasing_id()), "pack-pieces")
+    places = pack(pieces.select("piece_id", "length"), capacity).drop("length")
+    return pieces.join(places, "piece_id").drop("piece_id")

@@ -273,7 +273,16 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(carried: list[str]):
+def _whole_characters(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a byte range that holds whole UTF-8 characters."""
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def _cut(carried: list[str], whole_characters: bool):
     """Apply merged ranges: the remaining bytes, the removed spans and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +297,8 @@ def _cut(carried: list[str]):
                     merged = _merged(
                         starts.values.to_numpy(zero_copy_only=False), ends.values.to_numpy(zero_copy_only=False)
                     )
+                if whole_characters:
+                    merged = [(s, e) for s, e in (_whole_characters(data, *x) for x in merged) if s < e]
                 pieces, here = [], 0
                 for s, e in merged:
                     pieces.append(data[here:s])
@@ -312,11 +323,16 @@ def _cut(carried: list[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 200, carry: list[str] | None = None) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, text_col: str = "text", window: int = 200, carry: list[str] | None = None,
+    whole_characters: bool = False,
+) -> DataFrame:
     """The columns ``carry`` (default: all but the text) with what is left of each text.
 
     Adds ``n_bytes``, ``n_removed``, ``spans`` (maximal removed byte ranges,
-    ascending) and ``kept`` (the remaining bytes, joined).  Carried columns of
+    ascending) and ``kept`` (the remaining bytes, joined).  With
+    ``whole_characters`` a span gives up the bytes of a character that it holds
+    in part, so what remains of valid UTF-8 is valid.  Carried columns of
     these names are dropped.  Null text counts as empty; empty and short texts
     lose nothing of their own.  Repeated rows are copies of each other, so they
     lose everything from a window's length on.
@@ -335,7 +351,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 200,
     )
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(
-        _cut(carry),
+        _cut(carry, whole_characters),
         fields + (", " if fields else "")
         + "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary",
     )

@@ -74,10 +74,11 @@ class ChunkTokenizer:
         return out
 
 
-def vocabulary_size(path: str) -> int:
+def id_type(path: str, end_id: int) -> str:
+    """The numpy type that ids are stored in: two bytes where the whole vocabulary fits them."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).get_vocab_size()
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
