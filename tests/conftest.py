@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 from datetime import date
 from pathlib import Path
@@ -16,7 +17,7 @@ from toplist.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("*", shuffle_partitions=8, app="toplist-tests")
+    s = local_session(os.environ.get("TEST_CPUS", "*"), shuffle_partitions=8, app="toplist-tests")
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s

@@ -30,16 +30,35 @@ def test_calendar_batch_equals_single(six):
     assert got == want
 
 
-def test_week_day_sets_column_form_equals_scalar_rule(spark):
+def test_calendar_of_a_table_of_years(spark, six):
+    years = spark.createDataFrame([(2023,), (2024,), (2024,), (None,), (1900,)], "year int")
+    got = sorted(tuple(r) for r in calendar_batch(six, years).collect())
+    want = sorted((y, *tuple(r)) for y in (1900, 2023, 2024) for r in ones_calendar(six, year=y).collect())
+    assert got == want
+
+
+def test_anniversary_batch_repeats_dates_and_skips_nulls(spark, six):
+    day = date(2024, 1, 7)
+    rdf = spark.createDataFrame([(day,), (day,), (None,)], "ref_date date")
+    assert anniversary_batch(six, rdf).count() == 2 * anniversary_hits(six, day.isoformat()).count()
+
+
+def test_invalid_date_matches_nothing(six):
+    hits = anniversary_hits(six, "1999-02-30")
+    assert hits.count() == 0 and hits.columns == anniversary_hits(six, "1999-02-28").columns
+
+
+def test_week_days_follow_the_rule(spark):
     from pyspark.sql import functions as F
 
-    from toplist.functions.dates import week_days_col, week_window
+    from toplist.functions.dates import week_days_col
 
     days = [date(2023, 1, 1) + timedelta(days=i) for i in range(0, 3 * 366)]
     df = spark.createDataFrame([(d,) for d in days], "r date")
-    got = df.select("r", week_days_col(F.col("r")).alias("days")).collect()
-    for row in got:
-        assert row["days"] == week_window(row["r"]).weekly_days(), row["r"]
+    for row in df.select("r", week_days_col(F.col("r")).alias("days")).collect():
+        start = row["r"] - timedelta(days=(row["r"].weekday() + 1) % 7)
+        s, e = start.timetuple().tm_yday, (start + timedelta(days=6)).timetuple().tm_yday
+        assert row["days"] == (list(range(s, e + 1)) if s <= e else [*range(s, 367), *range(1, e + 1)])
 
 
 def _anniversary_brute(rows, ref, rank=1):

@@ -4,6 +4,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.errors import AnalysisException
 from conftest import write_tree
 
 from toplist.operators.index import build_search_index, read_index
@@ -115,7 +116,7 @@ def test_bad_header_fails(spark, tmp_path):
     (root / "radio" / "latin" / "1991.csv").write_text(
         "artist,song,this_week,date,composer,weeks_on_chart\nX,Y,1,1991-01-01,,\n"
     )
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="header"):
         read_chart_entries(spark, str(root)).collect()
 
 
@@ -140,7 +141,7 @@ def test_build_round_trip(spark, tree):
 
 def test_no_metadata_raises(spark, tmp_path):
     (tmp_path / "x").mkdir()
-    with pytest.raises(Exception):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_chart_entries(spark, str(tmp_path)).collect()
 
 
@@ -183,7 +184,7 @@ def test_strict_casts_fail_the_build(spark, tmp_path):
         (root / "radio" / "top40" / "1991.csv").write_text(
             "date,this_week,artist,song,last_week\n" + bad, encoding="utf-8"
         )
-        with pytest.raises(Exception):
+        with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|CAST_INVALID_INPUT"):
             read_chart_entries(spark, str(root)).collect()
 
 
@@ -239,3 +240,69 @@ def test_null_dates_and_ranks_survive_the_index(spark):
     best = {(r["artist"], r["song"]): (r["best_rank"], r["best_date"]) for r in best_rank_in_year(idx, 1990).collect()}
     assert best == {("A", "S"): (1, date(1990, 1, 6)), (None, "T"): (2, date(1990, 1, 13))}
     assert search_hits(idx, artist="A").count() == 3  # null names never match
+
+
+def _chart(name, folder):
+    return {"name": name, "folder": folder, "prefix": name, "frequency": "weekly", "size": 1, "x-note": None,
+            "extra": {"a": [1, "b"]}, "fields": ["date", "this_week", "artist", "song"]}
+
+
+@pytest.fixture
+def odd_tree(tmp_path):
+    root = tmp_path / "data"
+    charts = {"nested": ("a/b", "a/b"), "slash": ("flat/", "flat"), "glob": ("[x]{y}", "[x]{y}"), "dots": ("./c//d", "c/d")}
+    for i, (name, (_, place)) in enumerate(charts.items()):
+        folder = root / "prov" / place
+        folder.mkdir(parents=True)
+        (folder / "1990.csv").write_text(f"date,this_week,artist,song\n1990-01-0{i + 1},1,Artist,Song {name}\n")
+    (root / "prov" / "prov-metadata.json").write_text(
+        json.dumps({"name": "Prov", "prefix": "prov", "charts": [_chart(n, f) for n, (f, _) in charts.items()]})
+    )
+    return str(root)
+
+
+def test_nested_slashed_and_glob_folders(spark, odd_tree):
+    rows = read_chart_entries(spark, odd_tree).collect()
+    assert sorted((r["chart"], r["song"]) for r in rows) == [
+        ("dots", "Song dots"), ("glob", "Song glob"), ("nested", "Song nested"), ("slash", "Song slash")
+    ]
+    (row,) = package_descriptors(spark, odd_tree).collect()
+    paths = {r["name"]: r["path"] for r in json.loads(row["descriptor"])["resources"]}
+    assert paths == {"nested": ["a/b/1990.csv"], "slash": ["flat/1990.csv"], "glob": ["[x]{y}/1990.csv"], "dots": ["c/d/1990.csv"]}
+
+
+def test_unknown_metadata_keys_are_kept(spark, odd_tree):
+    (row,) = package_descriptors(spark, odd_tree).collect()
+    custom = json.loads(row["descriptor"])["resources"][0]["custom"]
+    assert custom["extra"] == {"a": [1, "b"]} and custom["size"] == 1 and custom["frequency"] == "weekly"
+    assert not {"name", "folder", "prefix", "fields"} & set(custom)
+
+
+def test_generate_build_query(spark, odd_tree):
+    from toplist.sources.csv_tree import read_tree_entries
+
+    generate_frictionless_packages(spark, odd_tree)
+    path = scratch_dir(spark, "described")
+    build_search_index(spark, odd_tree, path)
+    assert [r["song"] for r in show_chart(read_index(spark, path), "1990-01-01").collect()] == ["Song nested"]
+    assert sorted(map(tuple, read_tree_entries(spark, odd_tree).collect())) == sorted(
+        map(tuple, read_chart_entries(spark, odd_tree).collect())
+    )
+
+
+def test_edited_descriptors_decide_the_build(spark, odd_tree):
+    from pathlib import Path
+
+    root = Path(odd_tree)
+    (root / "datapackage.json").write_text(
+        json.dumps({"resources": [{"name": "prov", "path": "prov/datapackage.json", "custom": {"charts": [
+            {"name": "mine", "title": "Mine", "frequency": "monthly", "start_date": "1990", "end_date": None}]}}]})
+    )
+    resource = {"name": "mine", "path": "a/b/1990.csv", "custom": {"frequency": "monthly"},
+                "schema": {"fields": [{"name": c} for c in ("date", "this_week", "artist", "song")]}}
+    (root / "prov" / "datapackage.json").write_text(json.dumps({"name": "prov", "resources": [resource]}))
+    path = scratch_dir(spark, "edited")
+    build_search_index(spark, odd_tree, path, multi_line=False)
+    rows = read_index(spark, path).collect()
+    assert [(r["provider"], r["chart"], r["frequency"], r["song"]) for r in rows] == [("prov", "mine", "monthly", "Song nested")]
+    assert [r["title"] for r in list_charts(spark, odd_tree).collect()] == ["Mine"]

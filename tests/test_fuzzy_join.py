@@ -51,3 +51,28 @@ def test_search_batch_equals_one_search_per_query(spark, six):
     assert got == want
     songs = sorted(tuple(r) for r in search_batch(six, qdf.select(F.lit("Leap Snog").alias("query")), by="song").collect())
     assert [r[-2] for r in songs] == ["Leap Artist"]
+
+
+def test_search_batch_with_all_fields_equals_one_search_per_query(spark, six):
+    from datetime import date
+
+    from toplist.operators.fuzzy_join import search_batch
+    from toplist.operators.lookup import search_hits
+
+    queries = [
+        ("q1", "Artst A", "Song A", None, None, None, None),
+        ("q2", "Artist A", "Song", None, "c1", None, None),
+        ("q3", "Artist", None, "p1", "", None, 1991),
+        ("q4", None, "Song C", None, None, date(1990, 1, 1), None),
+        ("q5", "", "Snog D", "p9", None, None, None),
+        ("q6", None, None, "p1", None, None, None),
+        ("q1", "Artst A", "Song A", None, None, None, None),
+        (None, "Artist A", None, None, None, None, None),
+    ]
+    schema = "query string, artist string, song string, provider string, chart string, date date, year int"
+    got = sorted(tuple(r) for r in search_batch(six, spark.createDataFrame(queries, schema)).collect())
+    want = set()
+    for q, artist, song, provider, chart, day, year in queries[:5]:
+        hits = search_hits(six, artist, song, day and day.isoformat(), year, provider=provider, chart=chart)
+        want |= {(q, *tuple(r)) for r in hits.collect()}
+    assert got == sorted(want) and len(got) >= 4

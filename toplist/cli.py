@@ -61,7 +61,9 @@ def _parser() -> argparse.ArgumentParser:
     g = sub.add_parser("generate", help="write Frictionless descriptors")
     g.add_argument("--out", default=None, help="output folder (default: <data>/descriptors)")
 
-    sub.add_parser("build-index", help="build the search index from the CSV files")
+    b = sub.add_parser("build-index", help="build the search index from the CSV files")
+    b.add_argument("--descriptors", default=None, help="folder of written descriptors (default: <data>/descriptors)")
+    b.add_argument("--single-line", action="store_true", help="fields hold no line breaks: split large files")
     return p
 
 
@@ -71,8 +73,8 @@ def chart_listing(charts):
 
     return charts.select(
         "provider", "name", "title", "frequency",
-        F.coalesce("start_date", F.lit("????")).alias("start_date"),
-        F.coalesce("end_date", F.lit("Present")).alias("end_date"),
+        F.coalesce(F.nullif("start_date", F.lit("")), F.lit("????")).alias("start_date"),
+        F.coalesce(F.nullif("end_date", F.lit("")), F.lit("Present")).alias("end_date"),
     )
 
 
@@ -95,9 +97,9 @@ def period_label(hits):
 def check_search_args(artist: str | None, song: str | None, date_str: str | None, year: int | None) -> str | None:
     """The command line's own rules: a name is required, date and year exclude each other."""
     if not artist and not song:
-        return "At least one of --artist or --song is required."
+        return "search needs a name: give --artist, --song or both"
     if date_str and year:
-        return "--date and --year are mutually exclusive."
+        return "give either --date or --year, not both"
     return None
 
 
@@ -113,15 +115,15 @@ def main(argv: list[str] | None = None) -> int:
     from toplist.operators.calendar import ones_calendar
     from toplist.operators.index import build_search_index, read_index
     from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart
-    from toplist.session import local_session
+    from toplist.session import command_session
     from toplist.sources.catalog import generate_frictionless_packages, list_charts
 
-    spark = local_session()
+    spark = command_session()
     spark.sparkContext.setLogLevel("ERROR")
     index_path = args.index or os.path.join(args.data, "search_index")
 
     if args.command == "build-index":
-        build_search_index(spark, args.data, index_path)
+        build_search_index(spark, args.data, index_path, args.descriptors, not args.single_line)
         return 0
     if args.command == "generate":
         generate_frictionless_packages(spark, args.data, args.out or os.path.join(args.data, "descriptors"))

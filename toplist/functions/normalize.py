@@ -32,54 +32,52 @@ REGEX_ARTICLES = r"^(the|a|an|el|la|los|las|un|una)\s+"
 REGEX_CONJUNCTIONS = r"\b(and|with|feat|ft|featuring|pres|presents|y|con|e|et)\b"
 REGEX_CLEAN = r"[^a-z0-9&]"
 
-# Java's `.` also stops at `\r` unless UNIX_LINES (?d) is on; Python's only at `\n`.
-_JAVA_PARENS = "(?d)" + REGEX_PARENS
+#: What happens to a folded name, in order: (pattern, replacement, flags for Java).  Both forms read
+#: this table.  Java's ``.`` also stops at ``\r`` unless UNIX_LINES is on; Python's only at ``\n``.
+RULES = [
+    (REGEX_PARENS, "", "(?d)"),
+    (REGEX_ARTICLES, "", ""),
+    (REGEX_CONJUNCTIONS, "&", ""),
+    (REGEX_CLEAN, "", ""),
+]
 
-# re.ASCII makes `\s` and `\b` ASCII-only, as they are in Java on ASCII text.
-_PY_PARENS = re.compile(REGEX_PARENS)
-_PY_ARTICLES = re.compile(REGEX_ARTICLES, re.ASCII)
-_PY_CONJUNCTIONS = re.compile(REGEX_CONJUNCTIONS, re.ASCII)
-_PY_CLEAN = re.compile(REGEX_CLEAN)
 
+@functools.cache
+def _folds() -> dict[str, str]:
+    """What each decomposable non-ASCII character folds to, derived from ``unicodedata`` (the rule itself).
 
-def fold_ascii(text: str) -> str:
-    """NFKD decomposition, then every non-ASCII code point removed."""
-    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+    NFKD only moves combining marks, which are non-ASCII and removed anyway, so
+    folding a string equals folding each character and concatenating.
+    Characters without a decomposition fold to nothing and are not listed.
+    """
+    decomposable = (chr(cp) for cp in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(cp)))
+    return {ch: "".join(filter(str.isascii, unicodedata.normalize("NFKD", ch))) for ch in decomposable}
 
 
-def normalize_text(text: str | None) -> str:
-    """Normalise one query string on the driver; ``None``/empty give ``""``."""
-    if not text:
-        return ""
-    s = fold_ascii(text.lower())
-    s = _PY_PARENS.sub("", s)
-    s = _PY_ARTICLES.sub("", s, count=1)
-    s = _PY_CONJUNCTIONS.sub("&", s)
-    s = _PY_CLEAN.sub("", s)
-    return s.strip()
+@functools.cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """The one-to-one folds as ``translate`` arguments and the expanding ones as a dict."""
+    single = {ch: to for ch, to in _folds().items() if len(to) == 1}
+    expand = {ch: to for ch, to in _folds().items() if len(to) > 1}
+    return "".join(single), "".join(single.values()), expand
 
 
 @functools.cache
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Per-code-point ASCII fold, derived from ``unicodedata`` (the rule itself).
+def _python_rules() -> list[tuple[re.Pattern[str], str]]:
+    # re.ASCII makes `\s` and `\b` ASCII-only, as they are in Java on ASCII text.
+    return [(re.compile(pattern, re.ASCII), to) for pattern, to, _ in RULES]
+
+
+def fold_ascii(text: str) -> str:
+    """``text`` with every character replaced by its ASCII fold; the same tables as the Column form."""
+    return "".join(ch if ch.isascii() else _folds().get(ch, "") for ch in text)
 
-    NFKD only moves combining marks, which are non-ASCII and removed anyway, so
-    folding a string equals folding each code point and concatenating.  Code
-    points without a decomposition fold to nothing.  Returns the one-to-one
-    folds as ``translate`` arguments and the expanding ones as a dict.
-    """
-    src, dst, expand = [], [], {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        ch = chr(cp)
-        if not unicodedata.decomposition(ch):
-            continue
-        folded = fold_ascii(ch)
-        if len(folded) == 1:
-            src.append(ch)
-            dst.append(folded)
-        elif folded:
-            expand[ch] = folded
-    return "".join(src), "".join(dst), expand
+
+def normalize_text(text: str | None) -> str:
+    """Normalise one query string on the driver by :data:`RULES`; ``None``/empty give ``""``."""
+    return functools.reduce(
+        lambda name, rule: rule[0].sub(rule[1], name), _python_rules(), fold_ascii((text or "").lower())
+    )
 
 
 def _literal_list(values: list[str]) -> Column:
@@ -118,9 +116,9 @@ def normalize_column(c: Column | str) -> Column:
     """Column expression equal to :func:`normalize_text` on non-null values."""
     if isinstance(c, str):
         c = F.col(c)
-    s = fold_ascii_column(F.lower(c))
-    s = F.regexp_replace(s, F.lit(_JAVA_PARENS), F.lit(""))
-    # Anchored at the start, so it can fire at most once.
-    s = F.regexp_replace(s, F.lit(REGEX_ARTICLES), F.lit(""))
-    s = F.regexp_replace(s, F.lit(REGEX_CONJUNCTIONS), F.lit("&"))
-    return F.regexp_replace(s, F.lit(REGEX_CLEAN), F.lit(""))
+    # The article's pattern is anchored at the start, so replacing all is replacing one.
+    return functools.reduce(
+        lambda name, rule: F.regexp_replace(name, F.lit(rule[2] + rule[0]), F.lit(rule[1])),
+        RULES,
+        fold_ascii_column(F.lower(c)),
+    )

@@ -21,10 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toplist.constants import DEFAULT_ANNIVERSARY_RANK
-from toplist.functions.dates import fortnight_day_col, parse_date, week_days_col, week_window
+from toplist.functions.dates import fortnight_day_col, parse_date, week_days_col
 from toplist.operators.lookup import empty_like, exact_filters
-from toplist.plans.broadcast import broadcast_if_bounded
-from toplist.plans.materialize import checkpoint_table
 from toplist.plans.ordering import sorted_result
 from toplist.schema import ANNIVERSARY_COLUMNS
 
@@ -45,31 +43,19 @@ def anniversary_hits(
     clock); a malformed date gives no rows.  A pure filter scan: the year
     bound prunes partitions, the rank reaches the Parquet reader.
     """
-    if date_str:
-        ref = parse_date(date_str)
-        if ref is None:
-            return empty_like(index, ANNIVERSARY_COLUMNS)
-    else:
-        ref = today or date.today()
-    w = week_window(ref)
-
-    freq = F.col("frequency")
-    doy = F.dayofyear("date")
-    if w.wrapped:
-        in_week = (doy >= w.start_yday) | (doy <= w.end_yday)
-    else:
-        in_week = doy.between(w.start_yday, w.end_yday)
-    weekly = (freq == "weekly") & in_week
-    monthly = (freq == "monthly") & (F.col("month") == ref.month)
-    fortnightly = (
-        (freq == "fortnightly")
-        & (F.col("month") == ref.month)
-        & (F.col("day") == w.fortnight_day)
+    ref = parse_date(date_str) if date_str else today or date.today()
+    if ref is None:
+        return empty_like(index, ANNIVERSARY_COLUMNS)
+    on = F.lit(ref)
+    frequency, same_month = F.col("frequency"), F.col("month") == F.month(on)
+    # The rule of each frequency on a literal date; its parts fold to constants.
+    in_period = (
+        F.when(frequency == "weekly", F.array_contains(week_days_col(on), F.dayofyear("date")))
+        .when(frequency == "fortnightly", same_month & (F.col("day") == fortnight_day_col(on)))
+        .when(frequency == "monthly", same_month)
     )
     df = exact_filters(index, provider, chart).where(
-        (F.col("this_week") == rank)
-        & (weekly | monthly | fortnightly)
-        & (F.col("year") <= ref.year)
+        (F.col("this_week") == rank) & (F.col("year") <= ref.year) & in_period
     )
     return sorted_result(df.select(*ANNIVERSARY_COLUMNS), *_ORDER)
 
@@ -93,7 +79,6 @@ def anniversary_batch(
     provider: str | None = None,
     chart: str | None = None,
     ref_col: str = "ref_date",
-    max_broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """:func:`anniversary_hits` for every date in ``refs[ref_col]`` in one join.
 
@@ -102,13 +87,16 @@ def anniversary_batch(
     ``1..end``), its month, and its (month, 1 or 15) -- tagged by frequency.
     Index rows carry the one key of their own frequency, so the whole rule is
     a single equi-join on ``(frequency, k1, k2)`` with ``year <= ref_year`` as
-    the residual condition.  The expanded reference side is broadcast when a
-    bounded count proves it small (dates are bounded by the calendar, at most
-    ~10 keys each); otherwise the join shuffles both sides on the key.
-    Output: ``ref_date`` plus the anniversary columns; one result set per
-    reference row.
+    the residual condition.  Dates that repeat in ``refs`` are joined once and
+    repeated afterwards; the distinct ones are bounded by the calendar, and the
+    planner decides how to join them.  Null dates match nothing.
+    Output (in no order): ``ref_date`` plus the anniversary columns; one result
+    set per reference row.
     """
-    r = F.col(ref_col)
+    counted = refs.where(F.col(ref_col).isNotNull()).groupBy(F.col(ref_col).alias("ref_date")).agg(
+        F.count("*").cast("int").alias("_times")
+    )
+    r = F.col("ref_date")
     week_days = week_days_col(r)
     keys = F.array(
         F.struct(F.lit("monthly").alias("frequency"), F.month(r).alias("k1"), F.lit(0).alias("k2")),
@@ -122,15 +110,9 @@ def anniversary_batch(
         week_days,
         lambda d: F.struct(F.lit("weekly").alias("frequency"), d.alias("k1"), F.lit(0).alias("k2")),
     )
-    expanded = refs.where(r.isNotNull()).select(
-        r.alias("ref_date"),
-        F.year(r).alias("ref_year"),
-        F.inline(F.concat(weekly_keys, keys)),
+    expanded = counted.select(
+        "ref_date", "_times", F.year(r).alias("ref_year"), F.inline(F.concat(weekly_keys, keys))
     )
-    # Materialised once: the size check would otherwise re-derive the
-    # reference dates (for instance a distinct over a large table) as a
-    # separate job before the query derives them again.
-    expanded = broadcast_if_bounded(checkpoint_table(expanded), max_broadcast_rows)
 
     k1, k2 = _period_key(F.col("frequency"), F.dayofyear("date"), F.col("month"), F.col("day"))
     rows = exact_filters(index, provider, chart).where(F.col("this_week") == rank).select(
@@ -143,6 +125,5 @@ def anniversary_batch(
         & (rows["k2"] == expanded["k2"])
         & (rows["year"] <= expanded["ref_year"]),
     )
-    return sorted_result(
-        joined.select("ref_date", *[rows[c] for c in ANNIVERSARY_COLUMNS]), "ref_date", *_ORDER
-    )
+    matched = joined.select("ref_date", "_times", *[rows[c] for c in ANNIVERSARY_COLUMNS])
+    return matched.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_time")

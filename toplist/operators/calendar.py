@@ -15,7 +15,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toplist.functions.dates import is_leap, is_leap_col
+from toplist.functions.dates import is_leap_col
 from toplist.operators.lookup import CHART_KEYS, exact_filters
 
 _ORDER = ["week", "date", "original_date", "event"]
@@ -40,10 +40,11 @@ def _event() -> Column:
     )
 
 
-def _in_year(year: Column, leap: Column) -> Column:
-    m, d = F.month("original_date"), F.dayofmonth("original_date")
-    d = F.when(~leap & (m == 2) & (d == 29), F.lit(28)).otherwise(d)
-    return F.make_date(year, m, d)
+def _in_year(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
+    """The same month and day in ``year``; 29 February is the 28th in common years."""
+    m = F.month("original_date") if month is None else month
+    d = F.dayofmonth("original_date") if day is None else day
+    return F.make_date(year, m, F.when(~is_leap_col(year) & (m == 2) & (d == 29), F.lit(28)).otherwise(d))
 
 
 def ones_calendar(
@@ -56,7 +57,7 @@ def ones_calendar(
     """``week, date, original_date, event`` for the target year (default: this year)."""
     target = year if year is not None else (today or date.today()).year
     firsts = first_number_ones(index, provider, chart)
-    mapped = firsts.withColumn("date", _in_year(F.lit(target), F.lit(is_leap(target))))
+    mapped = firsts.withColumn("date", _in_year(F.lit(target)))
     return mapped.select(
         F.weekofyear("date").alias("week"), "date", "original_date", _event().alias("event")
     ).orderBy(*_ORDER)
@@ -64,27 +65,43 @@ def ones_calendar(
 
 def calendar_batch(
     index: DataFrame,
-    years: list[int],
+    years: DataFrame | list[int],
     provider: str | None = None,
     chart: str | None = None,
+    year_col: str = "year",
 ) -> DataFrame:
-    """:func:`ones_calendar` for several target years from one scan and one aggregate.
+    """:func:`ones_calendar` for a table (or list) of target years from one scan and one aggregate.
 
-    The first-number-one rows are computed once and fanned out to the target
-    years with ``explode`` of a literal array (no join), so the work is the
-    aggregate plus ``len(years)`` rows per song.
-    Output: ``target_year`` plus the calendar columns.
+    Each distinct year is laid out as the 366 (month, day) pairs an entry can
+    have, with the date each falls on; first number ones meet it in one
+    equi-join on (month, day).  Null years match nothing; years repeated in the
+    table give one calendar.  Undated songs appear once per year, without date.
+    Output (in no order): ``target_year`` plus the calendar columns.
     """
-    firsts = first_number_ones(index, provider, chart).withColumn(
-        "target_year", F.explode(F.array(*[F.lit(int(y)) for y in years]))
+    spark = index.sparkSession
+    if not isinstance(years, DataFrame):
+        years = spark.createDataFrame([(int(y),) for y in years], f"{year_col} int")
+    distinct = years.select(F.col(year_col).cast("int").alias("target_year")).where("target_year is not null").distinct()
+    # The days of a leap year, and one undated place.
+    days = F.concat(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(365)),
+            lambda i: F.struct(
+                F.month(F.date_add(F.lit(date(2000, 1, 1)), i)).alias("m"),
+                F.dayofmonth(F.date_add(F.lit(date(2000, 1, 1)), i)).alias("d"),
+            ),
+        ),
+        F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("d"))),
     )
-    mapped = firsts.withColumn(
-        "date", _in_year(F.col("target_year"), is_leap_col(F.col("target_year")))
+    targets = distinct.select("target_year", F.inline(days)).withColumn(
+        "date", F.when(F.col("m") > 0, _in_year(F.col("target_year"), F.col("m"), F.col("d")))
+    )
+    firsts = first_number_ones(index, provider, chart).withColumns(
+        {
+            "m": F.coalesce(F.month("original_date"), F.lit(0)),
+            "d": F.coalesce(F.dayofmonth("original_date"), F.lit(0)),
+        }
+    )
+    return firsts.join(targets, ["m", "d"]).select(
+        "target_year", F.weekofyear("date").alias("week"), "date", "original_date", _event().alias("event")
     )
-    return mapped.select(
-        "target_year",
-        F.weekofyear("date").alias("week"),
-        "date",
-        "original_date",
-        _event().alias("event"),
-    ).orderBy("target_year", *_ORDER)

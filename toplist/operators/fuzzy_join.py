@@ -17,30 +17,32 @@ product, as hash equi-joins on signatures followed by exact verification:
   its own, each segment slot and each shift, its substring there -- 125
   keys whatever its length -- and the query emits its 5 segments.
 
-Both sides are reduced to distinct strings first, keys are hashed to
-64 bits (a collision only adds a candidate), candidate pairs are
-de-duplicated map-side right after the join, and every candidate is checked
-with the exact column predicate.  The routing guarantees each true pair is
-found by at least one branch: pairs with both strings short go through the
-neighbourhood branch, pairs with a string longer than ``max_delete_len``
-(hence both at least ``max_delete_len - 1`` long) through the segment branch.
+Both sides are reduced to distinct strings first and keys are hashed to
+64 bits (a collision only adds a candidate).  The exploded key tables are many
+times larger than the planner can tell from their inputs, so they meet in a
+merge join.  Candidate pairs are de-duplicated by an aggregate and only then
+checked with the exact column predicate, once per pair.  The routing finds each
+true pair in exactly one branch: pairs of two short strings in the
+neighbourhood branch, pairs with a string longer than ``max_delete_len`` (hence
+both at least ``max_delete_len - 1`` long) in the segment branch.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toplist.functions.fuzzy import dl_within2_columns
 from toplist.functions.normalize import normalize_column
-from toplist.plans.broadcast import broadcast_if_bounded
-from toplist.plans.materialize import checkpoint_table
 from toplist.schema import SEARCH_ROW_COLUMNS
 
 # Edits allowed (the search threshold) and the pigeonhole segment count.
 MAX_EDITS = 2
 SEGMENTS = 2 * MAX_EDITS + 1
-DEFAULT_MAX_DELETE_LEN = 30
+# Up to this length a string has fewer deletion keys than segment keys (at most 106 against 125 + 5).
+DEFAULT_MAX_DELETE_LEN = 14
 
 
 def _int_range(lo: Column, hi: Column) -> Column:
@@ -118,7 +120,8 @@ def name_segment_keys(a: Column, min_query_len: int) -> Column:
 def _candidates(q: DataFrame, n: DataFrame, q_keys: Column, n_keys: Column) -> DataFrame:
     qk = q.select("query", F.explode(q_keys).alias("key"))
     nk = n.select("name", F.explode(n_keys).alias("key"))
-    return qk.join(nk, "key").select("query", "name").distinct()
+    met = qk.hint("merge").join(nk.hint("merge"), "key")
+    return met.groupBy("query", "name").agg(F.count("*").alias("shared"))
 
 
 def fuzzy_name_join(
@@ -154,11 +157,14 @@ def fuzzy_name_join(
         name_segment_keys(F.col("name"), min_long),
     )
 
-    return (
-        by_deletion.unionByName(by_segment)
-        .distinct()
-        .where(dl_within2_columns(F.col("query"), F.col("name")))
-    )
+    by_segment = by_segment.where(F.greatest(F.length("query"), F.length("name")) > max_delete_len)
+    # The check depends on the aggregate's own column, so it cannot move below the de-duplication.
+    close = F.when(F.col("shared") > 0, dl_within2_columns(F.col("query"), F.col("name"))).otherwise(F.lit(False))
+    return by_deletion.unionByName(by_segment).where(close).select("query", "name")
+
+
+#: Columns a query table may have besides its key; null or empty means "any".
+QUERY_FIELDS = ["artist", "song", "provider", "chart", "date", "year"]
 
 
 def search_batch(
@@ -166,33 +172,64 @@ def search_batch(
     queries: DataFrame,
     query_col: str = "query",
     by: str = "artist",
-    max_broadcast_pairs: int = 1_000_000,
 ) -> DataFrame:
     """Row-mode search for a whole table of queries at once.
 
-    Each raw query is normalised like the index names, matched to the
-    *distinct* normalised names of the index by :func:`fuzzy_name_join`, and
-    the matching (query, name) pairs -- checkpointed once -- are joined back
-    to the index rows: broadcast when a bounded count proves the pair list
-    small, a shuffle join otherwise (AQE splits a hot name's partition).  Output: ``query``
-    plus the search row columns, one row per (query, matching index row).
-    The result can be several times the index (every query matches many
-    rows), so it is sorted directly: re-reading the index for the range
-    sampler is cheaper here than exchanging the result an extra time.
+    ``queries`` has a key ``query_col`` and any of :data:`QUERY_FIELDS`; a table
+    without a name column is read as one misspelt ``by`` name per row, the key
+    itself.  Each raw name is normalised like the index names and matched to the
+    *distinct* normalised names of the index by :func:`fuzzy_name_join`; the
+    matches meet the index rows in equi-joins on the normalised names (AQE
+    splits a hot name), and provider, chart, date and year are residual
+    conditions.  Queries that repeat count once; a query with neither artist nor
+    song, like one with a null key, matches nothing.
+    Output, in no order: ``query`` plus the search row columns.
     """
-    norm_col = {"artist": "artist_norm", "song": "song_norm"}[by]
-    q = queries.select(F.col(query_col).alias("query")).where(F.col("query").isNotNull()).distinct()
-    qn = q.select("query", normalize_column("query").alias("q_norm"))
-    names = index.select(F.col(norm_col).alias("name"))
-    pairs = fuzzy_name_join(qn.select(F.col("q_norm").alias("query")), names).select(
-        F.col("query").alias("q_norm"), F.col("name")
-    )
-    # The pairs are materialised once (reliable checkpoint in the shared
-    # folder): the size check below would otherwise re-run the whole fuzzy
-    # join as a separate job, and the query would run it a third time.
-    matches = checkpoint_table(qn.join(pairs, "q_norm").select("query", "name"))
-    matches = broadcast_if_bounded(matches, max_broadcast_pairs)
-    rows = index.join(matches, index[norm_col] == matches["name"])
-    return rows.select("query", *[index[c] for c in SEARCH_ROW_COLUMNS]).orderBy(
-        "query", "provider", "chart", "date", "this_week", "artist", "song"
-    )
+    fields = [c for c in QUERY_FIELDS if c in queries.columns and c != query_col]
+    given = {c: F.col(c) for c in fields}
+    if "artist" not in given and "song" not in given:
+        given[by] = F.col(query_col)
+    types = {"date": "date", "year": "int"}
+    q = queries.where(F.col(query_col).isNotNull()).select(
+        F.col(query_col).alias("query"),
+        *[
+            (F.nullif(given[c], F.lit("")) if c in given and c not in types else given.get(c, F.lit(None)))
+            .cast(types.get(c, "string"))
+            .alias("q_" + c)
+            for c in QUERY_FIELDS
+        ],
+    ).distinct()
+
+    def matches(name: str) -> DataFrame:
+        """The queries with this name, once per index name they match."""
+        named = q.where(F.col("q_" + name).isNotNull()).withColumn("_norm", normalize_column("q_" + name))
+        pairs = fuzzy_name_join(
+            named.select(F.col("_norm").alias("query")), index.select(F.col(name + "_norm").alias("name"))
+        )
+        pairs = pairs.select(F.col("query").alias("_norm"), F.col("name").alias(name + "_norm"))
+        return named.join(pairs, "_norm").drop("_norm")
+
+    filters = [F.col("q_" + c).isNull() | (F.col("q_" + c) == F.col(c)) for c in ("provider", "chart", "date", "year")]
+    every = reduce(lambda x, y: x & y, filters)
+    columns = ["query", *SEARCH_ROW_COLUMNS]
+    found = []
+    if "artist" in given:
+        rows = index.join(matches("artist"), "artist_norm").where(every)
+        if "song" in given:
+            songs = matches("song").where(F.col("q_artist").isNotNull()).select(
+                F.col("query").alias("s_query"), F.col("q_song").alias("s_song"), F.col("song_norm").alias("s_norm")
+            ).distinct()
+            both = rows.where(F.col("q_song").isNotNull()).join(
+                songs,
+                (F.col("query") == F.col("s_query"))
+                & (F.col("q_song") == F.col("s_song"))
+                & (F.col("song_norm") == F.col("s_norm")),
+                "left_semi",
+            )
+            found.append(both.select(*columns))
+            rows = rows.where(F.col("q_song").isNull())
+        found.append(rows.select(*columns))
+    if "song" in given:
+        alone = matches("song").where(F.col("q_artist").isNull())
+        found.append(index.join(alone, "song_norm").where(every).select(*columns))
+    return reduce(DataFrame.unionByName, found)

@@ -46,9 +46,8 @@ def index_entries(entries: DataFrame) -> DataFrame:
 
 log = logging.getLogger(__name__)
 
-# Range-partitioning / sort key of the written index: directory columns first,
-# then the columns queries filter on, then the names, so that even a single
-# hot chart date is split across tasks by the sampled range bounds.
+# Order inside the written files: directory columns first, then the columns
+# queries filter on, then the names.
 _CLUSTER_COLUMNS = [*INDEX_PARTITION_COLUMNS, "chart", "date", "this_week", "artist", "song"]
 
 
@@ -57,14 +56,12 @@ def build_index(
 ) -> None:
     """Normalise chart entries and write them as the index (see :func:`write_index`).
 
-    The range shuffle is placed *before* the normalisation, so the sampling
-    pass of the range partitioner only re-runs the cheap upstream stage and
-    the names are normalised once, after the shuffle.
+    The rows are dealt by (provider, year) before the normalisation, from their
+    real sizes: AQE splits a large directory over several tasks and joins small
+    ones, and nothing upstream runs twice.
     """
-    clustered = entries.repartitionByRange(
-        "provider", F.year("date"), "chart", "date", "this_week", "artist", "song"
-    )
-    _write(index_entries(clustered), path, mode, only_present_partitions)
+    dealt = entries.withColumn("_year", F.year("date")).hint("rebalance", "provider", "_year").drop("_year")
+    _write(index_entries(dealt), path, mode, only_present_partitions)
 
 
 def write_index(
@@ -72,22 +69,14 @@ def write_index(
 ) -> None:
     """Write index rows as Parquet partitioned by provider and year.
 
-    Rows are range-partitioned on ``provider, year, chart, date, this_week,
-    artist, song`` (one sampled shuffle): each task writes a contiguous key
-    range, so a directory gets few, large files instead of one file per task,
-    and a hot provider/year is split across tasks by the sampled boundaries
-    rather than landing in one task as hash partitioning on the directory
-    keys would do.  Inside a file rows are ordered by chart and date for
+    Rows are dealt by (provider, year), large directories split by AQE from
+    their real sizes.  Inside a file rows are ordered by chart and date for
     row-group pruning.  ``mode="overwrite"`` replaces the whole index (a full
     rebuild); with ``only_present_partitions`` it replaces only the
     (provider, year) directories present in ``index`` and keeps the others.
     """
-    _write(
-        index.select(*INDEX_COLUMNS).repartitionByRange(*_CLUSTER_COLUMNS),
-        path,
-        mode,
-        only_present_partitions,
-    )
+    dealt = index.select(*INDEX_COLUMNS).hint("rebalance", *INDEX_PARTITION_COLUMNS)
+    _write(dealt, path, mode, only_present_partitions)
 
 
 def _write(index: DataFrame, path: str, mode: str, only_present_partitions: bool) -> None:
@@ -116,8 +105,16 @@ def read_index(spark: SparkSession, path: str, missing_ok: bool = True) -> DataF
         return spark.createDataFrame([], INDEX_SCHEMA)
 
 
-def build_search_index(spark: SparkSession, data_root: str, path: str) -> None:
-    """Build the index from a provider tree of metadata + annual CSV files."""
-    from toplist.sources.csv_tree import read_chart_entries
+def build_search_index(
+    spark: SparkSession, data_root: str, path: str, descriptors: str | None = None, multi_line: bool = True
+) -> None:
+    """Build the index of a provider tree.
+
+    The charts and their files come from the catalog and package descriptors
+    (``descriptors`` names their folder, else the tree's own) where the tree
+    has them, and from the providers' metadata otherwise.  ``multi_line=False``
+    lets Spark split very large files whose fields hold no line breaks.
+    """
+    from toplist.sources.csv_tree import read_tree_entries
 
-    build_index(read_chart_entries(spark, data_root), path)
+    build_index(read_tree_entries(spark, data_root, descriptors, multi_line), path)

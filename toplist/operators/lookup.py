@@ -79,7 +79,7 @@ def show_chart(
         return empty_like(index, SHOW_COLUMNS)
     df = index.where((F.col("year") == d.year) & (F.col("date") == F.lit(d)))
     df = exact_filters(df, provider, chart)
-    return df.select(*SHOW_COLUMNS).orderBy("provider", "chart", "this_week", "artist", "song")
+    return sorted_result(df.select(*SHOW_COLUMNS), "provider", "chart", "this_week", "artist", "song")
 
 
 def fuzzy_name_filter(artist: str | None, song: str | None) -> Column | None:

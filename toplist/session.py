@@ -34,6 +34,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def command_session(app: str = "toplist") -> SparkSession:
+    """The launcher's session (master and settings of the submit); a local one when started as plain Python."""
+    return SparkSession.builder.appName(app).getOrCreate()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a fresh local folder when unset on a local master.
 

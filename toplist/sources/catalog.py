@@ -19,29 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toplist.plans.broadcast import broadcast_if_bounded
-
-SIZE_PERIOD = T.StructType(
-    [
-        T.StructField("start", T.StringType()),
-        T.StructField("end", T.StringType()),
-        T.StructField("size", T.IntegerType()),
-    ]
-)
-CHART_META = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("folder", T.StringType()),
-        T.StructField("prefix", T.StringType()),
-        T.StructField("size", T.IntegerType()),
-        T.StructField("frequency", T.StringType()),
-        T.StructField("day_of_week", T.StringType()),
-        T.StructField("start_date", T.StringType()),
-        T.StructField("end_date", T.StringType()),
-        T.StructField("size_history", T.ArrayType(SIZE_PERIOD)),
-        T.StructField("fields", T.ArrayType(T.StringType())),
-    ]
-)
+# What a chart entry is read as; every key of the document besides CHART_PARTS is kept in ``custom``.
+CHART_FIELDS = {
+    "name": "string",
+    "folder": "string",
+    "prefix": "string",
+    "frequency": "string",
+    "start_date": "string",
+    "end_date": "string",
+    "fields": "array<string>",
+}
+CHART_PARTS = ["name", "folder", "prefix", "fields"]
 PROVIDER_META = T.StructType(
     [
         T.StructField("name", T.StringType()),
@@ -49,7 +37,7 @@ PROVIDER_META = T.StructType(
         T.StructField("folder", T.StringType()),
         T.StructField("url", T.StringType()),
         T.StructField("prefix", T.StringType()),
-        T.StructField("charts", T.ArrayType(CHART_META)),
+        T.StructField("charts", T.ArrayType(T.VariantType())),
     ]
 )
 
@@ -72,9 +60,6 @@ CATALOG_NAME = "international-music-charts-1980-1999"
 CATALOG_TITLE = "International Music Charts Dataset (1980-1999)"
 CATALOG_DESCRIPTION = "A collection of standardized music chart datasets from multiple providers."
 
-_MAX_CHARTS_BROADCAST = 100_000
-
-
 def _path_part(path: Column, from_end: int) -> Column:
     """Path segment counted from the end (1 = file name)."""
     return F.element_at(F.split(path, "/"), -from_end)
@@ -91,7 +76,9 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """One row per provider directory holding a ``*-metadata.json``.
 
     Directories without one are skipped; when a directory holds several,
-    the first by path wins.  Adds ``provider`` (the directory name).
+    the first by path wins.  Adds ``provider`` (the directory name).  ``charts``
+    are structs of :data:`CHART_FIELDS` and ``custom``, a map of the document's
+    other keys with their values as they are.
     """
     root = root.rstrip("/")
     raw = (
@@ -103,7 +90,33 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
         .withColumn("provider", _path_part(F.col("_path"), 2))
     )
     first = raw.groupBy("provider").agg(F.min("_path").alias("_path"))
-    return raw.join(first, ["provider", "_path"], "left_semi").drop("_path")
+    kept = raw.join(first, ["provider", "_path"], "left_semi").drop("_path")
+    return kept.withColumn("charts", F.transform("charts", _chart))
+
+
+def _chart(c: Column) -> Column:
+    known = [F.variant_get(c, "$." + name, kind).alias(name) for name, kind in CHART_FIELDS.items()]
+    keys = F.map_filter(c.cast("map<string,variant>"), lambda k, _: ~k.isin(CHART_PARTS))
+    return F.struct(*known, keys.alias("custom"))
+
+
+def root_path(spark: SparkSession, root: str) -> str:
+    """The path part of the data root, fully qualified by its file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toUri().getPath().rstrip("/")
+
+
+def below_root(path: Column, root: str) -> Column:
+    """A file's path relative to the root (as :func:`root_path` gives it)."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substr(bare, F.lit(len(root) + 2))
+
+
+def clean_path(path: Column) -> Column:
+    """A relative path without empty and ``.`` segments (``a//b/./`` is ``a/b``)."""
+    return F.array_join(F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".")), "/")
 
 
 def chart_catalog(metadata: DataFrame) -> DataFrame:
@@ -118,8 +131,15 @@ def chart_catalog(metadata: DataFrame) -> DataFrame:
     )
 
 
-def list_charts(spark: SparkSession, root: str) -> DataFrame:
-    """All charts: ``provider, name, title, frequency, start_date, end_date``."""
+def list_charts(spark: SparkSession, root: str, descriptors: str | None = None) -> DataFrame:
+    """All charts: ``provider, name, title, frequency, start_date, end_date``.
+
+    Read from the written master catalog where the tree has one, and from the
+    providers' metadata otherwise.
+    """
+    written = find_catalog(spark, root, descriptors)
+    if written is not None:
+        return list_charts_from_catalog(spark, written)
     charts = chart_catalog(read_metadata(spark, root))
     return charts.select(
         "provider",
@@ -157,35 +177,39 @@ def field_schema(spark: SparkSession, root: str) -> DataFrame:
 
 
 def csv_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.csv`` two levels below ``root``: ``provider, folder, file`` (relative path)."""
-    root = root.rstrip("/")
-    try:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.csv")
-            .load(f"{root}/*/*")
-            .select("path")
-        )
-    except Exception as exc:  # no chart folder at all
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        return spark.createDataFrame([], "provider string, folder string, file string")
-    path = F.col("path")
+    """Every ``*.csv`` below a provider's folder: ``provider, folder, file``.
+
+    ``folder`` and ``file`` are relative to the provider; folders may be nested.
+    """
+    listing = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", True)
+        .load(root.rstrip("/"))
+        .select(F.split(below_root(F.col("path"), root_path(spark, root)), "/").alias("parts"))
+        .where(F.size("parts") > 1)
+    )
+    n = F.size("parts")
     return listing.select(
-        _path_part(path, 3).alias("provider"),
-        _path_part(path, 2).alias("folder"),
-        F.concat_ws("/", _path_part(path, 2), _path_part(path, 1)).alias("file"),
+        F.col("parts")[0].alias("provider"),
+        F.array_join(F.slice("parts", F.lit(2), n - 2), "/").alias("folder"),
+        F.array_join(F.slice("parts", F.lit(2), n - 1), "/").alias("file"),
     )
 
 
-def _resources(spark: SparkSession, root: str, charts: DataFrame) -> DataFrame:
-    """Per chart: its data-resource struct (with the sorted CSV path list)."""
+def charts_with_files(spark: SparkSession, root: str, charts: DataFrame) -> DataFrame:
+    """``charts`` with ``paths``: the sorted CSV files of the chart's folder (none: an empty list)."""
     files = csv_files(spark, root).groupBy("provider", "folder").agg(
         F.sort_array(F.collect_list("file")).alias("paths")
     )
-    charts = charts.withColumn("folder", F.col("chart.folder"))
-    with_files = charts.join(broadcast_if_bounded(files, _MAX_CHARTS_BROADCAST), ["provider", "folder"], "left")
-    custom = F.col("chart").dropFields("name", "folder", "prefix", "fields")
+    charts = charts.withColumn("folder", clean_path(F.col("chart.folder")))
+    joined = charts.join(files, ["provider", "folder"], "left")
+    return joined.withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+
+
+def _resources(spark: SparkSession, root: str, charts: DataFrame) -> DataFrame:
+    """Per chart: its data-resource struct (with the sorted CSV path list)."""
+    with_files = charts_with_files(spark, root, charts)
     return with_files.select(
         "provider",
         "chart_pos",
@@ -193,12 +217,12 @@ def _resources(spark: SparkSession, root: str, charts: DataFrame) -> DataFrame:
             F.lit("tabular-data-resource").alias("profile"),
             F.col("chart.prefix").alias("name"),
             F.col("chart.name").alias("title"),
-            F.coalesce("paths", F.array().cast("array<string>")).alias("path"),
+            F.col("paths").alias("path"),
             F.lit("csv").alias("format"),
             F.lit("text/csv").alias("mediatype"),
             F.struct(F.lit(",").alias("delimiter")).alias("dialect"),
             table_schema(F.col("chart.fields")).alias("schema"),
-            custom.alias("custom"),
+            F.col("chart.custom").alias("custom"),
         ).alias("resource"),
     )
 
@@ -211,7 +235,10 @@ def package_descriptors(spark: SparkSession, root: str) -> DataFrame:
     metadata = read_metadata(spark, root)
     resources = _resources(spark, root, chart_catalog(metadata))
     gathered = resources.groupBy("provider").agg(
-        F.sort_array(F.collect_list(F.struct("chart_pos", "resource"))).alias("res")
+        F.array_sort(
+            F.collect_list(F.struct("chart_pos", "resource")),
+            lambda x, y: x["chart_pos"] - y["chart_pos"],
+        ).alias("res")
     )
     pkg = metadata.join(gathered, "provider", "left").select(
         "provider",
@@ -319,7 +346,18 @@ PACKAGE_READ = T.StructType(
                 T.StructType(
                     [
                         T.StructField("name", T.StringType()),
-                        T.StructField("path", T.ArrayType(T.StringType())),
+                        T.StructField("path", T.VariantType()),
+                        T.StructField(
+                            "schema",
+                            T.StructType(
+                                [
+                                    T.StructField(
+                                        "fields",
+                                        T.ArrayType(T.StructType([T.StructField("name", T.StringType())])),
+                                    )
+                                ]
+                            ),
+                        ),
                         T.StructField(
                             "custom", T.StructType([T.StructField("frequency", T.StringType())])
                         ),
@@ -363,22 +401,63 @@ def list_charts_from_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """Validated provider packages -> one row per chart resource.
 
-    ``package, chart, frequency, paths``; ``frequency`` is read by nested path
-    from ``custom.frequency`` and is required.
+    ``provider, package, chart, frequency, paths, fields``; ``provider`` is the
+    package's folder, ``paths`` a list whether the document has a list or one
+    string, and ``frequency``, read by nested path from ``custom.frequency``, is
+    required.
     """
-    doc = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(PACKAGE_READ).json(path)
+    doc = (
+        spark.read.option("multiLine", True)
+        .option("mode", "FAILFAST")
+        .schema(PACKAGE_READ)
+        .json(path)
+        .select("*", source_path().alias("_path"))
+    )
     res = doc.select(
+        F.regexp_replace(_path_part(F.col("_path"), 2), "^provider=", "").alias("provider"),
         F.col("name").alias("package"),
         F.explode(_required(F.col("resources"), "resources")).alias("r"),
     )
+    one = F.try_variant_get(F.col("r.path"), "$", "string")
     return res.select(
+        "provider",
         "package",
         _required(F.col("r.name"), "resources[].name").alias("chart"),
         _required(F.col("r.custom.frequency"), "resources[].custom.frequency").alias("frequency"),
-        F.col("r.path").alias("paths"),
+        F.coalesce(F.try_variant_get(F.col("r.path"), "$", "array<string>"), F.array(one)).alias("paths"),
+        F.col("r.schema.fields.name").alias("fields"),
     )
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def find_catalog(spark: SparkSession, root: str, descriptors: str | None = None) -> str | None:
+    """Where the written master catalog is: the descriptors' folder or the root itself; ``None`` without one."""
+    root = root.rstrip("/")
+    places = [f"{(descriptors or root + '/descriptors').rstrip('/')}/catalog", f"{root}/datapackage.json"]
+    return next((p for p in places if _is_there(spark, p)), None)
+
+
+def read_described_charts(spark: SparkSession, root: str, descriptors: str | None = None) -> DataFrame:
+    """The charts of the catalog's providers as their package descriptors have them (:func:`read_packages`).
+
+    Packages are the generated ones beside the catalog, or ``datapackage.json``
+    in the providers' folders; only providers of the catalog count.
+    """
+    root = root.rstrip("/")
+    catalog = find_catalog(spark, root, descriptors)
+    if catalog is None:
+        raise ValueError(f"no catalog under {descriptors or root}")
+    beside = catalog.rsplit("/", 1)[0] + "/packages"
+    where = f"{beside}/provider=*" if catalog.endswith("/catalog") else f"{root}/*/datapackage.json"
+    providers = read_catalog(spark, catalog).select("provider")
+    return read_packages(spark, where).join(providers, "provider", "left_semi")
+
+
 def generate_frictionless_packages(spark: SparkSession, root: str, out: str | None = None) -> None:
     """Write descriptors under ``out`` (default ``<root>/descriptors``):
     ``packages/provider=<dir>/`` and ``catalog/``.
@@ -387,9 +466,10 @@ def generate_frictionless_packages(spark: SparkSession, root: str, out: str | No
     part files, so files are not placed inside the data tree).
     """
     out = out or f"{root.rstrip('/')}/descriptors"
-    package_descriptors(spark, root).write.mode("overwrite").partitionBy("provider").text(
-        f"{out.rstrip('/')}/packages"
-    )
+    # Static overwrite whatever the session says: packages of providers that are gone go too.
+    package_descriptors(spark, root).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("provider").text(f"{out.rstrip('/')}/packages")
     master_catalog(spark, root).coalesce(1).write.mode("overwrite").text(
         f"{out.rstrip('/')}/catalog"
     )

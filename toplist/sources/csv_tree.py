@@ -1,39 +1,57 @@
 """Annual chart CSV files -> typed chart entries.
 
-Layout: ``<root>/<provider dir>/<chart folder>/YYYY.csv`` with a header row;
-the column layout of each chart is the ``fields`` list of its metadata.
+Layout: ``<root>/<provider dir>/<chart folder>/YYYY.csv`` with a header row.
+Which files belong to which chart, and the column layout, come from the package
+descriptors (their ``path`` and ``schema``) or from the providers' metadata
+(every CSV file directly in the chart's folder, the ``fields`` list).
 
 Spark maps a CSV schema onto columns by *position*, so files are read in
-groups of identical layout -- one multi-path scan per distinct ``fields``
-list (usually one for the whole tree) -- with ``enforceSchema=false``, which
+groups of identical layout -- one multi-path scan per distinct field list
+(usually one for the whole tree) -- with ``enforceSchema=false``, which
 checks every file's header against the layout and fails the read on a
 mismatch instead of silently swapping columns.  Columns arrive as strings;
 ``date`` is parsed strictly as ``yyyy-MM-dd`` and ``this_week`` cast strictly
 to bigint (ANSI mode: a malformed value fails the build; empty stays null).
-The provider/chart/frequency tags come from a size-checked broadcast join
-of each row's file folder to the chart catalog.
+The provider/chart/frequency tags come from a join of each row's file to the
+list of files.
 """
 
 from __future__ import annotations
 
+import logging
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toplist.plans.broadcast import broadcast_if_bounded
-from toplist.sources.catalog import _path_part, chart_catalog, csv_files, read_metadata, source_path
+from toplist.sources.catalog import (
+    below_root,
+    chart_catalog,
+    charts_with_files,
+    clean_path,
+    find_catalog,
+    read_described_charts,
+    read_metadata,
+    root_path,
+    source_path,
+)
 
 REQUIRED = ["date", "this_week", "artist", "song"]
-_MAX_CHARTS_BROADCAST = 100_000
+
+log = logging.getLogger(__name__)
+
+
+def _literal_glob(path: str) -> str:
+    """A path that Hadoop's globbing reads as it stands."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def _read_layout(
-    spark: SparkSession, globs: list[str], fields: list[str], multi_line: bool
+    spark: SparkSession, root: str, files: list[str], fields: list[str], multi_line: bool
 ) -> DataFrame:
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    path = source_path()
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -41,64 +59,37 @@ def _read_layout(
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "FAILFAST")
-        .csv(globs)
-        .select(
-            *REQUIRED,
-            _path_part(path, 3).alias("_provider"),
-            _path_part(path, 2).alias("_folder"),
-        )
+        .csv([f"{root}/{_literal_glob(f)}" for f in files])
+        .select(*REQUIRED, below_root(source_path(), root_path(spark, root)).alias("_file"))
     )
 
 
-def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
-    """All chart rows under ``root`` as ``provider, chart, frequency, date, this_week, artist, song``.
-
-    ``multi_line`` keeps quoted fields with embedded newlines intact (RFC 4180)
-    at the price of one task per file; annual chart files are small, so that
-    is the default.  Pass ``False`` for very large files without embedded
-    newlines to let Spark split them.  Raises ``ValueError`` when the metadata
-    declares no chart.
-    """
+def _read_files(spark: SparkSession, root: str, charts: DataFrame, multi_line: bool) -> DataFrame:
+    """Entries of ``charts`` (``provider, chart, frequency, fields, paths``)."""
     root = root.rstrip("/")
-    charts = chart_catalog(read_metadata(spark, root)).select(
-        "provider",
-        F.col("chart.folder").alias("folder"),
-        F.col("chart.prefix").alias("chart"),
-        F.col("chart.frequency").alias("frequency"),
-        F.col("chart.fields").alias("fields"),
-    )
-    # Layouts and chart folders are catalog metadata (one entry per chart);
-    # folders without any CSV file are left out of the scan.
-    with_files = charts.join(
-        csv_files(spark, root).select("provider", "folder").distinct(),
-        ["provider", "folder"],
-        "left_semi",
-    )
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in with_files.select("provider", "folder", "fields").distinct().collect():
+    files = charts.select(
+        "provider", "chart", "frequency", "fields", F.explode_outer("paths").alias("path")
+    ).withColumn("_file", clean_path(F.concat_ws("/", "provider", "path")))
+    # The list of files is catalog metadata: one entry per chart and year.
+    layouts: dict[tuple[str, ...], set[str]] = {}
+    for row in files.collect():
+        if row["path"] is None:
+            log.warning("Chart %s of %s has no file.", row["chart"], row["provider"])
+            continue
         fields = tuple(row["fields"] or REQUIRED)
         missing = [c for c in REQUIRED if c not in fields]
         if missing:
-            raise ValueError(f"chart {row['provider']}/{row['folder']} lacks columns {missing}")
-        layouts.setdefault(fields, []).append(f"{root}/{row['provider']}/{row['folder']}/*.csv")
+            raise ValueError(f"chart {row['provider']}/{row['chart']} lacks columns {missing}")
+        layouts.setdefault(fields, set()).add(row["_file"])
     if not layouts:
         raise ValueError("No data found to index.")
-
-    scans = [
-        _read_layout(spark, sorted(set(globs)), list(fields), multi_line)
-        for fields, globs in sorted(layouts.items())
-    ]
-    rows = reduce(DataFrame.unionByName, scans)
-
-    tags = broadcast_if_bounded(
-        charts.select(
-            F.col("provider").alias("_provider"), F.col("folder").alias("_folder"), "chart", "frequency"
-        ),
-        _MAX_CHARTS_BROADCAST,
+    rows = reduce(
+        DataFrame.unionByName,
+        [_read_layout(spark, root, sorted(fs), list(fields), multi_line) for fields, fs in sorted(layouts.items())],
     )
-    tagged = rows.join(tags, ["_provider", "_folder"])
-    return tagged.select(
-        F.col("_provider").alias("provider"),
+    tags = files.where("path is not null").select("_file", "provider", "chart", "frequency").distinct()
+    return rows.join(tags, "_file").select(
+        "provider",
         "chart",
         "frequency",
         F.to_date("date", "yyyy-MM-dd").alias("date"),
@@ -107,3 +98,39 @@ def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True)
         "song",
     )
 
+
+def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """All chart rows under ``root`` as ``provider, chart, frequency, date, this_week, artist, song``.
+
+    Charts and their folders (nested or not) come from the providers' metadata;
+    a chart without files is logged.  ``multi_line`` keeps quoted fields with
+    embedded newlines intact (RFC 4180) at the price of one task per file;
+    annual chart files are small, so that is the default.  Pass ``False`` for
+    very large files without embedded newlines to let Spark split them.  Raises
+    ``ValueError`` when no chart has a file.
+    """
+    charts = chart_catalog(read_metadata(spark, root))
+    listed = charts_with_files(spark, root, charts).select(
+        "provider",
+        F.col("chart.prefix").alias("name"),
+        F.col("chart.frequency").alias("frequency"),
+        F.col("chart.fields").alias("fields"),
+        "paths",
+    )
+    return _read_files(spark, root, listed.withColumnRenamed("name", "chart"), multi_line)
+
+
+def read_described_entries(
+    spark: SparkSession, root: str, descriptors: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """The same rows for the charts, files and layouts that catalog and package descriptors declare."""
+    return _read_files(spark, root, read_described_charts(spark, root, descriptors), multi_line)
+
+
+def read_tree_entries(
+    spark: SparkSession, root: str, descriptors: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Entries by the descriptors where the tree has a catalog, by its metadata otherwise."""
+    if find_catalog(spark, root, descriptors) is not None:
+        return read_described_entries(spark, root, descriptors, multi_line)
+    return read_chart_entries(spark, root, multi_line)

@@ -13,18 +13,14 @@ brand and a "song" per part name, ranked by units shipped in each chart period.
 * artist    = by ``p_partkey % 4``: ``The <brand>``, ``<brand> feat. <nation>``,
   ``Éd <brand>`` or ``<brand>``
 * song      = ``<p_name> (Remix)`` when ``p_size % 3 = 0``, else ``p_name``
-* this_week = rank by units desc, then artist, song within (chart, date); top 40
+* this_week = rank by units desc, then artist, song within (chart, date); every entry is ranked
 
 Plan shape: line items cannot be pre-aggregated before the part join (the
-chart period depends on the part type).  Part and supplier (with its nation
-and region) are each broadcast only when a bounded count proves them small
-(``DIM_BROADCAST_ROWS``); the line items then flow through both hash joins
-and the partial aggregate without being shuffled.  Beyond the bound (part
-and supplier grow with the scale factor) the planner falls back to shuffle
-joins, with AQE free to re-plan from runtime sizes.  One partial+final
-aggregate on the chart key, then ``row_number() <= 40`` per (chart, date),
-which Spark plans as a per-partition group limit *before* the window
-shuffle, so a hot chart date ships at most 40 rows per map task.
+chart period depends on the part type); join strategies are the planner's and
+AQE's choice.  One partial+final aggregate on the chart key.  A chart date of
+any size is ranked without gathering it: entries are counted per (chart, date,
+units), the counts -- one row per distinct number of units -- are summed from
+the top, and only entries with equal units are numbered by name in one window.
 """
 
 from __future__ import annotations
@@ -32,14 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from toplist.plans.broadcast import broadcast_if_bounded
 from toplist.sources.tables import read_table
 
-# Fixed value: entries per chart date in the derived feed.
-FEED_CHART_SIZE = 40
-# Rows a dimension side (part, supplier) may hold to be broadcast.
-DIM_BROADCAST_ROWS = 1_000_000
-
 
 def _period_date(frequency: F.Column, ship_date: F.Column) -> F.Column:
     month_start = F.trunc(ship_date, "month")
@@ -53,9 +43,17 @@ def _period_date(frequency: F.Column, ship_date: F.Column) -> F.Column:
     )
 
 
-def chart_feed(
-    spark: SparkSession, data_dir: str, snap: bool = True, chart_size: int = FEED_CHART_SIZE
-) -> DataFrame:
+def rank_entries(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``this_week``: 1 for the most ``units`` of a (chart, date), ties by artist, song."""
+    counts = entries.groupBy("chart", "date", "units").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("chart", "date").orderBy(F.desc("units")).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select("chart", "date", "units", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    equal = Window.partitionBy("chart", "date", "units").orderBy("artist", "song")
+    ranked = entries.join(places, ["chart", "date", "units"]).withColumn("_place", F.row_number().over(equal))
+    return ranked.withColumn("this_week", (F.col("_above") + F.col("_place")).cast("bigint")).drop("_above", "_place")
+
+
+def chart_feed(spark: SparkSession, data_dir: str, snap: bool = True) -> DataFrame:
     """Chart entries ``provider, chart, frequency, date, artist, song, this_week``."""
     lineitem = read_table(spark, data_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
@@ -67,17 +65,10 @@ def chart_feed(
     nation = read_table(spark, data_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, data_dir, "region").select("r_regionkey", "r_name")
 
-    geo = broadcast_if_bounded(
-        nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "n_nationkey", "n_name", "r_name"
-        ),
-        max_rows=10_000,
-    )
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     supplier_geo = supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "n_name", "r_name"
     )
-    part = broadcast_if_bounded(part, DIM_BROADCAST_ROWS)
-    supplier_geo = broadcast_if_bounded(supplier_geo, DIM_BROADCAST_ROWS)
 
     joined = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
         supplier_geo, F.col("l_suppkey") == F.col("s_suppkey")
@@ -103,7 +94,7 @@ def chart_feed(
         F.when(key4 == 1, F.col("n_name")).alias("feat"),
         "p_name",
         (F.col("p_size") % 3 == 0).alias("remix"),
-    ).agg(F.sum("l_quantity").alias("units"))
+    ).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("units"))
 
     provider = F.lower(F.regexp_replace("r_name", " ", "-"))
     artist = (
@@ -123,8 +114,6 @@ def chart_feed(
         "units",
     )
 
-    w = Window.partitionBy("chart", "date").orderBy(F.desc("units"), "artist", "song")
-    ranked = units.withColumn("this_week", F.row_number().over(w).cast("bigint"))
-    return ranked.where(F.col("this_week") <= chart_size).select(
+    return rank_entries(units).select(
         "provider", "chart", "frequency", "date", "artist", "song", "this_week"
     )
