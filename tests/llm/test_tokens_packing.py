@@ -1,0 +1,168 @@
+"""Chunk tokenizer against the library, packing round trips, Huffman files against the ids."""
+
+from __future__ import annotations
+
+import heapq
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from toplist.llm.huffman import Codes, code_lengths, read_tokens, write_tokens
+from toplist.llm.packing import best_fit, pack, pack_documents
+from toplist.llm.tokens import ChunkTokenizer
+from toplist.session import scratch_dir
+
+FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
+CHUNKS = {f: ChunkTokenizer(public_tokenizers.path(f), remembered=50) for f in FILES}
+
+TEXTS = [
+    "", " ", "\n\n  a", "It's  the\tend.\r\n", "don't 123 4567 ñandú", "a b 　 c", "<|endoftext|> x",
+    " <|startoftext|>y", "é ́x", "tab\x0b\x0cfeed  ", "🙂 🙂\n", "x" * 3000 + " " * 50, "\x85a \x1cb",
+]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_chunks_equal_the_library(file):
+    want = [LIBRARY[file].encode(t, add_special_tokens=False).ids for t in TEXTS]
+    for _ in range(2):  # the second time from memory
+        assert [x.tolist() for x in CHUNKS[file].encode(TEXTS)] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'sdé1.A "), st.characters(codec="utf-8")), max_size=40), max_size=4))
+def test_chunks_equal_the_library_on_any_text(texts):
+    for file in FILES:
+        want = [LIBRARY[file].encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in CHUNKS[file].encode(texts)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_best_fit_places_every_item_in_the_fullest_bin_with_room(sizes):
+    rooms = {}
+    for size, place in zip(sizes, best_fit(sizes, 20), strict=True):
+        fitting = [r for r in rooms.values() if r >= size]
+        assert rooms.get(place, 20) == (min(fitting) if fitting else 20)
+        rooms[place] = rooms.get(place, 20) - size
+        assert rooms[place] >= 0
+
+
+def check_places(rows, capacity):
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(sequences)
+
+
+def test_pack_in_rounds_is_near_the_bound(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(1, 300, 3000), rng.integers(300, 1025, 1500)]).tolist()
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "id long, length long")
+    rows = pack(df, 1024, items_per_group=300).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(sizes)))
+    n = check_places(rows, 1024)
+    assert n <= 1.02 * sum(sizes) / 1024 + 1
+
+
+def test_pack_items_that_cannot_join(spark):
+    df = spark.range(2000).select("id", F.lit(600).cast("long").alias("length"))
+    assert check_places(pack(df, 1024, items_per_group=100).collect(), 1024) == 2000
+
+
+def test_pack_nothing(spark):
+    assert pack(spark.createDataFrame([], "length long, offset string"), 1024).collect() == []
+
+
+DOCS = [(1, "one two three"), (2, None), (2, "again"), (None, ""), (3, "word " * 5000), (4, "one two three"), (5, "  ")]
+
+
+def test_pack_documents_round_trip(spark):
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in DOCS], "doc_id long, text string, ids string, offset int")
+    path = public_tokenizers.path(FILES[0])
+    rows = pack_documents(df, path, carry=["doc_id", "text"]).collect()
+    check_places(rows, 1024)
+    found = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        ids = np.frombuffer(r["ids"], dtype="<u2")
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"]
+        key = (r["_row"]["doc_id"], r["_row"]["text"])
+        assert len(found.get(key, [])) == r["start"]
+        found[key] = [*found.get(key, []), *ids.tolist()]
+    want = {(i, t): [*LIBRARY[FILES[0]].encode(t or "", add_special_tokens=False).ids, 2] for i, t in DOCS}
+    assert found == want
+
+
+def huffman_cost(counts):
+    heap = sorted(counts)
+    total = 0
+    while len(heap) > 1:
+        x = heapq.heappop(heap) + heapq.heappop(heap)
+        total += x
+        heapq.heappush(heap, x)
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 5000), min_size=2, max_size=50))
+def test_code_lengths_are_optimal_where_the_limit_does_not_bind(counts):
+    lengths = code_lengths(np.arange(len(counts)), np.array(counts), 40)
+    assert int((lengths * np.array(counts)).sum()) == huffman_cost(counts)
+
+
+def test_code_lengths_keep_the_limit():
+    counts = np.array([2**i for i in range(30)])
+    lengths = code_lengths(np.arange(30), counts, 6)
+    assert lengths.max() == 6 and sum(2.0**-x for x in lengths.tolist()) <= 1
+    with pytest.raises(ValueError, match="do not fit"):
+        code_lengths(np.arange(100), np.ones(100, dtype=np.int64), 6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 300), max_size=2000), st.integers(1, 70))
+def test_codes_round_trip(ids, block):
+    ids = np.array(ids, dtype=np.int64)
+    lengths = np.zeros(301, dtype=np.int64)
+    seen, counts = np.unique(ids, return_counts=True)
+    if len(seen):
+        lengths[seen] = code_lengths(seen, counts, 9)
+    codes = Codes(lengths)
+    data, offsets = codes.encode(ids, block)
+    assert codes.decode(data, offsets, len(ids), block).tolist() == ids.tolist()
+
+
+def test_files_round_trip(spark):
+    df = spark.createDataFrame([(i, t, 0) for i, t in DOCS], "doc_id long, text string, part int").repartition(3)
+    path = scratch_dir(spark, "token-test")
+    write_tokens(df, path, public_tokenizers.path(FILES[1]), shard_ids=100)
+    rows = sorted(read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    want = {}
+    for i, t in DOCS:
+        want.setdefault(i, []).append([*LIBRARY[FILES[1]].encode(t or "", add_special_tokens=False).ids, 2])
+    ids = [r["_row"]["doc_id"] for r in rows]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() in want[r["_row"]["doc_id"]]
+    assert len(rows) == len(DOCS)
+
+
+def test_files_of_an_empty_table(spark):
+    path = scratch_dir(spark, "token-test")
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    write_tokens(empty, path, public_tokenizers.path(FILES[1]))
+    assert read_tokens(spark, path).collect() == []

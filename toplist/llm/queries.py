@@ -14,6 +14,7 @@ from toplist.llm.huffman import token_files
 from toplist.llm.language_id import identify, train
 from toplist.llm.mixing import mix_sources
 from toplist.llm.near_duplicates import near_duplicates
+from toplist.llm.oracles import ORACLES
 from toplist.llm.packing import pack, token_pieces
 from toplist.llm.quality_classifier import classify
 from toplist.llm.quality_rules import quality_rules
@@ -71,7 +72,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "class_distance", "word_distance",
+        "base_failed", "kept",
+        # Rounded: the last digits depend on the order of the sums.
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
 
 
@@ -96,6 +99,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,5 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language_id, op7_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_quality_classifier,
     )
 }
-
-ORACLES: dict[str, str] = {}
