@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from toplist.llm.common import running_totals, stored, words
 
 # Samples of a fingerprint and bits kept of each (a chance agreement: 1 in 2**24).
-SAMPLES = 16
+SAMPLES = 32
 BITS = 24
 # ln(a) lies between -SHIFT and 127 - SHIFT; its fixed-point steps of one.
 SHIFT = 64
@@ -132,22 +132,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ).alias("x"),
     ).select("key", "copies", "x.which", "x.text")
     drawn = signatures(both, ["key", "copies", "which"], "text", samples, "copies")
+    # One job for both, so that the texts are dealt once.
+    hashes = pairs.select("key", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     signed = stored(
-        drawn.groupBy("key").agg(
+        drawn.groupBy("key")
+        .agg(
             F.max(F.when(F.col("which") == 0, F.col("samples"))).alias("own"),
             F.max(F.when(F.col("which") == 1, F.col("samples"))).alias("edit"),
-        ),
+        )
+        .join(hashes.dropDuplicates(["key"]), "key"),
         "fingerprint-signatures",
     )
-    hashes = stored(
-        pairs.select("key", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).dropDuplicates(["key"]),
-        "fingerprint-hashes",
-    )
     following = signed.join(links, "key").select(F.col("to_key").alias("key"), F.col("own").alias("next"))
     return (
         places.select("key", "id", "n_chars")
         .join(signed, "key")
-        .join(hashes, "key")
         .join(following, "key")
         .select(
             F.col("id").alias(id_col),
