@@ -2,8 +2,9 @@
 
 A tokenizer that splits its input at white space before merging gives a text
 the concatenation of its chunks' ids, where a chunk is a run of white space and
-the run of other characters after it.  Corpora repeat their chunks, so each
-worker asks the library for a chunk once and looks it up afterwards.  Texts
+the run of other characters after it; such a tokenizer also ends a piece where
+marks follow a letter.  Corpora repeat their chunks, so each worker asks the
+library for a chunk once and looks it up afterwards.  Texts
 with white space other than the ASCII one, where a run could reach over a cut,
 are encoded whole.
 """
@@ -13,7 +14,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Chunks remembered per worker before the table starts afresh (speed and memory only).
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 1_000_000
 # ASCII white space, and white space or separators outside it.
 _CHUNK = re.compile("[ \\t\\n\\x0b\\x0c\\r]*[^ \\t\\n\\x0b\\x0c\\r]+|[ \\t\\n\\x0b\\x0c\\r]+")
 _OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+# Fixed value: ASCII marks that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ChunkTokenizer:
@@ -46,32 +50,60 @@ class ChunkTokenizer:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        new = list({c for c in chunks if c not in self.place})
-        for chunk, ids in zip(new, self._whole(new), strict=True):
-            self.place[chunk] = len(self.first)
-            self.first.append(len(self.ids))
-            self.size.append(len(ids))
-            self.ids.extend(ids)
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks)), strict=True))
+        self.first.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int32).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+
+    def _ask(self, chunks: list[str]) -> None:
+        found = self._whole(chunks)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self._add(chunks, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes)
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember new chunks.  One that ends in marks after a letter is its two parts, known or asked for alone."""
+        place, parts, ask = self.place, {}, set()
+        for chunk in new:
+            stem = chunk.rstrip(MARKS)
+            if len(stem) < len(chunk) and stem[-1:].isalpha():
+                parts[chunk] = both = stem, chunk[len(stem) :]
+                ask.update(x for x in both if x not in place)
+            else:
+                ask.add(chunk)
+        self._ask(list(ask))
+        if parts:
+            at = np.fromiter(map(place.__getitem__, chain.from_iterable(parts.values())), dtype=np.int64)
+            ids, sizes = self._ids_at(at)
+            self._add(list(parts), ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered chunks one after the other, and how many each has."""
+        ids, first, size = (np.array(x) for x in (self.ids, self.first, self.size))
+        n = size[at].astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return ids[np.repeat(first[at] - (ends - n), n) + np.arange(total)], n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text."""
         if len(self.place) >= self.remembered:
             self._forget()
-        chunks = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        self._learn(c for cs in chunks if cs is not None for c in cs)
-        ids, first, size = (np.array(x) for x in (self.ids, self.first, self.size))
-        out = []
-        for text, cs in zip(texts, chunks, strict=True):
-            if cs is None:
-                out.append(np.array(self._whole([text])[0], dtype=np.int32))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, cs), dtype=np.int64, count=len(cs))
-            n = size[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(ids[np.repeat(first[at] - (ends - n), n) + np.arange(total)])
-        return out
+        split = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        chunks = list(chain.from_iterable(cs for cs in split if cs is not None))
+        found = list(map(self.place.get, chunks))
+        new = {c for c, at in zip(chunks, found, strict=True) if at is None}
+        if new:
+            self._learn(new)
+            found = [self.place[c] if at is None else at for c, at in zip(chunks, found, strict=True)]
+        ids, sizes = self._ids_at(np.array(found, dtype=np.int64))
+        ends = np.r_[0, np.cumsum(sizes)]
+        counts = [0 if cs is None else len(cs) for cs in split]
+        edges = ends[np.r_[0, np.cumsum(counts)]]
+        return [
+            np.array(self._whole([text])[0], dtype=np.int32) if cs is None else ids[a:b]
+            for text, cs, a, b in zip(texts, split, edges, edges[1:], strict=False)
+        ]
 
 
 def id_type(path: str, end_id: int) -> str:
