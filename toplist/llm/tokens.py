@@ -41,6 +41,8 @@ class ChunkTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.remembered = remembered
+        # Strings that are one token wherever they stand, marks included.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -66,7 +68,7 @@ class ChunkTokenizer:
         place, parts, ask = self.place, {}, set()
         for chunk in new:
             stem = chunk.rstrip(MARKS)
-            if len(stem) < len(chunk) and stem[-1:].isalpha():
+            if len(stem) < len(chunk) and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
                 parts[chunk] = both = stem, chunk[len(stem) :]
                 ask.update(x for x in both if x not in place)
             else:
