@@ -99,9 +99,9 @@ class ChunkTokenizer:
             self._learn(new)
             found = [self.place[c] if at is None else at for c, at in zip(chunks, found, strict=True)]
         ids, sizes = self._ids_at(np.array(found, dtype=np.int64))
-        ends = np.r_[0, np.cumsum(sizes)]
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         counts = [0 if cs is None else len(cs) for cs in split]
-        edges = ends[np.r_[0, np.cumsum(counts)]]
+        edges = ends[np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))]]
         return [
             np.array(self._whole([text])[0], dtype=np.int32) if cs is None else ids[a:b]
             for text, cs, a, b in zip(texts, split, edges, edges[1:], strict=False)
