@@ -1,23 +1,27 @@
 """Near-duplicate documents by bottom-k sketches of word-shingle sets.
 
 1. One hash function; the ``sketch_size`` smallest shingle hashes of a document
-   are its sketch.  Documents with equal sets become one node, so copies cost
-   nothing further.
+   are its bottom-k sketch.  Sets of up to ``whole_size`` shingles are retained
+   whole, so that all bounds on them are exact.  Documents with equal sets
+   become one node, so copies cost nothing further.
 2. Inverted lists of retained values generate the overlaps.  Two sets at the
    threshold must share at least ``o`` retained values, so only the rarest
-   ``size - o + 1`` values of a sketch are listed: a pair that shares ``o``
+   ``size - o + 1`` values of a document are listed: a pair that shares ``o``
    values always shares a listed one, while a document's many values shared
-   with boilerplate never enter a list unless they make up most of it.
-   ``o`` is exact for sets held whole by their sketch; for larger sets it is
-   the bound that a pair at the threshold misses with a chance below
-   ``MISS`` (a binomial tail).
+   with boilerplate never enter a list unless they make up most of it.  Pairs
+   of whole sets are listed by all their values and ``o`` follows from the two
+   set sizes; pairs with a larger set are listed by their sketches and ``o`` is
+   the bound that a pair at the threshold misses with a chance below ``MISS``
+   (a binomial tail).
 3. The sketch of a candidate pair's union estimates its Jaccard similarity and
    filters; the survivors are confirmed on their full shingle sets.
 4. Links only matter through components, so lists are not expanded into pairs:
-   first each node is tried against one list's smallest node, then only pairs
-   of a list that still lie in different components (members outside the
-   list's largest component against the others).  Every pair that could join
-   two components is tried; none is capped or sampled.
+   first each node is tried against the most central node of a list (the one
+   with the fewest values of its own), then only pairs of a list that still lie
+   in different components (members outside the list's largest component
+   against the others) and whose ranks in the list allow ``o`` shared values.
+   Every pair that could join two components is tried; none is capped or
+   sampled.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from toplist.llm.shingles import set_mapper
 MISS = 1e-6
 # Rows of a hot key joined in one task.
 ROWS_PER_SLICE = 256
+# Fixed value: marks list values of sketches, apart from those of whole sets.
+SKETCH_MARK = 0x5851F42D4C957F2D
 # Documents looked up by broadcasting their keys (8 bytes each); more are looked up by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 
@@ -49,25 +55,18 @@ def shared_at_least(sketch_size: int, percent: int) -> int:
         o += 1
 
 
-def _overlap(size: Column, sketch_size: int, percent: int) -> Column:
-    """Retained values that a sketch of this many shares with that of any set at the threshold."""
-    whole = F.floor((size * percent + 99) / 100)
-    return F.when(size * 100 < percent * sketch_size, whole).otherwise(
-        F.least(whole, F.lit(shared_at_least(sketch_size, percent)))
-    )
-
-
 class _Job:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, sketch_size: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
+                 sketch_size: int, whole_size: int):
         text = F.col(text_col)
-        self.words, self.percent, self.sketch_size = words, percent, sketch_size
+        self.words, self.percent, self.sketch_size, self.whole_size = words, percent, sketch_size, whole_size
         self.docs = docs.select(
             F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text")
         )
         kind = docs.schema[id_col].dataType.simpleString()
         self.rows = stored(
             self.docs.mapInArrow(
-                set_mapper(words, sketch_size, ["_id", "_key"]),
+                set_mapper(words, whole_size, sketch_size, ["_id", "_key"]),
                 f"_id {kind}, _key long, set_hash binary, n_shingles long, shingles array<long>",
             ),
             "minhash-sketches",
@@ -81,39 +80,70 @@ class _Job:
         )
 
     def lists(self) -> DataFrame:
-        """``value, node, n``: the listed (rarest) retained values of every node."""
-        values = self.nodes.select(
+        """``value, node, n, sketched, rank, alone``: the listed (rarest) values of every node.
+
+        ``rank`` counts a node's values from the rarest on; the first ``alone``
+        of them no other node has.
+        """
+        n, k = F.col("n_shingles"), self.sketch_size
+        # A set this large can be linked to one that is not held whole.
+        sketched = n * 100 >= self.percent * self.whole_size
+        kinds = self.nodes.select(
             "node",
-            F.col("n_shingles").alias("n"),
-            F.size("shingles").alias("size"),
-            F.explode("shingles").alias("value"),
-        )
+            n.alias("n"),
+            F.explode(
+                F.array(
+                    F.struct(
+                        F.lit(False).alias("sketched"),
+                        F.when(n <= self.whole_size, F.col("shingles")).alias("own"),
+                    ),
+                    F.struct(
+                        F.lit(True).alias("sketched"), F.when(sketched, F.slice("shingles", 1, k)).alias("own")
+                    ),
+                )
+            ).alias("x"),
+        ).select("node", "n", "x.sketched", F.size("x.own").alias("size"), F.explode("x.own").alias("value"))
+        mark = F.when(F.col("sketched"), F.lit(SKETCH_MARK)).otherwise(F.lit(0))
+        values = kinds.withColumn("value", F.col("value").bitwiseXOR(mark))
         often = values.groupBy("value").count().where(F.col("count") > 1)
-        per_node = Window.partitionBy("node")
-        ranked = values.join(often, "value").withColumns(
-            {
-                # Values of the sketch that no other node retains come before all of these.
-                "alone": F.col("size") - F.count("*").over(per_node),
-                "rank": F.row_number().over(per_node.orderBy("count", "value")),
-            }
+        per_node = Window.partitionBy("node", "sketched")
+        ranked = (
+            values.join(often, "value")
+            .withColumns(
+                {
+                    "alone": F.col("size") - F.count("*").over(per_node),
+                    "place": F.row_number().over(per_node.orderBy("count", "value")),
+                }
+            )
+            .withColumn("rank", F.col("alone") + F.col("place"))
         )
-        listed = F.col("size") - _overlap(F.col("size"), self.sketch_size, self.percent) + 1
+        listed = F.when(
+            F.col("sketched"), F.lit(k - shared_at_least(k, self.percent) + 1)
+        ).otherwise(F.col("n") - self._share(F.col("n") * self.percent, 100) + 1)
         return stored(
-            ranked.where(F.col("alone") + F.col("rank") <= listed).select("value", "node", "n"),
+            ranked.where(F.col("rank") <= listed).select("value", "node", "n", "sketched", "rank", "alone"),
             "minhash-lists",
         )
 
+    def _share(self, part: Column, of: int) -> Column:
+        """``part / of`` rounded up, in whole numbers."""
+        return F.floor((part + (of - 1)) / of).cast("long")
+
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose union sketch allows the threshold."""
-        sketch = self.nodes.select("node", "shingles")
-        side = lambda x: sketch.select(F.col("node").alias(x), F.col("shingles").alias("s" + x))
+        """Pairs whose union sketch allows the threshold; ``sure`` where both sets were held whole."""
+        held = self.nodes.select("node", "n_shingles", "shingles")
+        side = lambda x: held.select(
+            F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("shingles").alias("s" + x)
+        )
         both = salted_join(pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE)
-        union = F.slice(F.sort_array(F.array_distinct(F.concat("sa", "sb"))), 1, self.sketch_size)
-        shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-        asked = F.when(
-            F.size(union) < self.sketch_size, F.ceil(F.size(union) * self.percent / 100)
-        ).otherwise(F.lit(shared_at_least(self.sketch_size, self.percent)))
-        return both.where(shared >= asked).select("a", "b")
+        k, o = self.sketch_size, shared_at_least(self.sketch_size, self.percent)
+        sure = (F.col("na") <= self.whole_size) & (F.col("nb") <= self.whole_size)
+        shared = F.size(F.array_intersect("sa", "sb"))
+        exact = 100 * shared >= self.percent * (F.col("na") + F.col("nb") - shared)
+        a, b = F.slice("sa", 1, k), F.slice("sb", 1, k)
+        union = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, k)
+        likely = F.size(F.array_intersect(F.array_intersect(a, b), union)) >= o
+        return both.where(F.when(sure, exact).otherwise(likely)).select("a", "b", sure.alias("sure"))
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """``node, full``: the whole shingle sets of the nodes in the pairs, read from their texts again."""
@@ -129,7 +159,7 @@ class _Job:
             .dropDuplicates(["_key", "_text"])
             .select("_text")
             .mapInArrow(
-                set_mapper(self.words, None, []), "set_hash binary, n_shingles long, shingles array<long>"
+                set_mapper(self.words, None, 0, []), "set_hash binary, n_shingles long, shingles array<long>"
             )
         )
         found = full.join(wanted.select("node", "set_hash"), "set_hash").dropDuplicates(["node"])
@@ -138,26 +168,32 @@ class _Job:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs at or over the threshold on their full sets."""
         pairs = stored(self.estimated(pairs), "minhash-pairs")
-        sets = self.sets(pairs)
+        open_pairs = pairs.where("not sure").select("a", "b")
+        sets = self.sets(open_pairs)
         side = lambda x: sets.select(F.col("node").alias(x), F.col("full").alias("f" + x))
-        both = salted_join(pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE)
+        both = salted_join(open_pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE)
         shared = F.size(F.array_intersect("fa", "fb"))
         union = F.size("fa") + F.size("fb") - shared
-        return stored(both.where(100 * shared >= self.percent * union).select("a", "b"), "minhash-links")
+        confirmed = both.where(100 * shared >= self.percent * union).select("a", "b")
+        return stored(pairs.where("sure").select("a", "b").union(confirmed), "minhash-links")
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
-        """One pair per node: with the smallest node of the lists it shares most of."""
-        first = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
-        overlaps = (
-            lists.join(first, "value").where("node > a").groupBy("a", F.col("node").alias("b")).count()
+        """One pair per node: with the most central node of the lists it shares most of."""
+        first = (
+            lists.groupBy("value")
+            .agg(F.min_by("node", "alone").alias("first"), F.count("*").alias("k"))
+            .where("k > 1")
+            .drop("k")
         )
-        best = overlaps.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("minus"))).alias("best"))
-        return best.select((-F.col("best.minus")).alias("a"), "b")
+        overlaps = lists.join(first, "value").where("node <> first").groupBy("node", "first").count()
+        best = overlaps.groupBy("node").agg(F.max(F.struct("count", "first")).alias("best"))
+        pairs = best.select(F.least("node", "best.first").alias("a"), F.greatest("node", "best.first").alias("b"))
+        return pairs.distinct()
 
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Untried pairs of a list that lie in different components and whose set sizes allow a link."""
+        """Untried pairs of a list that lie in different components and whose sizes and ranks allow a link."""
         members = stored(
-            lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")),
+            lists.drop("alone").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")),
             "minhash-members",
         )
         largest = (
@@ -170,15 +206,21 @@ class _Job:
         )
         mixed = stored(members.join(largest, "value"), "minhash-mixed")
         x = mixed.where("label <> largest").select(
-            "value", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx")
+            "value", "sketched", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"),
+            F.col("rank").alias("rx"),
         )
         y = mixed.select(
-            "value", "largest", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny")
+            "value", "largest", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"),
+            F.col("rank").alias("ry"),
         )
+        # Whole sets of these sizes share this many shingles at the threshold, the first in both lists included.
+        asked = self._share((F.col("nx") + F.col("ny")) * self.percent, 100 + self.percent)
+        whole = (F.col("rx") + asked <= F.col("nx") + 1) & (F.col("ry") + asked <= F.col("ny") + 1)
         met = (
             (F.col("lx") != F.col("ly"))
             & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y")))
             & (100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
+            & F.when(F.col("sketched"), F.greatest("nx", "ny") > self.whole_size).otherwise(whole)
         )
         pairs = x.join(y, "value").where(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return pairs.distinct().join(tried, ["a", "b"], "left_anti")
@@ -191,6 +233,7 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     sketch_size: int = 96,
+    whole_size: int = 256,
 ) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -202,7 +245,7 @@ def near_duplicates(
     is kept only where no document of its component has an id.  Rows that
     repeat an id and text get the same answer each.
     """
-    job = _Job(docs, id_col, text_col, words, percent, sketch_size)
+    job = _Job(docs, id_col, text_col, words, percent, sketch_size, max(whole_size, sketch_size))
     lists = job.lists()
     pairs = stored(job.first_pairs(lists), "minhash-first")
     links = job.confirmed(pairs)

@@ -56,12 +56,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def set_mapper(
-    size: int, keep: int | None, carried: list[str]
+    size: int, whole: int | None, keep: int, carried: list[str]
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function: the columns ``carried``, ``set_hash``, ``n_shingles`` and ``shingles``.
 
-    ``shingles`` holds the ``keep`` smallest hashes (the bottom-k sketch) or all
-    of them.  ``set_hash`` names the whole set (null for an empty one).
+    ``shingles`` holds all hashes of a set of up to ``whole`` (``None``: of any
+    set) and otherwise the ``keep`` smallest, the bottom-k sketch, ascending.
+    ``set_hash`` names the whole set (null for an empty one).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def set_mapper(
                     *[batch.column(c) for c in carried],
                     pa.array(names, type=pa.binary()),
                     pa.array([len(s) for s in sets], type=pa.int64()),
-                    _lists([s[:keep] for s in sets]),
+                    _lists([s if whole is None or len(s) <= whole else s[:keep] for s in sets]),
                 ],
                 names=[*carried, "set_hash", "n_shingles", "shingles"],
             )
