@@ -63,22 +63,27 @@ class _Job:
         self.docs = docs.select(
             F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text")
         )
-        kind = docs.schema[id_col].dataType.simpleString()
-        self.rows = stored(
-            self.docs.mapInArrow(
-                set_mapper(words, whole_size, sketch_size, ["_id", "_key"]),
-                f"_id {kind}, _key long, set_hash binary, n_shingles long, shingles array<long>",
-            ),
-            "minhash-sketches",
-        )
+        self.id_type = docs.schema[id_col].dataType.simpleString()
+        # The sketches of equal sets are dropped before anything is written.
         self.nodes = stored(
-            self.rows.where("n_shingles > 0")
-            .drop("_id")
+            self.docs.select("_key", "_text")
+            .mapInArrow(
+                set_mapper(words, whole_size, sketch_size, ["_key"]),
+                "_key long, set_hash binary, n_shingles long, shingles array<long>",
+            )
+            .where("n_shingles > 0")
             .dropDuplicates(["set_hash"])
             .withColumn("node", F.monotonically_increasing_id()),
             "minhash-nodes",
         )
 
+    def rows(self) -> DataFrame:
+        """``_id, set_hash, n_shingles`` of every document."""
+        return self.docs.select("_id", "_text").mapInArrow(
+            set_mapper(self.words, 0, 0, ["_id"]),
+            f"_id {self.id_type}, set_hash binary, n_shingles long, shingles array<long>",
+        ).drop("shingles")
+
     def lists(self) -> DataFrame:
         """``value, node, n, sketched, rank, alone``: the listed (rarest) values of every node.
 
@@ -88,27 +93,21 @@ class _Job:
         n, k = F.col("n_shingles"), self.sketch_size
         # A set this large can be linked to one that is not held whole.
         sketched = n * 100 >= self.percent * self.whole_size
-        kinds = self.nodes.select(
-            "node",
-            n.alias("n"),
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit(False).alias("sketched"),
-                        F.when(n <= self.whole_size, F.col("shingles")).alias("own"),
-                    ),
-                    F.struct(
-                        F.lit(True).alias("sketched"), F.when(sketched, F.slice("shingles", 1, k)).alias("own")
-                    ),
-                )
-            ).alias("x"),
-        ).select("node", "n", "x.sketched", F.size("x.own").alias("size"), F.explode("x.own").alias("value"))
-        mark = F.when(F.col("sketched"), F.lit(SKETCH_MARK)).otherwise(F.lit(0))
-        values = kinds.withColumn("value", F.col("value").bitwiseXOR(mark))
+        own = F.when(n <= self.whole_size, F.col("shingles")).otherwise(F.array().cast("array<long>"))
+        part = F.when(sketched, F.slice("shingles", 1, k)).otherwise(F.array().cast("array<long>"))
+        marked = F.transform(part, lambda x: x.bitwiseXOR(F.lit(SKETCH_MARK)))
+        # Only two longs of a value go through the large shuffles; the rest is looked up for the few that remain.
+        values = self.nodes.select(
+            "node", F.size(own).alias("whole"), F.posexplode(F.concat(own, marked)).alias("at", "value")
+        ).select("node", "value", (F.col("at") >= F.col("whole")).alias("sketched"))
         often = values.groupBy("value").count().where(F.col("count") > 1)
         per_node = Window.partitionBy("node", "sketched")
+        sizes = self.nodes.select("node", n.alias("n"))
+        kept = F.when(F.col("sketched"), F.least(F.col("n"), F.lit(k))).otherwise(F.col("n"))
         ranked = (
             values.join(often, "value")
+            .join(sizes, "node")
+            .withColumn("size", kept)
             .withColumns(
                 {
                     "alone": F.col("size") - F.count("*").over(per_node),
@@ -233,7 +232,7 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     sketch_size: int = 96,
-    whole_size: int = 256,
+    whole_size: int = 512,
 ) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -254,7 +253,7 @@ def near_duplicates(
     labels = components(links)
 
     placed = (
-        job.rows.select("_id", "set_hash", "n_shingles")
+        job.rows()
         .join(job.nodes.select("set_hash", "node"), "set_hash", "left")
         .join(labels, "node", "left")
         .select("_id", "n_shingles", F.coalesce("label", "node").alias("label"))
