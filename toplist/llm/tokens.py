@@ -15,7 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +93,12 @@ class ChunkTokenizer:
             self._forget()
         split = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         chunks = list(chain.from_iterable(cs for cs in split if cs is not None))
-        found = list(map(self.place.get, chunks))
-        new = {c for c, at in zip(chunks, found, strict=True) if at is None}
-        if new:
-            self._learn(new)
-            found = [self.place[c] if at is None else at for c, at in zip(chunks, found, strict=True)]
-        ids, sizes = self._ids_at(np.array(found, dtype=np.int64))
+        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn({chunks[i] for i in missing})
+            at[missing] = [self.place[chunks[i]] for i in missing]
+        ids, sizes = self._ids_at(at)
         ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         counts = [0 if cs is None else len(cs) for cs in split]
         edges = ends[np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))]]
