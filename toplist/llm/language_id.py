@@ -24,6 +24,8 @@ from toplist.llm.common import stored
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
+# Documents of a language considered for the sample, as a multiple of its bound.
+THINNED = 3
 
 
 @dataclass(frozen=True)
@@ -196,7 +198,7 @@ class Model:
 def train(rows: DataFrame, text: Column, lang: Column, pick: Column, p: Training = Training()) -> Model:
     """A model of the languages of ``rows``; rows without text or language are left out.
 
-    ``pick`` (a hash of the document) orders the sample.  A language is learned
+    ``pick`` (a 64-bit hash of the document) orders the sample.  A language is learned
     from at most ``per_language`` documents, so what one task fits and the
     driver holds is bounded by that and by the number of languages.
     """
@@ -209,9 +211,13 @@ def train(rows: DataFrame, text: Column, lang: Column, pick: Column, p: Training
         frequency[r["bucket"]] = r["n"]
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
+    # The hash's share of its range thins a language out to a few times the sample before texts are shuffled.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
+    share = F.col("pick").cast("double") / F.lit(2.0**64) + 0.5
+    thinned = known.join(sizes, F.col("lang") == F.col("l")).where(share * F.col("n") < THINNED * p.per_language)
     rank = Window.partitionBy("lang").orderBy("pick", "text")
     sample = stored(
-        known.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= p.per_language).drop("rank"),
+        thinned.select("text", "lang", "pick").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= p.per_language).drop("rank"),
         "language-sample",
     )
     langs = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]
