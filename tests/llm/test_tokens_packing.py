@@ -25,6 +25,8 @@ CHUNKS = {f: ChunkTokenizer(public_tokenizers.path(f), remembered=50) for f in F
 TEXTS = [
     "", " ", "\n\n  a", "It's  the\tend.\r\n", "don't 123 4567 ñandú", "a b 　 c", "<|endoftext|> x",
     " <|startoftext|>y", "é ́x", "tab\x0b\x0cfeed  ", "🙂 🙂\n", "x" * 3000 + " " * 50, "\x85a \x1cb",
+    # Letters that the normalizer writes as letter and mark (dotted I, Devanagari rra, Hebrew shin) before marks.
+    "TAKSİ. İ, (Aİ)", "\u095c. \u0915\u095c, \u0958)", "\ufb2a. \u05d0\ufb2a!", "está. naïveté, ÑÚ)",
 ]
 
 

@@ -3,7 +3,8 @@
 A tokenizer that splits its input at white space before merging gives a text
 the concatenation of its chunks' ids, where a chunk is a run of white space and
 the run of other characters after it; such a tokenizer also ends a piece where
-marks follow a letter.  Corpora repeat their chunks, so each worker asks the
+marks follow an ASCII letter (others may be normalized to a letter and a mark
+of its own, which joins those after it).  Corpora repeat their chunks, so each worker asks the
 library for a chunk once and looks it up afterwards.  Texts
 with white space other than the ASCII one, where a run could reach over a cut,
 are encoded whole.
@@ -64,11 +65,11 @@ class ChunkTokenizer:
         self._add(chunks, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes)
 
     def _learn(self, new: set[str]) -> None:
-        """Remember new chunks.  One that ends in marks after a letter is its two parts, known or asked for alone."""
+        """Remember new chunks.  One that ends in marks after an ASCII letter is its two parts, known or asked for alone."""
         place, parts, ask = self.place, {}, set()
         for chunk in new:
             stem = chunk.rstrip(MARKS)
-            if len(stem) < len(chunk) and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
+            if len(stem) < len(chunk) and stem[-1:].isascii() and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
                 parts[chunk] = both = stem, chunk[len(stem) :]
                 ask.update(x for x in both if x not in place)
             else:
