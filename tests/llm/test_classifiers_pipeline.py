@@ -45,6 +45,15 @@ def test_language_id_odd_texts(spark):
     assert identify(df.limit(0), empty).collect() == []
 
 
+def test_symbols_outside_the_basic_plane_are_no_letters():
+    for text in ("😀 123", "🙂🙂", "𝟘𝟙", "\U0001f1e9\U0001f1ea!"):
+        assert len(gram_counts(text)[0]) == 0, text
+    assert np.array_equal(gram_counts("ba 😀lo🙂")[1], gram_counts("ba lo")[1])
+    assert len(gram_counts("𐐨𠀀")[0]) > 0
+    model = Model(["aa"], np.ones(1 << 15), np.ones((1, (1 << 15) + 1)), 1.0)
+    assert model.predict("😀 123") == (UNDETERMINED, 0.0) and model.predict("ba")[0] == "aa"
+
+
 def test_gram_counts_take_the_whole_text():
     assert len(gram_counts("1 2 3 !")[0]) == 0
     assert gram_counts("Ab, ab")[1].sum() == gram_counts("ab ab")[1].sum()

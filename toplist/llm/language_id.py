@@ -9,6 +9,7 @@ on a part of the sample that the fit did not see, calibrates the scores.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +47,8 @@ _letters: list[np.ndarray] = []
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
-    # Outside the basic plane everything counts as a letter of its own.
-    return np.where(points < 1 << 16, _letters[0][np.minimum(points, (1 << 16) - 1)], True)
+        _letters.append(np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)]))
+    return _letters[0][points]
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
