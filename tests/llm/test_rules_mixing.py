@@ -73,6 +73,26 @@ def test_divergence_rejects_junk_and_keeps_prose(spark):
     assert rows[200]["class_distance"] is None  # below the minimum length
 
 
+def test_texts_without_common_words_are_rejected(spark):
+    # 40 words with 27 % of all words, as in the given tables: no text reaches a distance of 0.40 by their lack.
+    rng = random.Random(6)
+
+    def text(tongue, n=150):
+        return " ".join(
+            f"{tongue}{rng.randrange(40)}" if rng.random() < 0.27 else "".join(rng.choices("aeiorstln", k=8)) for _ in range(n)
+        )
+
+    good = [(i, text("ab"[i % 2]), "ab"[i % 2], "s") for i in range(200)]
+    gibberish = [(300 + i, " ".join("".join(rng.choices("aeiorstln", k=8)) for _ in range(150)), "a", "s") for i in range(4)]
+    other = [(400 + i, text("b"), "a", "s") for i in range(4)]
+    short = [(500, " ".join("".join(rng.choices("aeiorstln", k=8)) for _ in range(50)), "a", "s")]
+    found = {r["doc_id"]: r for r in quality_rules(frame(spark, good + gibberish + other + short)).collect()}
+    assert all(found[i]["kept"] for i, *_ in good + short)
+    for i, *_ in gibberish + other:
+        assert found[i]["word_distance"] < 0.40 and found[i]["class_distance"] < 0.20 and not found[i]["base_failed"]
+        assert not found[i]["kept"]
+
+
 def test_quality_of_empty_table_and_filter(spark):
     assert quality_rules(frame(spark, [])).collect() == []
     rng = random.Random(3)
