@@ -124,6 +124,22 @@ def test_pipeline_stages(spark):
     assert max(r["offset"] + r["length"] for r in last) <= 1024
 
 
+def test_near_dedup_keeps_all_texts_of_a_repeated_id(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"{name}{rng.randrange(500)}" for _ in range(120)) for name in "abc")
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, a, "en", "s", 0), (2, b + " end", "en", "s", 0), (3, c, "en", "s", 0), (None, c, "en", "s", 0)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, a), (1, b), (3, c)]
+
+
+def test_mixing_counts_rows_of_a_repeated_id_apart(spark):
+    # 210 words: source a is taken three times (30 words), b takes the other 180 as 18 of its 20 rows.
+    rows = [(7, "x " * 10, "en", "a", 0)] + [(7, "y " * 9 + str(i // 2), "en", "b", 0) for i in range(20)]
+    taken = corpus_pipeline.mixing(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(r["source"] for r in taken) == ["a"] * 3 + ["b"] * 18
+    assert all(sum(r["text"] == "y " * 9 + str(k) for r in taken) <= 2 for k in range(10))
+
+
 def test_pipeline_of_an_empty_table(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

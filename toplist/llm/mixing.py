@@ -88,8 +88,9 @@ def mix_sources(
     max_epochs: int = 3,
     seed: str = "mix",
     quality: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Per document: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+    """Per document: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, and ``carry``.
 
     ``size`` is the number of words (null text: 0) and ``taken`` is ``copies``
     times it.  Weights go round the sources in code-point order; documents
@@ -105,6 +106,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(text).alias("size"),
             (-F.log(uniform(F.col(id_col), seed)) / (quality if quality is not None else letter_quality(text))).alias("key"),
+            *(carry or []),
         ),
         "mix-sizes",
     )
@@ -149,6 +151,7 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *(carry or []),
     )
 
 
