@@ -191,10 +191,21 @@ best as (
 select parts.page_id, host, path, rule, coalesce(r_verdict, 'allow') as verdict
 from parts left join best on best.page_id = parts.page_id and k = 1"""
 
+EXACT_DEDUP = r"""
+with n as (
+  select doc_id, length(coalesce(text, '')) as n_chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare
+  from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by bare) as group_size,
+  first_value(doc_id) over w = doc_id as kept, sha256(bare) as text_sha256
+from n window w as (partition by bare order by n_chars desc, doc_id)
+"""
+
 ORACLES = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op4_source_mixing": _mixing(),
     "op7_quality_rules": _quality_rules(),
     "op8_suffix_array_dedup": REPEATS,
     "op9_url_filters": URL_FILTERS,
+    "op12_exact_dedup": EXACT_DEDUP,
 }

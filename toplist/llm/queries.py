@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplist.llm.common import documents
+from toplist.llm.exact_dedup import exact_duplicates
 from toplist.llm.fingerprints import edited_fingerprints
 from toplist.llm.huffman import token_files
 from toplist.llm.language_id import identify, train
@@ -100,6 +101,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_fingerprints, op4_source_mixing, op5_token_files,
         op6_language_id, op7_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_quality_classifier,
+        op12_exact_dedup,
     )
 }
