@@ -201,6 +201,28 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from n window w as (partition by bare order by n_chars desc, doc_id)
 """
 
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as a, b.vec_id as b, a.label = b.label as same,
+    cast(list_inner_product(a.v, b.v) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (
+  select * from (select a, b, score, row_number() over (partition by a order by score desc, b) as k from s where same)
+  where k <= 5),
+n as (
+  select p.a, p.b, p.k, s.b as other, p.score as positive_score, s.score,
+    row_number() over (partition by p.a, p.k order by s.score desc, s.b) as rank
+  from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a as anchor_id, b as positive_id, cast(rank as integer) as rank, other as negative_id, positive_score,
+  score as negative_score
+from n where rank <= 3"""
+
 ORACLES = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op4_source_mixing": _mixing(),
@@ -208,4 +230,5 @@ ORACLES = {
     "op8_suffix_array_dedup": REPEATS,
     "op9_url_filters": URL_FILTERS,
     "op12_exact_dedup": EXACT_DEDUP,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

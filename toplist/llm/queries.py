@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplist.llm.common import documents
+from toplist.llm.conversation_repair import damage, repair, summary
 from toplist.llm.exact_dedup import exact_duplicates
 from toplist.llm.fingerprints import edited_fingerprints
+from toplist.llm.hard_negatives import hard_negatives
 from toplist.llm.huffman import token_files
 from toplist.llm.language_id import identify, train
 from toplist.llm.mixing import mix_sources
@@ -101,10 +103,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damage(read_table(spark, sf_dir, "conversations"))
+    return summary(repair(damaged, F.col("present")))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -112,6 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_fingerprints, op4_source_mixing, op5_token_files,
         op6_language_id, op7_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_quality_classifier,
-        op12_exact_dedup,
+        op11_conversation_repair, op12_exact_dedup, op13_hard_negatives,
     )
 }
