@@ -29,6 +29,7 @@ both at least ``max_delete_len - 1`` long) in the segment branch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -172,6 +173,7 @@ def search_batch(
     queries: DataFrame,
     query_col: str = "query",
     by: str = "artist",
+    name_join: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Row-mode search for a whole table of queries at once.
 
@@ -182,7 +184,9 @@ def search_batch(
     matches meet the index rows in equi-joins on the normalised names (AQE
     splits a hot name), and provider, chart, date and year are residual
     conditions.  Queries that repeat count once; a query with neither artist nor
-    song, like one with a null key, matches nothing.
+    song, like one with a null key, matches nothing.  ``name_join(queries,
+    field)`` finds the ``(query, name)`` pairs another way, for instance in a
+    stored signature index.
     Output, in no order: ``query`` plus the search row columns.
     """
     fields = [c for c in QUERY_FIELDS if c in queries.columns and c != query_col]
@@ -203,9 +207,11 @@ def search_batch(
     def matches(name: str) -> DataFrame:
         """The queries with this name, once per index name they match."""
         named = q.where(F.col("q_" + name).isNotNull()).withColumn("_norm", normalize_column("q_" + name))
-        pairs = fuzzy_name_join(
-            named.select(F.col("_norm").alias("query")), index.select(F.col(name + "_norm").alias("name"))
-        )
+        asked = named.select(F.col("_norm").alias("query"))
+        if name_join is not None:
+            pairs = name_join(asked, name)
+        else:
+            pairs = fuzzy_name_join(asked, index.select(F.col(name + "_norm").alias("name")))
         pairs = pairs.select(F.col("query").alias("_norm"), F.col("name").alias(name + "_norm"))
         return named.join(pairs, "_norm").drop("_norm")
 

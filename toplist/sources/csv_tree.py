@@ -64,12 +64,16 @@ def _read_layout(
     )
 
 
-def _read_files(spark: SparkSession, root: str, charts: DataFrame, multi_line: bool) -> DataFrame:
-    """Entries of ``charts`` (``provider, chart, frequency, fields, paths``)."""
-    root = root.rstrip("/")
-    files = charts.select(
+def chart_files(charts: DataFrame) -> DataFrame:
+    """One row per file of ``charts`` (``provider, chart, frequency, fields, paths``): ``path``, and ``_file`` below the root."""
+    return charts.select(
         "provider", "chart", "frequency", "fields", F.explode_outer("paths").alias("path")
     ).withColumn("_file", clean_path(F.concat_ws("/", "provider", "path")))
+
+
+def read_files(spark: SparkSession, root: str, files: DataFrame, multi_line: bool = True) -> DataFrame:
+    """Entries of ``files`` (rows of :func:`chart_files`), with the ``_file`` each comes from."""
+    root = root.rstrip("/")
     # The list of files is catalog metadata: one entry per chart and year.
     layouts: dict[tuple[str, ...], set[str]] = {}
     for row in files.collect():
@@ -89,6 +93,7 @@ def _read_files(spark: SparkSession, root: str, charts: DataFrame, multi_line: b
     )
     tags = files.where("path is not null").select("_file", "provider", "chart", "frequency").distinct()
     return rows.join(tags, "_file").select(
+        "_file",
         "provider",
         "chart",
         "frequency",
@@ -99,6 +104,24 @@ def _read_files(spark: SparkSession, root: str, charts: DataFrame, multi_line: b
     )
 
 
+def listed_charts(spark: SparkSession, root: str) -> DataFrame:
+    """Charts of the providers' metadata with the CSV files in their folders: ``provider, chart, frequency, fields, paths``."""
+    return charts_with_files(spark, root, chart_catalog(read_metadata(spark, root))).select(
+        "provider",
+        F.col("chart.prefix").alias("name"),
+        F.col("chart.frequency").alias("frequency"),
+        F.col("chart.fields").alias("fields"),
+        "paths",
+    ).withColumnRenamed("name", "chart")
+
+
+def tree_charts(spark: SparkSession, root: str, descriptors: str | None = None) -> DataFrame:
+    """Charts and files by the descriptors where the tree has a catalog, by its metadata otherwise."""
+    if find_catalog(spark, root, descriptors) is not None:
+        return read_described_charts(spark, root, descriptors)
+    return listed_charts(spark, root)
+
+
 def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
     """All chart rows under ``root`` as ``provider, chart, frequency, date, this_week, artist, song``.
 
@@ -109,28 +132,18 @@ def read_chart_entries(spark: SparkSession, root: str, multi_line: bool = True)
     very large files without embedded newlines to let Spark split them.  Raises
     ``ValueError`` when no chart has a file.
     """
-    charts = chart_catalog(read_metadata(spark, root))
-    listed = charts_with_files(spark, root, charts).select(
-        "provider",
-        F.col("chart.prefix").alias("name"),
-        F.col("chart.frequency").alias("frequency"),
-        F.col("chart.fields").alias("fields"),
-        "paths",
-    )
-    return _read_files(spark, root, listed.withColumnRenamed("name", "chart"), multi_line)
+    return read_files(spark, root, chart_files(listed_charts(spark, root)), multi_line).drop("_file")
 
 
 def read_described_entries(
     spark: SparkSession, root: str, descriptors: str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """The same rows for the charts, files and layouts that catalog and package descriptors declare."""
-    return _read_files(spark, root, read_described_charts(spark, root, descriptors), multi_line)
+    return read_files(spark, root, chart_files(read_described_charts(spark, root, descriptors)), multi_line).drop("_file")
 
 
 def read_tree_entries(
     spark: SparkSession, root: str, descriptors: str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Entries by the descriptors where the tree has a catalog, by its metadata otherwise."""
-    if find_catalog(spark, root, descriptors) is not None:
-        return read_described_entries(spark, root, descriptors, multi_line)
-    return read_chart_entries(spark, root, multi_line)
+    return read_files(spark, root, chart_files(tree_charts(spark, root, descriptors)), multi_line).drop("_file")
