@@ -46,6 +46,19 @@ _DAY_OFFSET = 1_000_000
 _NO_DATE = _RANK_SCALE - 1
 
 
+def packed_rank_date() -> Column:
+    """Rank and date of a row as one bigint whose order is (rank, dated first, date); null without a rank."""
+    day = F.coalesce(F.unix_date("date") + F.lit(_DAY_OFFSET), F.lit(_NO_DATE))
+    return F.when(F.col("this_week").isNotNull(), F.col("this_week") * F.lit(_RANK_SCALE) + day)
+
+
+def unpacked_rank_date(packed: str) -> tuple[Column, Column]:
+    """``best_rank`` and ``best_date`` of a packed column."""
+    low = F.pmod(F.col(packed), F.lit(_RANK_SCALE))
+    rank = F.expr(f"({packed} - pmod({packed}, {_RANK_SCALE})) div {_RANK_SCALE}")
+    return rank.alias("best_rank"), F.when(low != _NO_DATE, F.date_from_unix_date(low - F.lit(_DAY_OFFSET))).alias("best_date")
+
+
 def best_rank(df: DataFrame, keys: list[str] = CHART_KEYS) -> DataFrame:
     """Per group: ``best_rank = min(this_week)`` and the earliest date at that rank.
 
@@ -58,16 +71,7 @@ def best_rank(df: DataFrame, keys: list[str] = CHART_KEYS) -> DataFrame:
     a partial+final *hash* aggregate (a struct minimum would force a sort
     aggregate, sorting every row before the shuffle).
     """
-    day = F.coalesce(F.unix_date("date") + F.lit(_DAY_OFFSET), F.lit(_NO_DATE))
-    packed = F.when(
-        F.col("this_week").isNotNull(), F.col("this_week") * F.lit(_RANK_SCALE) + day
-    )
-    low = F.pmod(F.col("_best"), F.lit(_RANK_SCALE))
-    rank = F.expr(f"(_best - pmod(_best, {_RANK_SCALE})) div {_RANK_SCALE}")
-    best_date = F.when(low != _NO_DATE, F.date_from_unix_date(low - F.lit(_DAY_OFFSET)))
-    return df.groupBy(*keys).agg(F.min(packed).alias("_best")).select(
-        *keys, rank.alias("best_rank"), best_date.alias("best_date")
-    )
+    return df.groupBy(*keys).agg(F.min(packed_rank_date()).alias("_best")).select(*keys, *unpacked_rank_date("_best"))
 
 
 def show_chart(

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toplist.operators.index import build_index
-from toplist.session import scratch_dir
+from toplist.session import written_once
 from toplist.sources.catalog import below_root, root_path
-from toplist.sources.csv_tree import chart_files, read_files, tree_charts
+from toplist.sources.csv_tree import chart_files, literal_glob, read_files, tree_charts
+from toplist.sources.folders import Folder
 
 PARTITION = T.StructType([T.StructField("provider", T.StringType()), T.StructField("year", T.IntegerType())])
 MANIFEST_SCHEMA = T.StructType(
@@ -57,42 +58,8 @@ class Refresh:
     deleted: list[tuple[str, int | None]] = field(default_factory=list)
 
 
-class _Folder:
-    """A folder in any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark.sparkContext._jvm, path
-        at = self._at("")
-        self.system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.path + ("/" + name if name else ""))
-
-    def names(self) -> list[str]:
-        if not self.system.exists(self._at("")):
-            return []
-        return sorted(x.getPath().getName() for x in self.system.listStatus(self._at("")))
-
-    def has(self, name: str) -> bool:
-        return self.system.exists(self._at(name))
-
-    def delete(self, name: str) -> None:
-        self.system.delete(self._at(name), True)
-
-    def escaped(self, value: object) -> str:
-        if value is None:
-            return "__HIVE_DEFAULT_PARTITION__"
-        return self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _manifest_folder(spark: SparkSession, path: str) -> _Folder:
-    return _Folder(spark, path.rstrip("/") + ".manifest")
+def _manifest_folder(spark: SparkSession, path: str) -> Folder:
+    return Folder(spark, path.rstrip("/") + ".manifest")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -131,18 +98,12 @@ def _listing(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
 def _checksums(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """``file, checksum`` of these files, by content."""
     where = [f"{root.rstrip('/')}/{n}" for n in names]
-    contents = spark.read.format("binaryFile").load([_literal(w) for w in where])
+    contents = spark.read.format("binaryFile").load([literal_glob(w) for w in where])
     return contents.select(
         below_root(F.col("path"), root_path(spark, root)).alias("file"), F.sha2("content", 256).alias("checksum")
     )
 
 
-def _literal(path: str) -> str:
-    from toplist.sources.csv_tree import _literal_glob
-
-    return _literal_glob(path)
-
-
 def _named(files: DataFrame, names: list[str]) -> DataFrame:
     spark = files.sparkSession
     chosen = spark.createDataFrame([(n,) for n in names], "_file string")
@@ -163,10 +124,10 @@ def refresh_search_index(
     The result equals a full build of the tree.  Without a manifest, or without
     an index, it is one.  A tree without any file is an error, as in the build.
     """
-    files = _kept(chart_files(tree_charts(spark, root, descriptors)), "refresh-files")
-    now = _kept(_listing(spark, root, files), "refresh-listing")
+    files = written_once(chart_files(tree_charts(spark, root, descriptors)), "refresh-files")
+    now = written_once(_listing(spark, root, files), "refresh-listing")
     old = read_manifest(spark, path)
-    index = _Folder(spark, path.rstrip("/"))
+    index = Folder(spark, path.rstrip("/"))
     if old is None or not index.names():
         names = [r["file"] for r in now.select("file").collect()]
         build_index(read_files(spark, root, files, multi_line).drop("_file"), path)
@@ -176,7 +137,7 @@ def refresh_search_index(
         _write_manifest(manifest, path)
         return Refresh(full=True, changed=sorted(names))
 
-    old = _kept(old, "refresh-manifest")
+    old = written_once(old, "refresh-manifest")
     before = old.select("file", *[F.col(c).alias("old_" + c) for c in MANIFEST_SCHEMA.names[1:]])
     both = now.join(before, "file", "full_outer")
     as_it_was = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("old_" + c)) for c in ("size", "modified", "tags")])
@@ -185,8 +146,8 @@ def refresh_search_index(
     if not removed and not suspects:
         return Refresh()
     none = spark.createDataFrame([], "file string, checksum string")
-    sums = _kept(_checksums(spark, root, suspects) if suspects else none, "refresh-checksums")
-    judged = _kept(
+    sums = written_once(_checksums(spark, root, suspects) if suspects else none, "refresh-checksums")
+    judged = written_once(
         both.where("tags is not null").join(sums, "file", "left")
         .withColumn("checksum", F.when(as_it_was, F.col("old_checksum")).otherwise(F.col("checksum")))
         .withColumn(
@@ -199,8 +160,8 @@ def refresh_search_index(
 
     fresh = spark.createDataFrame([], T.StructType([MANIFEST_SCHEMA["file"], MANIFEST_SCHEMA["parts"]]))
     if changed:
-        fresh = _kept(_parts_of(read_files(spark, root, _named(files, changed), multi_line)), "refresh-parts")
-    manifest = _kept(
+        fresh = written_once(_parts_of(read_files(spark, root, _named(files, changed), multi_line)), "refresh-parts")
+    manifest = written_once(
         judged.join(fresh, "file", "left").withColumn(
             "parts", F.when(F.col("changed"), F.col("parts")).otherwise(F.col("old_parts"))
         ),
@@ -208,13 +169,13 @@ def refresh_search_index(
     )
     lost = before.join(manifest.where("not changed").select("file"), "file", "left_anti").select(F.explode("old_parts").alias("part"))
     affected = lost.union(fresh.select(F.explode("parts").alias("part"))).select("part.*").distinct()
-    affected = _kept(affected, "refresh-affected")
+    affected = written_once(affected, "refresh-affected")
     kept = manifest.select("file", F.explode("parts").alias("part")).select("file", "part.*")
     hit = kept.join(
         affected.select(F.col("provider").alias("p"), F.col("year").alias("y")),
         F.col("provider").eqNullSafe(F.col("p")) & F.col("year").eqNullSafe(F.col("y")), "left_semi",
     )
-    hit = _kept(hit, "refresh-hit")
+    hit = written_once(hit, "refresh-hit")
     readers = sorted({r["file"] for r in hit.select("file").distinct().collect()})
     if readers:
         entries = read_files(spark, root, _named(files, readers), multi_line).drop("_file")

@@ -14,7 +14,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "toplist") -> SparkSession:
@@ -72,3 +72,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh scratch folder and read back: lineage ends there, and rows stay as they were dealt."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,7 +43,7 @@ REQUIRED = ["date", "this_week", "artist", "song"]
 log = logging.getLogger(__name__)
 
 
-def _literal_glob(path: str) -> str:
+def literal_glob(path: str) -> str:
     """A path that Hadoop's globbing reads as it stands."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
@@ -59,7 +59,7 @@ def _read_layout(
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "FAILFAST")
-        .csv([f"{root}/{_literal_glob(f)}" for f in files])
+        .csv([f"{root}/{literal_glob(f)}" for f in files])
         .select(*REQUIRED, below_root(source_path(), root_path(spark, root)).alias("_file"))
     )
 
