@@ -13,17 +13,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits
+from toplist.operators.audit import audit_index
 from toplist.operators.calendar import calendar_batch, ones_calendar
+from toplist.operators.covering import covering_dates, show_covering
+from toplist.operators.file_signatures import build_file_signatures, search_skipping
 from toplist.operators.fuzzy_join import fuzzy_name_join, search_batch
+from toplist.operators.history import chart_history
 from toplist.operators.index import build_index, index_entries, read_index
 from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart
-from toplist.session import scratch_dir
+from toplist.operators.peaks import build_peaks, peaks_in_year, read_peaks, update_peaks
+from toplist.operators.refresh import refresh_search_index
+from toplist.operators.signatures import build_signatures, refresh_signatures, signature_name_join
+from toplist.operators.variants import best_rank_of_variants
+from toplist.session import scratch_dir, written_once
 from toplist.sources.feed import chart_feed
+from toplist.sources.folders import Folder
 from toplist.sources.tables import read_table
+from toplist.sources.tree_writer import write_csv_tree
 
 try:
     import corpus_pipeline
@@ -112,6 +122,113 @@ def _brand_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(typo.alias("query")).distinct()
 
 
+#: The (provider, year) partitions that the maintenance queries change after a first build.
+_LATE, _REVISED, _GONE = ("asia", 1997), ("europe", 1996), ("nowhere", 1990)
+
+
+def _is(partition: tuple[str, int]) -> Column:
+    return (F.col("provider") == partition[0]) & (F.col("year") == partition[1])
+
+
+def _before_revision(index: DataFrame) -> DataFrame:
+    """An earlier state of ``index``: one partition not yet there, one with other ranks and names, one that goes later."""
+    revised = (F.col("year") == _REVISED[1]) & (F.col("provider") == _REVISED[0])
+    early = index.where(~_is(_LATE)).withColumns(
+        {
+            "this_week": F.when(revised, F.lit(1).cast("long")).otherwise(F.col("this_week")),
+            "song_norm": F.when(revised, F.concat(F.lit("zz"), "song_norm")).otherwise(F.col("song_norm")),
+        }
+    )
+    gone = index.where(_is(_REVISED)).withColumns({"provider": F.lit(_GONE[0]), "year": F.lit(_GONE[1])})
+    return early.unionByName(gone)
+
+
+def _signature_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of an earlier state, refreshed by partition; then the names that misspelt songs match."""
+    index = written_once(_index(spark, sf_dir), "index-rows")
+    stored = build_signatures(_before_revision(index), scratch_dir(spark, "signatures"))
+    refresh_signatures(stored, index.where(_is(_LATE) | _is(_REVISED)), removed=[_GONE])
+    return signature_name_join(stored, _typo_queries(spark, sf_dir), "song")
+
+
+def _search_batch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _stored_index(spark, sf_dir)
+    stored = build_signatures(index, scratch_dir(spark, "signatures"))
+    return search_batch(
+        index, _field_queries(spark, sf_dir), name_join=lambda q, field: signature_name_join(stored, q, field)
+    )
+
+
+def _search_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, signatures = scratch_dir(spark, "search-index"), scratch_dir(spark, "file-signatures")
+    build_index(chart_feed(spark, sf_dir), path)
+    build_file_signatures(spark, path, signatures)
+    return search_skipping(spark, path, signatures, artist="Brand#13 feat. NATION_5", song="red plate")
+
+
+def _index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider tree of the feed, indexed; one chart's files rewritten, another's removed; the refreshed index."""
+    feed = written_once(chart_feed(spark, sf_dir), "feed")
+    tree, path = scratch_dir(spark, "provider-tree"), scratch_dir(spark, "search-index")
+    write_csv_tree(feed, tree)
+    refresh_search_index(spark, tree, path)
+    changed = feed.where((F.col("chart") == "asia-economy") & (F.year("date") >= 1997))
+    write_csv_tree(changed.withColumn("artist", F.concat("artist", F.lit(" Band"))), tree)
+    folder = Folder(spark, f"{tree}/europe/europe-promo")
+    for name in folder.names():
+        if name.startswith(("1996", "1997")):
+            folder.delete(name)
+    refresh_search_index(spark, tree, path)
+    return read_index(spark, path)
+
+
+def _maintained_peaks(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a peak state that was built on an earlier index and then updated."""
+    index = written_once(_index(spark, sf_dir), "index-rows")
+    path = scratch_dir(spark, "peaks")
+    build_peaks(_before_revision(index), path)
+    update_peaks(spark, path, index.where(_is(_LATE) | _is(_REVISED)), [_LATE, _REVISED, _GONE])
+    return path
+
+
+def _chart_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's date, asked of the standard and promo chart of its customer's region."""
+    orders, customer = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    joined = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    provider = F.lower(F.regexp_replace("r_name", " ", "-"))
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "standard").otherwise("promo")
+    return joined.select(
+        F.to_date("o_orderdate").alias("ref_date"), provider.alias("provider"), F.concat(provider, F.lit("-"), kind).alias("chart")
+    ).distinct()
+
+
+def _feed_sizes(index: DataFrame) -> DataFrame:
+    """Two validity periods for every chart of the feed: sizes by the length of its name, then one size for all."""
+    charts = index.select("provider", "chart").distinct()
+    first = charts.select(
+        "provider", "chart", F.lit(None).cast("date").alias("start"), F.lit("1996-06-30").cast("date").alias("end"),
+        (F.length("chart") % 5 + 3).cast("bigint").alias("size"),
+    )
+    then = charts.select(
+        "provider", "chart", F.lit("1996-07-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end"),
+        F.lit(12).cast("bigint").alias("size"),
+    )
+    return first.unionByName(then)
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = written_once(_index(spark, sf_dir).drop("artist_norm", "song_norm"), "index-rows")
+    # A week in five is not there, and one rank in seven is another's.
+    weeks = index.where((F.col("frequency") != "weekly") | (F.weekofyear("date") % 5 != 0))
+    shifted = F.when(F.col("this_week") % 7 == 0, F.col("this_week") - 1).otherwise(F.col("this_week"))
+    return audit_index(weeks.withColumn("this_week", shifted), _feed_sizes(index)).fillna(0, ["this_week", "entries"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _chart_queries() | ({} if llm is None else llm.QUERIES | {"pipeline": corpus_pipeline.run})
 
@@ -185,6 +302,23 @@ def _chart_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_join_words": lambda s, d: fuzzy_name_join(
             _text_words(s, d, "benchmark"), _text_words(s, d, "documents"), "word", "word"
         ),
+        "signature_name_join": lambda s, d: signature_name_join(
+            build_signatures(_index(s, d), scratch_dir(s, "signatures")), _typo_queries(s, d), "song"
+        ),
+        "signature_refresh": _signature_refresh,
+        "search_batch_stored": _search_batch_stored,
+        "search_skipping": _search_skipping,
+        "index_refresh": _index_refresh,
+        "peaks_maintained": lambda s, d: read_peaks(s, _maintained_peaks(s, d)),
+        "peaks_maintained_year": lambda s, d: peaks_in_year(s, _maintained_peaks(s, d), 1998, 10),
+        "covering_dates": lambda s, d: covering_dates(_index(s, d), _chart_questions(s, d)),
+        "show_covering": lambda s, d: show_covering(_index(s, d), _chart_questions(s, d), max_rank=3),
+        # A missing last week is written as 0: result sets are compared without nullable whole numbers.
+        "chart_history": lambda s, d: chart_history(written_once(chart_feed(s, d), "feed")).fillna(0, ["last_week"]),
+        "audit_index": _audit,
+        "best_rank_of_variants": lambda s, d: best_rank_of_variants(
+            written_once(_index(s, d), "index-rows"), fields=("song",), min_length=10
+        ),
         "search_batch": lambda s, d: search_batch(_stored_index(s, d), _brand_typos(s, d)),
         "fuzzy_join": lambda s, d: fuzzy_name_join(
             _typo_queries(s, d), _index(s, d).select(F.col("song_norm").alias("name")),
@@ -299,6 +433,36 @@ _INDEX_COLS = (
 )
 
 
+_FIELD_SEARCH_SQL = f"""
+select q.query, idx.provider, idx.chart, idx.date, idx.this_week, idx.artist, idx.song
+from (select distinct artist, song, provider, year, concat_ws('/', artist, song, provider, year) as query
+      from (select case when p_partkey % 5 <> 0 then p_brand || 'x' end as artist,
+              case when p_partkey % 5 <> 1 then substr(p_name, 1, 2) || substr(p_name, 4) end as song,
+              case when p_partkey % 2 = 0 then 'asia' end as provider,
+              case when p_partkey % 3 = 0 then 1997 end as year from part)) q
+join idx on (q.artist is null or damerau_levenshtein(idx.artist_norm, {_norm_sql('q.artist')}) <= 2)
+  and (q.song is null or damerau_levenshtein(idx.song_norm, {_norm_sql('q.song')}) <= 2)
+  and (q.provider is null or idx.provider = q.provider) and (q.year is null or idx.year = q.year)"""
+
+_TYPO_JOIN_SQL = """
+select distinct q.query, n.name
+from (select distinct
+        case p_partkey % 3
+          when 0 then substr(nm, 2, 1) || substr(nm, 1, 1) || substr(nm, 3)
+          when 1 then substr(nm, 1, 2) || substr(nm, 4)
+          else nm || 's' end as query
+      from (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9&]', '', 'g') nm from part)) q
+join (select distinct song_norm as name from idx) n
+  on damerau_levenshtein(q.query, n.name) <= 2"""
+
+_QUESTIONS_SQL = """,
+questions as (
+  select distinct cast(o_orderdate as date) as ref_date, lower(replace(r_name, ' ', '-')) as provider,
+    lower(replace(r_name, ' ', '-')) || case when o_orderkey % 2 = 0 then '-standard' else '-promo' end as chart
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+  join region on n_regionkey = r_regionkey)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _chart_oracles()
     if llm is not None:
@@ -414,18 +578,7 @@ from (
        (select distinct cast(year(o_orderdate) as integer) as target_year from orders))""",
             snap=False,
         ),
-        "search_batch_fields": _with(
-            f"""
-select q.query, idx.provider, idx.chart, idx.date, idx.this_week, idx.artist, idx.song
-from (select distinct artist, song, provider, year, concat_ws('/', artist, song, provider, year) as query
-      from (select case when p_partkey % 5 <> 0 then p_brand || 'x' end as artist,
-              case when p_partkey % 5 <> 1 then substr(p_name, 1, 2) || substr(p_name, 4) end as song,
-              case when p_partkey % 2 = 0 then 'asia' end as provider,
-              case when p_partkey % 3 = 0 then 1997 end as year from part)) q
-join idx on (q.artist is null or damerau_levenshtein(idx.artist_norm, {_norm_sql('q.artist')}) <= 2)
-  and (q.song is null or damerau_levenshtein(idx.song_norm, {_norm_sql('q.song')}) <= 2)
-  and (q.provider is null or idx.provider = q.provider) and (q.year is null or idx.year = q.year)"""
-        ),
+        "search_batch_fields": _with(_FIELD_SEARCH_SQL),
         "fuzzy_join_words": """
 select q.word as query, n.word as name
 from (select distinct word from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) word
@@ -433,6 +586,106 @@ from (select distinct word from (select unnest(regexp_split_to_array(lower(text)
 join (select distinct word from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) word
       from documents) where word <> '') n
   on abs(length(q.word) - length(n.word)) <= 2 and damerau_levenshtein(q.word, n.word) <= 2""",
+        "signature_name_join": _with(_TYPO_JOIN_SQL),
+        "signature_refresh": _with(_TYPO_JOIN_SQL),
+        "search_batch_stored": _with(_FIELD_SEARCH_SQL),
+        "search_skipping": _search_rows_sql(
+            _dl("artist_norm", "Brand#13 feat. NATION_5") + " and " + _dl("song_norm", "red plate")
+        ),
+        "index_refresh": _with(
+            f"""
+select provider, chart, frequency, date, this_week, artist, song, {_norm_sql('artist')} as artist_norm, song_norm,
+  year, month, day
+from (select * replace (case when chart = 'asia-economy' and year >= 1997 then artist || ' Band' else artist end as artist)
+      from idx)
+where not (chart = 'europe-promo' and year in (1996, 1997))"""
+        ),
+        "peaks_maintained": _with("select * from best", extra=_best_sql()),
+        "peaks_maintained_year": _with(
+            "select * from best where best_rank <= 10 and year(best_date) = 1998", extra=_best_sql()
+        ),
+        "covering_dates": _with(
+            """
+select q.ref_date, q.provider, q.chart, i.date
+from questions q asof left join (select distinct provider, chart, date from idx) i
+  on q.provider = i.provider and q.chart = i.chart and q.ref_date >= i.date""",
+            extra=_QUESTIONS_SQL,
+        ),
+        "show_covering": _with(
+            """
+select c.ref_date, idx.provider, idx.chart, idx.this_week, idx.artist, idx.song, idx.date
+from (select q.ref_date, q.provider, q.chart, i.date
+      from questions q asof join (select distinct provider, chart, date from idx) i
+        on q.provider = i.provider and q.chart = i.chart and q.ref_date >= i.date) c
+join idx on idx.provider = c.provider and idx.chart = c.chart and idx.date = c.date
+where idx.this_week <= 3""",
+            extra=_QUESTIONS_SQL,
+        ),
+        "chart_history": _with(
+            """
+select provider, chart, date, this_week, artist, song, coalesce(last_week, 0) as last_week, peak_position,
+  weeks_on_chart, run, weeks_in_run
+from (
+  select *, row_number() over (partition by provider, chart, artist, song, run order by place) as weeks_in_run
+  from (
+    select *, cast(sum(case when gap then 1 else 0 end) over own as bigint) as run,
+      case when not gap then lag(this_week) over own end as last_week,
+      min(this_week) over own as peak_position, row_number() over own as weeks_on_chart
+    from (
+      select *, coalesce(place - lag(place) over own, 2) <> 1 as gap
+      from (select idx.*, place from idx join (
+              select provider, chart, date, row_number() over (partition by provider, chart order by date) as place
+              from (select distinct provider, chart, date from idx)) using (provider, chart, date))
+      window own as (partition by provider, chart, artist, song order by place))
+    window own as (partition by provider, chart, artist, song order by place)))"""
+        ),
+        "audit_index": _with(
+            """
+select provider, chart, date, 'missing date' as problem, 0::bigint as this_week, 0::bigint as entries
+from (select provider, chart, unnest(case frequency
+          when 'weekly' then generate_series(lo, hi, interval 7 days)
+          when 'monthly' then generate_series(date_trunc('month', lo), hi, interval 1 month)
+          else list_concat(generate_series(date_trunc('month', lo), hi, interval 1 month),
+            list_transform(generate_series(date_trunc('month', lo), hi, interval 1 month), lambda x: x + interval 14 days))
+          end)::date as date, lo, hi
+      from (select provider, chart, frequency, min(date)::timestamp lo, max(date)::timestamp hi from kept group by all)) e
+where date between lo and hi
+  and not exists (select 1 from kept k where k.provider = e.provider and k.chart = e.chart and k.date = e.date)
+union all
+select s.provider, s.chart, s.date, 'missing rank', s.r, 0
+from (select provider, chart, date, unnest(range(1, size + 1)) as r from sized) s
+left join counts c on c.provider = s.provider and c.chart = s.chart and c.date = s.date and c.this_week = s.r
+where c.n is null
+union all
+select provider, chart, date, 'repeated rank', this_week, n from counts where n > 1
+union all
+select c.provider, c.chart, c.date, 'over size', c.this_week, c.n
+from counts c join sized s on c.provider = s.provider and c.chart = s.chart and c.date = s.date where c.this_week > size""",
+            extra=""",
+kept as (
+  select * replace (case when this_week % 7 = 0 then this_week - 1 else this_week end as this_week)
+  from idx where frequency <> 'weekly' or weekofyear(date) % 5 <> 0),
+counts as (select provider, chart, date, this_week, count(*) as n from kept group by all),
+sized as (
+  select distinct provider, chart, date,
+    case when date <= date '1996-06-30' then length(chart) % 5 + 3 else 12 end as size from kept)""",
+        ),
+        "best_rank_of_variants": _with(
+            """
+select provider, chart, artist, song, min(this_week) as best_rank, min(date) filter (where this_week = mn) as best_date
+from (select *, min(this_week) over (partition by provider, chart, artist, song) as mn
+      from (select provider, chart, date, this_week, artist_norm as artist, coalesce(least, song_norm) as song
+            from idx left join canonical on song_norm = name))
+group by provider, chart, artist, song""",
+            extra=""",
+names as (select distinct song_norm as name from idx where length(song_norm) >= 10),
+links as (select a.name as a, b.name as b from names a join names b on damerau_levenshtein(a.name, b.name) <= 2),
+canonical as (
+  select a as name, min(b) as least
+  from (with recursive reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+        select * from reach)
+  group by a)""",
+        ),
         "search_batch": _with(
             f"""
 select q.query, provider, chart, date, this_week, artist, song
@@ -440,16 +693,5 @@ from (select distinct substr(p_brand, 1, 1) || substr(p_brand, 3, 1) || substr(p
         || substr(p_brand, 4) as query from part) q
 join idx on damerau_levenshtein(idx.artist_norm, {_norm_sql('q.query')}) <= 2"""
         ),
-        "fuzzy_join": _with(
-            """
-select distinct q.query, n.name
-from (select distinct
-        case p_partkey % 3
-          when 0 then substr(nm, 2, 1) || substr(nm, 1, 1) || substr(nm, 3)
-          when 1 then substr(nm, 1, 2) || substr(nm, 4)
-          else nm || 's' end as query
-      from (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9&]', '', 'g') nm from part)) q
-join (select distinct song_norm as name from idx) n
-  on damerau_levenshtein(q.query, n.name) <= 2"""
-        ),
+        "fuzzy_join": _with(_TYPO_JOIN_SQL),
     }
