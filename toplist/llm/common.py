@@ -45,15 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, per_task: int, how: str = "inner") -> DataFrame:
+def salted_join(
+    many: DataFrame, one: DataFrame, key: str, per_task: int, how: str = "inner", counted: DataFrame | None = None
+) -> DataFrame:
     """``many JOIN one`` on ``key`` (unique in ``one``) with hot keys of ``many`` spread.
 
     A key with ``n`` rows in ``many`` is cut into ``ceil(n / per_task)`` slices;
     the row of ``one`` is repeated once per slice.  Keys with few rows keep one
-    slice, so nothing is repeated for them.
+    slice, so nothing is repeated for them.  ``counted`` has the keys of
+    ``many``, row by row, where counting ``many`` itself would compute it twice.
     """
     slices = (
-        many.groupBy(key)
+        (many if counted is None else counted).groupBy(key)
         .count()
         .select(key, F.ceil(F.col("count") / per_task).cast("int").alias("_slices"))
     )
@@ -71,6 +74,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, per_task: int, how: s
     return dealt.drop("_slices").join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def packed(df: DataFrame, columns: list[str], name: str) -> Column:
+    """``columns`` of ``df`` as one struct, so that their names meet no others until they are selected back (``name.*``).
+
+    Without columns, a struct of one null field named ``name``.
+    """
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).alias(name))).alias(name)
+
+
 def running_totals(rows: DataFrame, order: list[str], values: list[str], name: str) -> DataFrame:
     """``rows`` (narrow columns) with ``before_<value>``: its sum over all rows ahead in ``order``.
 

@@ -1,18 +1,19 @@
 """Near-duplicate documents by bottom-k sketches of word-shingle sets.
 
 1. One hash function; the ``sketch_size`` smallest shingle hashes of a document
-   are its bottom-k sketch.  Sets of up to ``whole_size`` shingles are retained
-   whole, so that all bounds on them are exact.  Documents with equal sets
-   become one node, so copies cost nothing further.
+   are its bottom-k sketch, taken in one pass over the texts.  The sketch of a
+   set of no more shingles is the set itself, so that all bounds on it are
+   exact.  Documents with equal sets become one node, so copies cost nothing
+   further.
 2. Inverted lists of retained values generate the overlaps.  Two sets at the
    threshold must share at least ``o`` retained values, so only the rarest
-   ``size - o + 1`` values of a document are listed: a pair that shares ``o``
-   values always shares a listed one, while a document's many values shared
+   ``size - o + l`` values of a document are listed: a pair that shares ``o``
+   values always shares ``l`` listed ones, while a document's many values shared
    with boilerplate never enter a list unless they make up most of it.  Pairs
-   of whole sets are listed by all their values and ``o`` follows from the two
-   set sizes; pairs with a larger set are listed by their sketches and ``o`` is
-   the bound that a pair at the threshold misses with a chance below ``MISS``
-   (a binomial tail).
+   that share fewer than ``l`` listed values, by chance meetings of a phrase,
+   go no further.  For pairs of sets held whole ``o`` follows from the two set
+   sizes; for pairs with a larger set ``o`` is the bound that a pair at the
+   threshold misses with a chance below ``MISS`` (a binomial tail).
 3. The sketch of a candidate pair's union estimates its Jaccard similarity and
    filters; the survivors are confirmed on their full shingle sets.
 4. Links only matter through components, so lists are not expanded into pairs:
@@ -37,6 +38,8 @@ from toplist.llm.shingles import set_mapper
 
 # Chance, per linked pair of long documents, that its sketches share fewer values than asked.
 MISS = 1e-6
+# Listed values that a pair must share (the ``l`` of step 2; fewer where its sets need to share fewer in all).
+SHARED = 3
 # Rows of a hot key joined in one task.
 ROWS_PER_SLICE = 256
 # Fixed value: marks list values of sketches, apart from those of whole sets.
@@ -63,27 +66,23 @@ class _Job:
         self.docs = docs.select(
             F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text")
         )
-        self.id_type = docs.schema[id_col].dataType.simpleString()
-        # The sketches of equal sets are dropped before anything is written.
+        id_type = docs.schema[id_col].dataType.simpleString()
+        # Every document's id, set and sketch, from one pass over the texts.
+        self.rows = stored(
+            self.docs.mapInArrow(
+                set_mapper(words, whole_size, sketch_size, ["_id", "_key"]),
+                f"_id {id_type}, _key long, set_hash binary, n_shingles long, shingles array<long>",
+            ),
+            "minhash-rows",
+        )
         self.nodes = stored(
-            self.docs.select("_key", "_text")
-            .mapInArrow(
-                set_mapper(words, whole_size, sketch_size, ["_key"]),
-                "_key long, set_hash binary, n_shingles long, shingles array<long>",
-            )
+            self.rows.drop("_id")
             .where("n_shingles > 0")
             .dropDuplicates(["set_hash"])
             .withColumn("node", F.monotonically_increasing_id()),
             "minhash-nodes",
         )
 
-    def rows(self) -> DataFrame:
-        """``_id, set_hash, n_shingles`` of every document."""
-        return self.docs.select("_id", "_text").mapInArrow(
-            set_mapper(self.words, 0, 0, ["_id"]),
-            f"_id {self.id_type}, set_hash binary, n_shingles long, shingles array<long>",
-        ).drop("shingles")
-
     def lists(self) -> DataFrame:
         """``value, node, n, sketched, rank, alone``: the listed (rarest) values of every node.
 
@@ -116,9 +115,9 @@ class _Job:
             )
             .withColumn("rank", F.col("alone") + F.col("place"))
         )
-        listed = F.when(
-            F.col("sketched"), F.lit(k - shared_at_least(k, self.percent) + 1)
-        ).otherwise(F.col("n") - self._share(F.col("n") * self.percent, 100) + 1)
+        asked = F.when(F.col("sketched"), F.lit(shared_at_least(k, self.percent))).otherwise(self._needed(F.col("n")))
+        held = F.when(F.col("sketched"), F.lit(k)).otherwise(F.col("n"))
+        listed = held - asked + F.least(asked, F.lit(SHARED))
         return stored(
             ranked.where(F.col("rank") <= listed).select("value", "node", "n", "sketched", "rank", "alone"),
             "minhash-lists",
@@ -128,13 +127,17 @@ class _Job:
         """``part / of`` rounded up, in whole numbers."""
         return F.floor((part + (of - 1)) / of).cast("long")
 
+    def _needed(self, n: Column) -> Column:
+        """Shingles that a set of ``n`` shares at least with any set it is linked to."""
+        return self._share(n * self.percent, 100)
+
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch allows the threshold; ``sure`` where both sets were held whole."""
         held = self.nodes.select("node", "n_shingles", "shingles")
         side = lambda x: held.select(
             F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("shingles").alias("s" + x)
         )
-        both = salted_join(pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE)
+        both = salted_join(pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE, counted=pairs)
         k, o = self.sketch_size, shared_at_least(self.sketch_size, self.percent)
         sure = (F.col("na") <= self.whole_size) & (F.col("nb") <= self.whole_size)
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -170,7 +173,7 @@ class _Job:
         open_pairs = pairs.where("not sure").select("a", "b")
         sets = self.sets(open_pairs)
         side = lambda x: sets.select(F.col("node").alias(x), F.col("full").alias("f" + x))
-        both = salted_join(open_pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE)
+        both = salted_join(open_pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE, counted=open_pairs)
         shared = F.size(F.array_intersect("fa", "fb"))
         union = F.size("fa") + F.size("fb") - shared
         confirmed = both.where(100 * shared >= self.percent * union).select("a", "b")
@@ -214,15 +217,23 @@ class _Job:
         )
         # Whole sets of these sizes share this many shingles at the threshold, the first in both lists included.
         asked = self._share((F.col("nx") + F.col("ny")) * self.percent, 100 + self.percent)
-        whole = (F.col("rx") + asked <= F.col("nx") + 1) & (F.col("ry") + asked <= F.col("ny") + 1)
+        # They share SHARED listed values, so each of the first of them has as many others behind it, less those before.
+        slack = F.lit(SHARED)
+        whole = (F.col("rx") + asked <= F.col("nx") + slack) & (F.col("ry") + asked <= F.col("ny") + slack)
         met = (
             (F.col("lx") != F.col("ly"))
             & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y")))
             & (100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
             & F.when(F.col("sketched"), F.greatest("nx", "ny") > self.whole_size).otherwise(whole)
         )
-        pairs = x.join(y, "value").where(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+        shared = F.when(F.col("sketched"), F.lit(SHARED)).otherwise(
+            F.least(self._needed(F.least("nx", "ny")), F.lit(SHARED))
+        )
+        meetings = x.join(y, "value").where(met).select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.cast("int").alias("shared")
+        )
+        pairs = meetings.groupBy("a", "b", "shared").count().where(F.col("count") >= F.col("shared"))
+        return pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(
@@ -231,8 +242,8 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    sketch_size: int = 96,
-    whole_size: int = 512,
+    sketch_size: int = 192,
+    whole_size: int | None = None,
 ) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -240,23 +251,26 @@ def near_duplicates(
     their sets of distinct ``words``-word shingles.  ``component_id`` is the
     smallest id reachable over links, the document's own included; the document
     that bears it is kept.  Null, empty or blank text has an empty set, is
-    linked with nothing and kept.  A row without id takes part in the links; it
+    linked with nothing and kept.  Sets of up to ``whole_size`` shingles
+    (``sketch_size``, if not given) are held whole.  A row without id takes part in the links; it
     is kept only where no document of its component has an id.  Rows that
     repeat an id and text get the same answer each.
     """
-    job = _Job(docs, id_col, text_col, words, percent, sketch_size, max(whole_size, sketch_size))
+    job = _Job(docs, id_col, text_col, words, percent, sketch_size, max(whole_size or 0, sketch_size))
     lists = job.lists()
     pairs = stored(job.first_pairs(lists), "minhash-first")
     links = job.confirmed(pairs)
     labels = stored(components(links), "minhash-labels")
-    links = links.union(job.confirmed(job.crossing_pairs(lists, labels, pairs)))
+    crossing = stored(job.crossing_pairs(lists, labels, pairs), "minhash-crossing")
+    links = links.union(job.confirmed(crossing))
     labels = components(links)
 
-    placed = (
-        job.rows()
+    placed = stored(
+        job.rows.select("_id", "set_hash", "n_shingles")
         .join(job.nodes.select("set_hash", "node"), "set_hash", "left")
         .join(labels, "node", "left")
-        .select("_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+        .select("_id", "n_shingles", F.coalesce("label", "node").alias("label")),
+        "minhash-placed",
     )
     least = placed.where("label is not null").groupBy("label").agg(F.min("_id").alias("least"))
     own = F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("least"))
