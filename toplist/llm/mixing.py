@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toplist.llm.common import running_totals, stored, word_count
+from toplist.llm.common import packed, running_totals, stored, word_count
 
 # Documents of one source ordered in one task (about; keys are spread evenly).
 ROWS_PER_BUCKET = 10_000
@@ -96,9 +96,12 @@ def mix_sources(
     times it.  Weights go round the sources in code-point order; documents
     without source are a source of their own, the last.  Sources without words
     have target 0.  Repeated rows are documents of their own, taken one after
-    the other.  Without rows there is no result row.
+    the other.  Carried columns named like an output are left out.  Without rows
+    there is no result row.
     """
     text = F.col(text_col)
+    own = {id_col, "source", "size", "source_size", "target", "copies", "taken"}
+    carry = [c for c in (carry or []) if c not in own]
     rows = stored(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
@@ -106,7 +109,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(text).alias("size"),
             (-F.log(uniform(F.col(id_col), seed)) / (quality if quality is not None else letter_quality(text))).alias("key"),
-            *(carry or []),
+            packed(docs, carry, "carried"),
         ),
         "mix-sizes",
     )
@@ -151,7 +154,7 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
-        *(carry or []),
+        *[F.col(f"carried.`{c}`") for c in carry],
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toplist.llm.common import stored
+from toplist.llm.common import packed, stored
 from toplist.llm.tokens import id_mapper, id_type, with_row
 
 # Items packed together in one task (about).
@@ -27,8 +27,8 @@ ITEMS_PER_GROUP = 50_000
 FAN_IN = 8
 
 
-def _cut(capacity: int, kind: str):
-    """Pieces of every id list: ``piece, start, length, ids_crc32`` and the ids (little-endian)."""
+def _cut(capacity: int, kind: str | None):
+    """Pieces of every id list: ``piece, start, length, ids_crc32`` and, with a ``kind``, the ids (little-endian)."""
 
     def shape(texts: list[np.ndarray]):
         rows, piece, start, length, digest, ids = [], [], [], [], [], []
@@ -41,34 +41,39 @@ def _cut(capacity: int, kind: str):
                 start.append(a)
                 length.append(b - a)
                 digest.append(zlib.crc32(x[a:b].astype("<u4").tobytes()))
-                ids.append(x[a:b].astype(kind).tobytes())
+                if kind:
+                    ids.append(x[a:b].astype(kind).tobytes())
         columns = [
             pa.array(piece, type=pa.int32()),
             pa.array(start, type=pa.int64()),
             pa.array(length, type=pa.int64()),
             pa.array(digest, type=pa.int64()),
-            pa.array(ids, type=pa.binary()),
         ]
-        return np.array(rows, dtype=np.int64), columns, ["piece", "start", "length", "ids_crc32", "ids"]
+        names = ["piece", "start", "length", "ids_crc32"]
+        if kind:
+            columns, names = [*columns, pa.array(ids, type=pa.binary())], [*names, "ids"]
+        return np.array(rows, dtype=np.int64), columns, names
 
     return shape
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text_col: str = "text", carry: list[str] | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text_col: str = "text", carry: list[str] | None = None,
+    with_ids: bool = True,
 ) -> DataFrame:
     """``_row`` (struct of the carried columns) and the pieces of every document.
 
     Null and empty texts have ``end_id`` alone.  Only documents of more than
     ``capacity`` ids are cut, into full pieces; the first may be shorter.
     ``ids`` are little-endian, of 16 bits where the vocabulary fits and 32
-    otherwise; ``ids_crc32`` is of the 32-bit form in either case.
+    otherwise, and left out unless ``with_ids``; ``ids_crc32`` is of the 32-bit
+    form in either case.
     """
     carry = carry if carry is not None else [c for c in docs.columns if c != text_col]
     frame, row = with_row(docs, carry, text_col)
     return frame.mapInArrow(
-        id_mapper(tokenizer, end_id, _cut(capacity, id_type(tokenizer, end_id))),
-        f"{row}, piece int, start long, length long, ids_crc32 long, ids binary",
+        id_mapper(tokenizer, end_id, _cut(capacity, id_type(tokenizer, end_id) if with_ids else None)),
+        f"{row}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""),
     )
 
 
@@ -137,8 +142,11 @@ def pack(pieces: DataFrame, capacity: int, items_per_group: int = ITEMS_PER_GROU
     sequence a row gets is fixed once the result is stored.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    columns = pieces.columns
-    items = stored(pieces.withColumn("bin", F.monotonically_increasing_id()), "pack-items")
+    # The input travels as one struct: its names cannot clash with those of the rounds.
+    items = stored(
+        pieces.select(packed(pieces, pieces.columns, "piece"), "length", F.monotonically_increasing_id().alias("bin")),
+        "pack-items",
+    )
     groups = max(1, -(-items.count() // items_per_group))
     todo = items.withColumns(
         {
@@ -152,18 +160,18 @@ def pack(pieces: DataFrame, capacity: int, items_per_group: int = ITEMS_PER_GROU
     todo = todo.where(F.col("length") < capacity)
     before, level = None, 1
     while True:
-        packed = stored(
+        laid = stored(
             todo.groupBy("group").applyInArrow(_pack_group(capacity, level), todo.schema), "pack-round"
         )
-        bins = packed.groupBy("bin").agg(F.first("fill").alias("fill"))
+        bins = laid.groupBy("bin").agg(F.first("fill").alias("fill"))
         least = bins.agg(F.min("fill"), F.count("*")).first()
         if least[1] == 0 or groups == 1 or least[1] == before:
-            done.append(packed)
+            done.append(laid)
             break
         # A bin that has less room than the emptiest bin fills can take no other.
         open_bins = F.col("fill") <= capacity - least[0]
-        done.append(packed.where(~open_bins))
-        residue = packed.where(open_bins)
+        done.append(laid.where(~open_bins))
+        residue = laid.where(open_bins)
         left = bins.where(open_bins).count()
         if left == 0:
             break
@@ -179,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int, items_per_group: int = ITEMS_PER_GROU
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+    return out.select("piece.*", F.col("bin").alias("sequence_id"), "offset")
 
 
 def pack_documents(

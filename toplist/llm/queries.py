@@ -40,7 +40,7 @@ URL_RULES = [
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(BYTE_TOKENIZER)
-    pieces = token_pieces(documents(spark, sf_dir), tokenizer, 2, 1024, carry=["doc_id"])
+    pieces = token_pieces(documents(spark, sf_dir), tokenizer, 2, 1024, carry=["doc_id"], with_ids=False)
     return pack(
         pieces.select(F.col("_row.doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32"), 1024
     )

@@ -5,9 +5,11 @@ the concatenation of its chunks' ids, where a chunk is a run of white space and
 the run of other characters after it; such a tokenizer also ends a piece where
 marks follow an ASCII letter (others may be normalized to a letter and a mark
 of its own, which joins those after it).  Corpora repeat their chunks, so each worker asks the
-library for a chunk once and looks it up afterwards.  Texts
-with white space other than the ASCII one, where a run could reach over a cut,
-are encoded whole.
+library for a chunk once and looks it up afterwards.  Most texts have single
+spaces between their words and perhaps line breaks inside a run of others: these
+are cut at the spaces, which is quickest, and new pieces are asked for many at a
+time.  Texts with white space other than the ASCII one, where a run could reach
+over a cut, are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ REMEMBERED_CHUNKS = 1_000_000
 # ASCII white space, and white space or separators outside it.
 _CHUNK = re.compile("[ \\t\\n\\x0b\\x0c\\r]*[^ \\t\\n\\x0b\\x0c\\r]+|[ \\t\\n\\x0b\\x0c\\r]+")
 _OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+# Pieces asked of the library as one text.
+PIECES_PER_TEXT = 200
+# Fixed value: white space that makes a text one that is not cut at its spaces (a space beside a line break, or any other).
+_UNEVEN = ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")
 # Fixed value: ASCII marks that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -47,14 +53,16 @@ class ChunkTokenizer:
         self._forget()
 
     def _forget(self) -> None:
+        # Chunks as they stand, and pieces that follow a space, by what follows it.
         self.place: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
         self.ids, self.first, self.size = array("i"), array("q"), array("i")
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.place.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks)), strict=True))
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray, into: dict[str, int]) -> None:
+        into.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks)), strict=True))
         self.first.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
         self.size.frombytes(sizes.astype(np.int32).tobytes())
         self.ids.frombytes(ids.astype(np.int32).tobytes())
@@ -62,23 +70,62 @@ class ChunkTokenizer:
     def _ask(self, chunks: list[str]) -> None:
         found = self._whole(chunks)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self._add(chunks, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes)
-
-    def _learn(self, new: set[str]) -> None:
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
+        self._add(chunks, ids, sizes, self.place)
+
+    def _ask_spaced(self, pieces: list[str]) -> None:
+        """Ids of ``" " + piece`` for every piece: many pieces make one text, whose ids are shared out by their places in it."""
+        for some in (pieces[i : i + 50 * PIECES_PER_TEXT] for i in range(0, len(pieces), 50 * PIECES_PER_TEXT)):
+            groups = [some[i : i + PIECES_PER_TEXT] for i in range(0, len(some), PIECES_PER_TEXT)]
+            found = self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)
+            sizes = []
+            for group, encoding in zip(groups, found, strict=True):
+                at = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(encoding))
+                starts = np.cumsum([0, *(len(p) + 1 for p in group)])
+                sizes.append(np.diff(np.searchsorted(at, starts)))
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype=np.int32)
+            self._add(some, ids, np.concatenate(sizes), self.spaced)
+
+    def _parts(self, chunk: str) -> tuple[str, str] | None:
+        """A chunk that ends in marks after an ASCII letter, as what is ahead of the marks and the marks."""
+        stem = chunk.rstrip(MARKS)
+        if len(stem) < len(chunk) and stem[-1:].isascii() and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
+            return stem, chunk[len(stem) :]
+        return None
+
+    def _learn(self, new: set[str], spaced: bool) -> None:
         """Remember new chunks.  One that ends in marks after an ASCII letter is its two parts, known or asked for alone."""
-        place, parts, ask = self.place, {}, set()
-        for chunk in new:
-            stem = chunk.rstrip(MARKS)
-            if len(stem) < len(chunk) and stem[-1:].isascii() and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
-                parts[chunk] = both = stem, chunk[len(stem) :]
-                ask.update(x for x in both if x not in place)
-            else:
-                ask.add(chunk)
-        self._ask(list(ask))
+        own = self.spaced if spaced else self.place
+        parts = {chunk: both for chunk in new if (both := self._parts(chunk))}
+        marks = {both[1] for both in parts.values() if both[1] not in self.place}
+        stems = {both[0] for both in parts.values() if both[0] not in own}
+        ask = [*(c for c in new if c not in parts), *stems.difference(new)]
+        if spaced:
+            # Asked for alone: what would join the space of the next piece, and what an added token could reach out of.
+            alone = [p for p in ask if not p or p.endswith("\n") or any(x in p for x in self.added)]
+            if alone:
+                found = self._whole([" " + p for p in alone])
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                self._add(alone, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes, own)
+            if more := [p for p in ask if p not in own]:
+                self._ask_spaced(more)
+            self._ask(list(marks))
+        else:
+            self._ask([*ask, *marks.difference(ask)])
         if parts:
-            at = np.fromiter(map(place.__getitem__, chain.from_iterable(parts.values())), dtype=np.int64)
+            at = np.array([[own[a], self.place[b]] for a, b in parts.values()], dtype=np.int64).ravel()
             ids, sizes = self._ids_at(at)
-            self._add(list(parts), ids, sizes.reshape(-1, 2).sum(axis=1))
+            self._add(list(parts), ids, sizes.reshape(-1, 2).sum(axis=1), own)
+
+    def _places(self, chunks: list[str], spaced: bool) -> np.ndarray:
+        """Where the chunks are remembered; new ones are learnt."""
+        own = self.spaced if spaced else self.place
+        at = np.fromiter(map(own.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn({chunks[i] for i in missing}, spaced)
+            at[missing] = [own[chunks[i]] for i in missing]
+        return at
 
     def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of remembered chunks one after the other, and how many each has."""
@@ -90,22 +137,27 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text."""
-        if len(self.place) >= self.remembered:
+        if len(self.place) + len(self.spaced) >= self.remembered:
             self._forget()
-        split = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        even = [not any(x in t for x in _UNEVEN) for t in texts]
+        whole = [_OTHER_SPACE.search(t) is not None for t in texts]
+        # Even texts: a first piece, and pieces after a space.  Others: chunks with the white space ahead of them.
+        split = [None if w else t.split(" ") if e else _CHUNK.findall(t) for t, e, w in zip(texts, even, whole, strict=True)]
+        counts = np.array([0 if cs is None else len(cs) for cs in split], dtype=np.int64)
+        edges = np.r_[0, np.cumsum(counts)]
+        spaced = np.repeat(np.array(even, dtype=bool), counts)
+        # An even text has a first piece even where it is empty.
+        spaced[edges[:-1][(counts > 0) & np.array(even, dtype=bool)]] = False
         chunks = list(chain.from_iterable(cs for cs in split if cs is not None))
-        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._learn({chunks[i] for i in missing})
-            at[missing] = [self.place[chunks[i]] for i in missing]
+        at = np.empty(len(chunks), dtype=np.int64)
+        for kind in (True, False):
+            here = np.flatnonzero(spaced == kind)
+            at[here] = self._places([chunks[i] for i in here.tolist()], kind)
         ids, sizes = self._ids_at(at)
-        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        counts = [0 if cs is None else len(cs) for cs in split]
-        edges = ends[np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))]]
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)[edges]
         return [
             np.array(self._whole([text])[0], dtype=np.int32) if cs is None else ids[a:b]
-            for text, cs, a, b in zip(texts, split, edges, edges[1:], strict=False)
+            for text, cs, a, b in zip(texts, split, ends, ends[1:], strict=False)
         ]
 
 
