@@ -127,7 +127,7 @@ hits as (
   select doc_id, t.lang, list_transform(words, lambda x: len(list_filter(ws, lambda y: y = x))) as counts
   from t join refs on refs.lang = t.lang),
 shares as (
-  select base.*, refs.class_shares, refs.word_shares,
+  select base.*, refs.class_shares, refs.word_shares, list_sum(counts) as n_common,
     case when n_chars > 0 then list_transform([n_upper, n_digit, n_mark, n_chars - word_chars, n_symbols,
       n_chars - (n_upper + n_digit + n_mark + n_chars - word_chars + n_symbols)], lambda x: x / n_chars) end as own_classes,
     case when n_words > 0 then list_append(list_transform(counts, lambda x: x / n_words),
@@ -135,7 +135,9 @@ shares as (
   from base join refs on refs.lang = base.lang join hits on hits.doc_id = base.doc_id),
 told as (
   select *, case when n_chars >= {p.min_chars_for_classes} then {distance.format(p="own_classes", q="class_shares")} end as cd,
-    case when n_words >= {p.min_words_for_common} then {distance.format(p="own_words", q="word_shares")} end as wd
+    case when n_words >= {p.min_words_for_common} then {distance.format(p="own_words", q="word_shares")} end as wd,
+    n_words >= {p.min_words_for_common}
+      and 100 * n_common < {p.min_common_percent} * n_words * (1 - list_last(word_shares)) as few_common
   from shares),
 judged as (
   select told.*, coalesce(n_dup_lines, 0) as dup, coalesce(n_repeat_words, 0) as rep,
@@ -144,7 +146,7 @@ judged as (
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
   cast(n_symbols as bigint) as n_symbols, cast(dup as bigint) as n_dup_lines, cast(rep as bigint) as n_repeat_words,
   base_failed, not base_failed and coalesce(cd <= {p.max_class_distance}, true)
-    and coalesce(wd <= {p.max_word_distance}, true) as kept,
+    and coalesce(wd <= {p.max_word_distance}, true) and coalesce(not few_common, true) as kept,
   round(cd, 6) as class_distance, round(wd, 6) as word_distance
 from judged"""
 
