@@ -212,7 +212,8 @@ def train(rows: DataFrame, text: Column, lang: Column, pick: Column, p: Training
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
     # The hash's share of its range thins a language out to a few times the sample before texts are shuffled.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
+    # One row a language, stored so that the planner sees how few they are and texts meet them where they are read.
+    sizes = stored(known.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), "language-sizes")
     share = F.col("pick").cast("double") / F.lit(2.0**64) + 0.5
     thinned = known.join(sizes, F.col("lang") == F.col("l")).where(share * F.col("n") < THINNED * p.per_language)
     rank = Window.partitionBy("lang").orderBy("pick", "text")
