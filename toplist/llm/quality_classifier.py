@@ -119,23 +119,31 @@ def likelihood_ratios(labelled: DataFrame) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def _features(ratios: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> tuple[float, float, float]:
+    x = ratios[words]
+    low = np.sort(x)[:LOWEST] if len(x) > LOWEST else x
+    return float(x.mean()), float(ratios[shapes].mean()), float(low.sum()) / LOWEST
+
+
 def _scorer(ratios: np.ndarray):
+    """Features of each text by the ratios without its own fold, by all ratios, and whether it has no words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, fold in zip(batch.column("_text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-                own = ratios[FOLDS if fold is None else fold]
                 words, shapes = buckets(text)
                 if not len(words):
-                    rows.append((0.0, 0.0, 0.0))
+                    rows.append(((0.0,) * 3, (0.0,) * 3, True))
                     continue
-                x = own[words]
-                low = np.sort(x)[:LOWEST] if len(x) > LOWEST else x
-                rows.append((float(x.mean()), float(own[shapes].mean()), float(low.sum()) / LOWEST))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                every = _features(ratios[FOLDS], words, shapes)
+                own = every if fold is None else _features(ratios[fold], words, shapes)
+                rows.append((own, every, False))
+            own, every, blank = list(zip(*rows, strict=True)) or [(), (), ()]
+            numbers = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), *[pa.array(c, type=pa.float64()) for c in columns]],
-                names=["_row", *FEATURES[:-1]],
+                [batch.column("_row"), pa.array(own, type=numbers), pa.array(every, type=numbers), pa.array(blank, type=pa.bool_())],
+                names=["_row", "own", "every", "blank"],
             )
 
     return run
@@ -230,15 +238,19 @@ def classify(
         F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
         F.col(text_col).alias("text"),
     )
-    marked = rows.join(marks.withColumnRenamed(id_col, "id"), "id", "left").withColumn(
-        "fold", F.when(F.col("label").isNotNull(), fold)
-    )
-    ratios = likelihood_ratios(marked.where("label is not null"))
-    frame = marked.select(F.struct("id", "host", "path", "label").alias("_row"), F.col("text").alias("_text"), "fold")
+    marks = marks.withColumnRenamed(id_col, "id")
+    # Texts meet labels for the ratios alone; the fold follows from the id, so scoring needs no label.
+    ratios = likelihood_ratios(rows.select("id", "text").join(marks, "id").withColumn("fold", fold))
+    frame = rows.select(F.struct("id", "host", "path").alias("_row"), F.col("text").alias("_text"), fold.alias("fold"))
     row = frame.schema["_row"].dataType.simpleString()
+    features = frame.mapInArrow(_scorer(ratios), f"_row {row}, own array<double>, every array<double>, blank boolean")
+    # A labelled document is judged by the ratios that have not seen it.
+    chosen = F.when(F.col("label").isNotNull(), F.col("own")).otherwise(F.col("every"))
     scored = stored(
-        frame.mapInArrow(_scorer(ratios), f"_row {row}, mean_words double, mean_shapes double, lowest double")
-        .select("_row.*", *FEATURES[:-1], F.lit(1.0).alias("one")),
+        stored(features.select("_row.*", "own", "every", "blank"), "quality-features").join(marks, "id", "left").select(
+            "id", "host", "path", "label", "blank", *[chosen[i].alias(c) for i, c in enumerate(FEATURES[:-1])],
+            F.lit(1.0).alias("one"),
+        ),
         "quality-scored",
     )
     labelled = scored.where("label is not null")
@@ -268,7 +280,7 @@ def classify(
     )
     odds = F.col("evidence") + _log_odds(F.col("path_posterior")) - _log_odds(F.col("prior"))
     return (
-        joined.withColumn("evidence", F.when(F.col("mean_shapes") == 0, _log_odds(F.col("prior"))).otherwise(fit))
+        joined.withColumn("evidence", F.when(F.col("blank"), _log_odds(F.col("prior"))).otherwise(fit))
         .withColumn("probability", 1 / (1 + F.exp(-odds)))
         .select(
             F.col("id").alias(id_col), "evidence", "host_posterior", "path_posterior", "probability",

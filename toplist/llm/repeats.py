@@ -38,7 +38,7 @@ from toplist.llm.common import stored
 
 # Bytes of the first digit and anchors of one gram grouped inside a task.
 GRAM = 64
-GROUP_ROWS = 100_000
+GROUP_ROWS = 8_192
 # Rows of a batch of edge anchors (about 340 bytes each).
 BATCH_ROWS = 8_192
 
