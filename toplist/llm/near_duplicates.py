@@ -1,10 +1,9 @@
 """Near-duplicate documents by bottom-k sketches of word-shingle sets.
 
 1. One hash function; the ``sketch_size`` smallest shingle hashes of a document
-   are its bottom-k sketch, taken in one pass over the texts.  The sketch of a
-   set of no more shingles is the set itself, so that all bounds on it are
-   exact.  Documents with equal sets become one node, so copies cost nothing
-   further.
+   are its bottom-k sketch.  The sketch of a set of no more shingles is the set
+   itself, so that all bounds on it are exact.  Documents with equal sets become
+   one node, so copies cost nothing further.
 2. Inverted lists of retained values generate the overlaps.  Two sets at the
    threshold must share at least ``o`` retained values, so only the rarest
    ``size - o + l`` values of a document are listed: a pair that shares ``o``
@@ -66,23 +65,27 @@ class _Job:
         self.docs = docs.select(
             F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text")
         )
-        id_type = docs.schema[id_col].dataType.simpleString()
-        # Every document's id, set and sketch, from one pass over the texts.
-        self.rows = stored(
-            self.docs.mapInArrow(
-                set_mapper(words, whole_size, sketch_size, ["_id", "_key"]),
-                f"_id {id_type}, _key long, set_hash binary, n_shingles long, shingles array<long>",
-            ),
-            "minhash-rows",
-        )
+        self.id_type = docs.schema[id_col].dataType.simpleString()
+        # The sketches of equal sets are dropped before anything is written.
         self.nodes = stored(
-            self.rows.drop("_id")
+            self.docs.select("_key", "_text")
+            .mapInArrow(
+                set_mapper(words, whole_size, sketch_size, ["_key"]),
+                "_key long, set_hash binary, n_shingles long, shingles array<long>",
+            )
             .where("n_shingles > 0")
             .dropDuplicates(["set_hash"])
             .withColumn("node", F.monotonically_increasing_id()),
             "minhash-nodes",
         )
 
+    def rows(self) -> DataFrame:
+        """``_id, set_hash, n_shingles`` of every document: a second pass, which needs less room than kept sketches."""
+        return self.docs.select("_id", "_text").mapInArrow(
+            set_mapper(self.words, 0, 0, ["_id"]),
+            f"_id {self.id_type}, set_hash binary, n_shingles long, shingles array<long>",
+        ).drop("shingles")
+
     def lists(self) -> DataFrame:
         """``value, node, n, sketched, rank, alone``: the listed (rarest) values of every node.
 
@@ -242,7 +245,7 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    sketch_size: int = 192,
+    sketch_size: int = 256,
     whole_size: int | None = None,
 ) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles``, ``component_id`` and ``kept``.
@@ -266,7 +269,7 @@ def near_duplicates(
     labels = components(links)
 
     placed = stored(
-        job.rows.select("_id", "set_hash", "n_shingles")
+        job.rows()
         .join(job.nodes.select("set_hash", "node"), "set_hash", "left")
         .join(labels, "node", "left")
         .select("_id", "n_shingles", F.coalesce("label", "node").alias("label")),
