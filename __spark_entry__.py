@@ -16,6 +16,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toplist.functions.normalize import fold_ascii_column
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits
 from toplist.operators.audit import audit_index
 from toplist.operators.calendar import calendar_batch, ones_calendar
@@ -87,9 +88,11 @@ def _field_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_words(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Distinct words of a table's texts, lower-cased, with letters a to z only."""
-    words = read_table(spark, sf_dir, table).select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word"))
-    return words.where("word <> ''").distinct()
+    """Distinct words of a table's texts, lower-cased and folded to ASCII; ASCII characters that are no letters part them."""
+    words = read_table(spark, sf_dir, table).select(
+        F.explode(F.split(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+")).alias("word")
+    )
+    return words.distinct().select(fold_ascii_column(F.col("word")).alias("word")).where("word <> ''").distinct()
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,10 +584,12 @@ from (
         "search_batch_fields": _with(_FIELD_SEARCH_SQL),
         "fuzzy_join_words": """
 select q.word as query, n.word as name
-from (select distinct word from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) word
-      from benchmark) where word <> '') q
-join (select distinct word from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) word
-      from documents) where word <> '') n
+from (select distinct word from (select regexp_replace(strip_accents(w), '[^\\x00-\\x7f]', '', 'g') as word
+        from (select distinct unnest(regexp_split_to_array(lower(text), '[\\x00-\\x60\\x7b-\\x7f]+')) as w from benchmark))
+      where word <> '') q
+join (select distinct word from (select regexp_replace(strip_accents(w), '[^\\x00-\\x7f]', '', 'g') as word
+        from (select distinct unnest(regexp_split_to_array(lower(text), '[\\x00-\\x60\\x7b-\\x7f]+')) as w from documents))
+      where word <> '') n
   on abs(length(q.word) - length(n.word)) <= 2 and damerau_levenshtein(q.word, n.word) <= 2""",
         "signature_name_join": _with(_TYPO_JOIN_SQL),
         "signature_refresh": _with(_TYPO_JOIN_SQL),

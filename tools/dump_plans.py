@@ -13,9 +13,14 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from toplist.operators.anniversary import anniversary_batch, anniversary_hits  # noqa: E402
 from toplist.operators.calendar import calendar_batch, ones_calendar  # noqa: E402
+from toplist.operators.covering import covering_dates  # noqa: E402
+from toplist.operators.file_signatures import build_file_signatures, files_to_read  # noqa: E402
 from toplist.operators.fuzzy_join import fuzzy_name_join, search_batch  # noqa: E402
+from toplist.operators.history import chart_history  # noqa: E402
 from toplist.operators.index import build_index, index_entries, read_index  # noqa: E402
 from toplist.operators.lookup import best_rank_in_year, search_hits, show_chart  # noqa: E402
+from toplist.operators.peaks import build_peaks, peaks_in_year  # noqa: E402
+from toplist.operators.signatures import build_signatures, signature_name_join  # noqa: E402
 from toplist.plans.inspect import plan_text  # noqa: E402
 from toplist.session import local_session, scratch_dir  # noqa: E402
 from toplist.sources.feed import chart_feed  # noqa: E402
@@ -50,6 +55,11 @@ def main() -> None:
     )
     names = index.select(F.col("song_norm").alias("name"))
     entries = chart_feed(spark, sf)
+    stored = build_signatures(index, scratch_dir(spark, "plans-signatures"))
+    asked = index.select("provider", "chart", F.date_add("date", 3).alias("ref_date"))
+    peaks, masks = scratch_dir(spark, "plans-peaks"), scratch_dir(spark, "plans-files")
+    build_peaks(index, peaks)
+    build_file_signatures(spark, path, masks)
     shown = {
         "index build (before the write)": index_entries(
             entries.repartitionByRange("provider", F.year("date"), "chart", "date", "this_week", "artist", "song")
@@ -64,6 +74,12 @@ def main() -> None:
         "calendar_batch(index, [2023, 2024])": calendar_batch(index, [2023, 2024]),
         "fuzzy_name_join(typos, song names)": fuzzy_name_join(names.select(F.concat("name", F.lit("x")).alias("query")), names),
         "search_batch(index, brand typos)": search_batch(index, brand_typos),
+        "signature_name_join(stored signatures, brand typos): the names are not exchanged": signature_name_join(
+            stored, brand_typos, "artist"
+        ),
+        "covering_dates(index, dates), after the blocks are written": covering_dates(index, asked),
+        "chart_history(index)": chart_history(index),
+        "peaks_in_year(state, 1998, 10)": peaks_in_year(spark, peaks, 1998, 10),
     }
     out = [
         "# Physical plans",
@@ -75,6 +91,10 @@ def main() -> None:
     ]
     for title, df in shown.items():
         out += [f"## {title}", "", "```", _tree(df), "```", ""]
+    out += ["## Index files that search_skipping reads", ""]
+    for artist, song in (("Brand#13", None), ("Brand#13 feat. NATION_5", "red plate"), (None, "Quixotic Jazz")):
+        files, every = files_to_read(spark, path, masks, artist, song)
+        out.append(f"* artist {artist!r}, song {song!r}: {len(files)} of {every}")
     with open("PLANS.md", "w", encoding="utf-8") as f:
         f.write("\n".join(out))
 
