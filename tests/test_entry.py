@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation supplier part orders lineitem documents benchmark pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark pages labels conversations".split()
 
 
 def test_entry_runs(spark):
