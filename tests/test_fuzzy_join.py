@@ -76,3 +76,25 @@ def test_search_batch_with_all_fields_equals_one_search_per_query(spark, six):
         hits = search_hits(six, artist, song, day and day.isoformat(), year, provider=provider, chart=chart)
         want |= {(q, *tuple(r)) for r in hits.collect()}
     assert got == sorted(want) and len(got) >= 4
+
+
+def test_search_batch_meets_an_artists_rows_with_the_songs_asked_for_only(spark):
+    from datetime import date
+
+    from toplist.operators.fuzzy_join import search_batch
+    from toplist.operators.index import index_entries
+    from toplist.plans.inspect import plan_text
+    from toplist.schema import ENTRY_SCHEMA
+
+    song = lambda i: chr(97 + i % 26) * 6 + str(i // 26) * 6
+    rows = [("p", "c", "weekly", date(1990, 1, 7), i, "Same Artist", song(i)) for i in range(40)]
+    idx = index_entries(spark.createDataFrame(rows, ENTRY_SCHEMA)).cache()
+    queries = [(f"q{i}", "Same Artst", song(i) + "x", "p" if i % 2 else None) for i in range(40)]
+    found = search_batch(idx, spark.createDataFrame(queries, "query string, artist string, song string, provider string"))
+    got = sorted((r["query"], r["song"]) for r in found.collect())
+    # Without the songs in the join each query would meet all 40 rows first.
+    assert got == sorted((f"q{i}", song(i)) for i in range(40))
+    plan = plan_text(found)
+    assert "LeftSemi" not in plan and any(
+        "artist_norm" in line and "song_norm" in line for line in plan.splitlines() if line.startswith("Left keys [2]")
+    )

@@ -181,9 +181,9 @@ def search_batch(
     without a name column is read as one misspelt ``by`` name per row, the key
     itself.  Each raw name is normalised like the index names and matched to the
     *distinct* normalised names of the index by :func:`fuzzy_name_join`; the
-    matches meet the index rows in equi-joins on the normalised names (AQE
-    splits a hot name), and provider, chart, date and year are residual
-    conditions.  Queries that repeat count once; a query with neither artist nor
+    matches meet the index rows in equi-joins on the normalised names, on both
+    at once for queries with both (AQE splits a hot name), and provider, chart,
+    date and year are residual conditions.  Queries that repeat count once; a query with neither artist nor
     song, like one with a null key, matches nothing.  ``name_join(queries,
     field)`` finds the ``(query, name)`` pairs another way, for instance in a
     stored signature index.
@@ -204,38 +204,26 @@ def search_batch(
         ],
     ).distinct()
 
-    def matches(name: str) -> DataFrame:
-        """The queries with this name, once per index name they match."""
-        named = q.where(F.col("q_" + name).isNotNull()).withColumn("_norm", normalize_column("q_" + name))
-        asked = named.select(F.col("_norm").alias("query"))
+    def pairs(name: str) -> DataFrame:
+        """Names asked for in this field, normalised, and the index names they match."""
+        asked = q.where(F.col("q_" + name).isNotNull()).select(normalize_column("q_" + name).alias("query"))
         if name_join is not None:
-            pairs = name_join(asked, name)
+            found = name_join(asked, name)
         else:
-            pairs = fuzzy_name_join(asked, index.select(F.col(name + "_norm").alias("name")))
-        pairs = pairs.select(F.col("query").alias("_norm"), F.col("name").alias(name + "_norm"))
-        return named.join(pairs, "_norm").drop("_norm")
+            found = fuzzy_name_join(asked, index.select(F.col(name + "_norm").alias("name")))
+        return found.select(F.col("query").alias("_" + name), F.col("name").alias(name + "_norm"))
 
     filters = [F.col("q_" + c).isNull() | (F.col("q_" + c) == F.col(c)) for c in ("provider", "chart", "date", "year")]
     every = reduce(lambda x, y: x & y, filters)
-    columns = ["query", *SEARCH_ROW_COLUMNS]
+    names = [c for c in ("artist", "song") if c in given]
+    matched = {c: pairs(c) for c in names}
     found = []
-    if "artist" in given:
-        rows = index.join(matches("artist"), "artist_norm").where(every)
-        if "song" in given:
-            songs = matches("song").where(F.col("q_artist").isNotNull()).select(
-                F.col("query").alias("s_query"), F.col("q_song").alias("s_song"), F.col("song_norm").alias("s_norm")
-            ).distinct()
-            both = rows.where(F.col("q_song").isNotNull()).join(
-                songs,
-                (F.col("query") == F.col("s_query"))
-                & (F.col("q_song") == F.col("s_song"))
-                & (F.col("song_norm") == F.col("s_norm")),
-                "left_semi",
-            )
-            found.append(both.select(*columns))
-            rows = rows.where(F.col("q_song").isNull())
-        found.append(rows.select(*columns))
-    if "song" in given:
-        alone = matches("song").where(F.col("q_artist").isNull())
-        found.append(index.join(alone, "song_norm").where(every).select(*columns))
+    for wanted in [names, *([c] for c in names if len(names) > 1)]:
+        # Queries with just these names, once per combination of index names they match.  Names are
+        # combined before the index rows come in: an artist's rows are only met with the songs asked for.
+        asked = q.where(reduce(lambda x, y: x & y, [F.col("q_" + c).isNotNull() if c in wanted else F.col("q_" + c).isNull() for c in names]))
+        for c in wanted:
+            asked = asked.withColumn("_" + c, normalize_column("q_" + c)).join(matched[c], "_" + c)
+        rows = index.join(asked, [c + "_norm" for c in wanted]).where(every)
+        found.append(rows.select("query", *SEARCH_ROW_COLUMNS))
     return reduce(DataFrame.unionByName, found)
