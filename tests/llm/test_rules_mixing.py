@@ -93,6 +93,16 @@ def test_texts_without_common_words_are_rejected(spark):
         assert not found[i]["kept"]
 
 
+def test_common_words_may_be_long(spark):
+    rng = random.Random(5)
+    usual = ["gewoonlijk" + c for c in "abcdefghijklmnopqrst"]
+    good = [(i, " ".join(rng.choices(usual, k=100)), "nl", "s") for i in range(30)]
+    other = (99, " ".join("".join(rng.choices("abcdefghijklm", k=11)) for _ in range(100)), "nl", "s")
+    found = {r["doc_id"]: r for r in quality_rules(frame(spark, [*good, other])).collect()}
+    assert all(found[i]["kept"] and found[i]["word_distance"] < 0.3 for i in range(30))
+    assert found[99]["word_distance"] > 0.4 and not found[99]["kept"] and not found[99]["base_failed"]
+
+
 def test_quality_of_empty_table_and_filter(spark):
     assert quality_rules(frame(spark, [])).collect() == []
     rng = random.Random(3)

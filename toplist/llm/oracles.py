@@ -113,7 +113,7 @@ class_sums as (
     sum(n_chars - word_chars) as g, sum(n_symbols) as s, sum(n_words) as total from base group by lang),
 used as (
   select lang, word, count(*) as uses from (select lang, unnest(ws) as word from t)
-  where strlen(word) <= {p.max_common_bytes} group by lang, word),
+  where strlen(word) <= 6 group by lang, word),
 top as (
   select lang, list(word order by r) as words, list(uses order by r) as uses from (
     select *, row_number() over (partition by lang order by uses desc, word) as r from used)
