@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
+from toplist.llm import shingles as shingle_module
 from toplist.llm.components import components
-from toplist.llm.near_duplicates import near_duplicates, shared_at_least
+from toplist.llm.near_duplicates import _Job, near_duplicates, shared_at_least
 
 SCHEMA = "doc_id long, text string, node string, _id string"
 
@@ -130,3 +132,26 @@ def test_one_family_of_heavy_edits(spark):
     for whole in (256, 96):
         found = near_duplicates(df, words=4, whole_size=whole).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected(rows, 4, 80)
+
+
+def passage_rows(own):
+    """Twelve texts of one passage of 400 words and ``own`` words of their own."""
+    passage = [f"p{i}" for i in range(400)]
+    return [(i, " ".join([*passage, *(f"o{i}.{j}" for j in range(own))]), "x", "y") for i in range(12)]
+
+
+@pytest.mark.parametrize(("own", "met"), [(60, True), (150, False)])
+def test_pairs_that_share_a_passage_come_out_once(spark, own, met):
+    # 60 own words: close to the threshold, so tried.  150: over what sets of one size may differ in, so not.
+    job = _Job(spark.createDataFrame(passage_rows(own), SCHEMA), "doc_id", "text", 4, 80, 256, 256)
+    nobody = spark.createDataFrame([], "node long, label long")
+    found = [(r["a"], r["b"]) for r in job.meetings(job.lists(), nobody).collect()]
+    assert len(found) == len(set(found)) == (66 if met else 0)
+
+
+def test_sets_are_made_of_few_texts_at_a_time():
+    texts = pa.array([f"a b{i} c d e".encode() for i in range(2500)], type=pa.binary())
+    batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
+    made = list(shingle_module.set_mapper(4, 256, 256, [])(iter([batch])))
+    assert sum(b.num_rows for b in made) == 2500 and max(b.num_rows for b in made) <= 1000
+    assert len(shingle_module._hashes) <= shingle_module.REMEMBERED_WORDS <= 100_000

@@ -19,8 +19,9 @@
    first each node is tried against the most central node of a list (the one
    with the fewest values of its own), then only pairs of a list that still lie
    in different components (members outside the list's largest component
-   against the others) and whose ranks in the list allow ``o`` shared values.
-   Every pair that could join two components is tried; none is capped or
+   against the others) and whose ranks in the list allow as many shared values
+   as linked sets of their sizes have.  Each such pair comes out of one list
+   only.  Every pair that could join two components is tried; none is capped or
    sampled.
 """
 
@@ -47,12 +48,12 @@ SKETCH_MARK = 0x5851F42D4C957F2D
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_at_least(sketch_size: int, percent: int) -> int:
-    """Largest ``o`` with P(Binomial(sketch_size, percent %) < o) <= MISS."""
+def shared_at_least(sketch_size: int, percent: int, miss: float = MISS) -> int:
+    """Largest ``o`` with P(Binomial(sketch_size, percent %) < o) <= miss."""
     p, below, o = percent / 100, 0.0, 0
     while True:
         below += comb(sketch_size, o) * p**o * (1 - p) ** (sketch_size - o)
-        if below > MISS:
+        if below > miss:
             return o
         o += 1
 
@@ -134,6 +135,19 @@ class _Job:
         """Shingles that a set of ``n`` shares at least with any set it is linked to."""
         return self._share(n * self.percent, 100)
 
+    def _sketches_share(self, nx: Column, ny: Column) -> Column:
+        """Retained values that the sketches of two linked sets of these sizes share, but for a chance of ``MISS``.
+
+        The shingles they share are at least this percentage of the larger set,
+        and the sketches share those among the first ``k`` of either set,
+        whichever ends first: hence half the chance for each.
+        """
+        most = 200 * self.percent // (100 + self.percent)
+        asked = [shared_at_least(self.sketch_size, p, MISS / 2) for p in range(self.percent, most + 1)]
+        part = F.floor(100 * self.percent * (nx + ny) / ((100 + self.percent) * F.greatest(nx, ny)))
+        at = F.least(F.greatest(part, F.lit(self.percent)), F.lit(most)) - self.percent + 1
+        return F.element_at(F.array(*[F.lit(o) for o in asked]), at.cast("int"))
+
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch allows the threshold; ``sure`` where both sets were held whole."""
         held = self.nodes.select("node", "n_shingles", "shingles")
@@ -195,8 +209,14 @@ class _Job:
         pairs = best.select(F.least("node", "best.first").alias("a"), F.greatest("node", "best.first").alias("b"))
         return pairs.distinct()
 
-    def crossing_pairs(self, lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Untried pairs of a list that lie in different components and whose sizes and ranks allow a link."""
+    def meetings(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` of a list that lie in different components and whose sizes and ranks allow a link.
+
+        A pair that shares a passage shares many lists; it comes out once, at
+        the last of the listed values it has to share: each member knows which
+        values of its own are ahead, and all that allows a pair at one of its
+        lists allows it at those ahead.
+        """
         members = stored(
             lists.drop("alone").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")),
             "minhash-members",
@@ -209,34 +229,44 @@ class _Job:
             .where("labels > 1")
             .select("value", "largest")
         )
-        mixed = stored(members.join(largest, "value"), "minhash-mixed")
+        ahead = Window.partitionBy("node", "sketched").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        mixed = stored(
+            members.join(largest, "value").withColumn("ahead", F.collect_list("value").over(ahead)), "minhash-mixed"
+        )
         x = mixed.where("label <> largest").select(
             "value", "sketched", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"),
-            F.col("rank").alias("rx"),
+            F.col("rank").alias("rx"), F.col("ahead").alias("ax"),
         )
         y = mixed.select(
             "value", "largest", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"),
-            F.col("rank").alias("ry"),
+            F.col("rank").alias("ry"), F.col("ahead").alias("ay"),
         )
         # Whole sets of these sizes share this many shingles at the threshold, the first in both lists included.
         asked = self._share((F.col("nx") + F.col("ny")) * self.percent, 100 + self.percent)
         # They share SHARED listed values, so each of the first of them has as many others behind it, less those before.
         slack = F.lit(SHARED)
         whole = (F.col("rx") + asked <= F.col("nx") + slack) & (F.col("ry") + asked <= F.col("ny") + slack)
-        met = (
-            (F.col("lx") != F.col("ly"))
-            & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y")))
-            & (100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
-            & F.when(F.col("sketched"), F.greatest("nx", "ny") > self.whole_size).otherwise(whole)
+        held = lambda n: F.least(n, F.lit(self.sketch_size)) + slack
+        retained = self._sketches_share(F.col("nx"), F.col("ny"))
+        sketches = (
+            (F.greatest("nx", "ny") > self.whole_size)
+            & (F.col("rx") + retained <= held(F.col("nx"))) & (F.col("ry") + retained <= held(F.col("ny")))
         )
         shared = F.when(F.col("sketched"), F.lit(SHARED)).otherwise(
             F.least(self._needed(F.least("nx", "ny")), F.lit(SHARED))
         )
-        meetings = x.join(y, "value").where(met).select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.cast("int").alias("shared")
+        met = (
+            (F.col("lx") != F.col("ly"))
+            & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y")))
+            & (100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
+            & F.when(F.col("sketched"), sketches).otherwise(whole)
+            & (F.size(F.array_intersect("ax", "ay")) + 1 == shared)
         )
-        pairs = meetings.groupBy("a", "b", "shared").count().where(F.col("count") >= F.col("shared"))
-        return pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        return x.join(y, "value").where(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def crossing_pairs(self, lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+        """The untried ones of the pairs that meet."""
+        return self.meetings(lists, labels).join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(

@@ -11,7 +11,9 @@ import xxhash
 from toplist.llm.anchors import mix
 
 # Distinct words remembered per worker before the table starts afresh (speed only).
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 100_000
+# Texts whose sets are held at a time (memory only).
+TEXTS_AT_ONCE = 1_000
 # Fixed value: odd 64-bit multiplier of the positions inside a shingle.
 STEP = 0xD6E8FEB86659FD93
 
@@ -66,17 +68,19 @@ def set_mapper(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column("_text")]
-            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in carried],
-                    pa.array(names, type=pa.binary()),
-                    pa.array([len(s) for s in sets], type=pa.int64()),
-                    _lists([s if whole is None or len(s) <= whole else s[:keep] for s in sets]),
-                ],
-                names=[*carried, "set_hash", "n_shingles", "shingles"],
-            )
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, TEXTS_AT_ONCE):
+                batch = whole_batch.slice(start, TEXTS_AT_ONCE)
+                sets = [shingle_set(t.as_py(), size) for t in batch.column("_text")]
+                names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c) for c in carried],
+                        pa.array(names, type=pa.binary()),
+                        pa.array([len(s) for s in sets], type=pa.int64()),
+                        _lists([s if whole is None or len(s) <= whole else s[:keep] for s in sets]),
+                    ],
+                    names=[*carried, "set_hash", "n_shingles", "shingles"],
+                )
 
     return run
