@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from toplist.llm import quality_classifier
 from toplist.llm.language_id import UNDETERMINED, Model, best_temperature, gram_counts, identify, train
 from toplist.llm.queries import QUERIES
 from toplist.llm.quality_classifier import classify, shape
+from toplist.plans.inspect import plan_text
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,3 +147,15 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = spark.createDataFrame([], stage(spark, now, SF).schema) if stage is not corpus_pipeline.packing else stage(spark, now, SF)
     assert now.count() == 0
+
+
+def test_classifier_moves_no_text_to_the_labels(spark, monkeypatch):
+    plans = []
+    real = quality_classifier.likelihood_ratios
+    monkeypatch.setattr(quality_classifier, "likelihood_ratios", lambda df: plans.append(plan_text(df)) or real(df))
+    rows = [(i, f"good words {i}" if i % 2 else f"bad words {i}", "l", "s", 0) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, label int")
+    assert classify(spark.createDataFrame(rows, DOCS), labels).count() == 40
+    # The plan is one for any number of labels.
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    assert "words" in plans[0] and "text" not in plans[0]

@@ -77,13 +77,24 @@ def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(both[:, 0]), np.unique(both[:, 1])
 
 
+def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text's buckets (32-bit numbers, ascending) in place of the text."""
+    for batch in batches:
+        found = [buckets(t) for t in batch.column("_text").to_pylist()]
+        sides = [pa.array([x[i].astype("<i4").tobytes() for x in found], type=pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_row"), batch.column("fold"), *sides], names=["_row", "fold", "words", "shapes"]
+        )
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents by bucket, class and fold; bucket -1 counts the documents themselves."""
     total = np.zeros((2, FOLDS, BUCKETS + 1), dtype=np.int64)
     for batch in batches:
-        for text, label, fold in zip(*[batch.column(c).to_pylist() for c in ("text", "label", "fold")], strict=True):
-            for found in buckets(text):
-                total[label, fold, found] += 1
+        columns = [batch.column(c).to_pylist() for c in ("words", "shapes", "label", "fold")]
+        for words, shapes, label, fold in zip(*columns, strict=True):
+            for found in (words, shapes):
+                total[label, fold, np.frombuffer(found, dtype="<i4")] += 1
             total[label, fold, -1] += 1
     label, fold, bucket = np.nonzero(total)
     yield pa.RecordBatch.from_arrays(
@@ -100,10 +111,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def likelihood_ratios(labelled: DataFrame) -> np.ndarray:
     """Log-likelihood ratio (good over bad) of every bucket, for each fold left out and, last, for none.
 
-    ``labelled`` has ``text``, ``label`` (0 or 1) and ``fold``.
+    ``labelled`` has ``words`` and ``shapes`` (buckets), ``label`` (0 or 1) and ``fold``.
     """
     counts = np.zeros((2, FOLDS, BUCKETS + 1))
-    grouped = labelled.select("text", "label", "fold").mapInArrow(
+    grouped = labelled.select("words", "shapes", "label", "fold").mapInArrow(
         _count_batches, "bucket int, label int, fold int, n long"
     ).groupBy("bucket", "label", "fold")
     for r in grouped.agg(F.sum("n").alias("n")).collect():  # bounded by the buckets
@@ -131,8 +142,8 @@ def _scorer(ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, fold in zip(batch.column("_text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-                words, shapes = buckets(text)
+            for *found, fold in zip(*[batch.column(c).to_pylist() for c in ("words", "shapes", "fold")], strict=True):
+                words, shapes = (np.frombuffer(x, dtype="<i4") for x in found)
                 if not len(words):
                     rows.append(((0.0,) * 3, (0.0,) * 3, True))
                     continue
@@ -238,12 +249,18 @@ def classify(
         F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
         F.col(text_col).alias("text"),
     )
-    marks = marks.withColumnRenamed(id_col, "id")
-    # Texts meet labels for the ratios alone; the fold follows from the id, so scoring needs no label.
-    ratios = likelihood_ratios(rows.select("id", "text").join(marks, "id").withColumn("fold", fold))
+    # Labels grow with the documents, so they are not broadcast while they happen to be few.
+    marks = marks.withColumnRenamed(id_col, "id").hint("merge")
     frame = rows.select(F.struct("id", "host", "path").alias("_row"), F.col("text").alias("_text"), fold.alias("fold"))
     row = frame.schema["_row"].dataType.simpleString()
-    features = frame.mapInArrow(_scorer(ratios), f"_row {row}, own array<double>, every array<double>, blank boolean")
+    # Texts are split once and go no further: their buckets are a fraction of them.
+    found = stored(
+        frame.mapInArrow(_bucket_batches, f"_row {row}, fold int, words binary, shapes binary"), "quality-buckets"
+    )
+    # Buckets meet labels for the ratios alone; the fold follows from the id, so scoring needs no label.
+    by_id = found.select(F.col("_row.id").alias("id"), "fold", "words", "shapes")
+    ratios = likelihood_ratios(by_id.join(marks, "id"))
+    features = found.mapInArrow(_scorer(ratios), f"_row {row}, own array<double>, every array<double>, blank boolean")
     # A labelled document is judged by the ratios that have not seen it.
     chosen = F.when(F.col("label").isNotNull(), F.col("own")).otherwise(F.col("every"))
     scored = stored(
