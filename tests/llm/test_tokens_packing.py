@@ -168,3 +168,58 @@ def test_files_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     write_tokens(empty, path, public_tokenizers.path(FILES[1]))
     assert read_tokens(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_chunks_of_letters_and_lines_equal_the_library(file):
+    texts = [
+        "Word word, word.\nNext WORD!!\nÉtre word's don't\n\nword word.\n", "<|endoftext|>", "a<|endoftext|>b word<|endoftext|>",
+        "İx xİ. ıx ÀÖØ×÷ word×word word. ́x", "x.'s x'\ns x\n's 's\nx", "word " * 3 + "\n", "ab.cd ab.\ncd ab,\ncd ef\nab ef\ncd",
+    ]
+    want = [LIBRARY[file].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ChunkTokenizer(public_tokenizers.path(file)).encode(texts)] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abSé.,'\n <|İ7́", max_size=30), max_size=4))
+def test_chunks_of_letters_and_marks_equal_the_library(texts):
+    for file in FILES:
+        want = [LIBRARY[file].encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in CHUNKS[file].encode(texts)] == want
+
+
+class Asked:
+    """The library, noting what it is asked for."""
+
+    def __init__(self, library):
+        self.library, self.words = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += " ".join(texts).split()
+        return self.library.encode_batch_fast(texts, **options)
+
+    def encode_batch(self, texts, **options):
+        self.words += " ".join(texts).split()
+        return self.library.encode_batch(texts, **options)
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_a_word_is_asked_for_once_whatever_follows_it(file):
+    chunks = ChunkTokenizer(public_tokenizers.path(file))
+    chunks.library = Asked(chunks.library)
+    chunks.encode(["The word, a word.\nNew line", "A word\nAgain word!\nMore of a word.\nOld"])
+    assert chunks.library.words.count("word") == 1
+    assert not [w for w in chunks.library.words if w.startswith("word") and w != "word"]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_words_met_again_outlast_those_met_once(file):
+    chunks = ChunkTokenizer(public_tokenizers.path(file), remembered=40)
+    for i in range(3):
+        chunks.encode([" ".join(["a often seen", *(f"x{'abcdefghij'[j]}{'klmnop'[i]}" for j in range(9))])])
+    chunks.library = Asked(chunks.library)
+    text = "the often seen " + " ".join(f"y{x}" for x in "abcdefghijklmnopqrstuvwxyz")
+    for t in (text, text.upper(), "an often seen"):
+        want = chunks.library.library.encode(t, add_special_tokens=False).ids
+        assert chunks.encode([t])[0].tolist() == want
+    assert not {"often", "seen"} & set(chunks.library.words)

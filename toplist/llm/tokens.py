@@ -3,12 +3,14 @@
 A tokenizer that splits its input at white space before merging gives a text
 the concatenation of its chunks' ids, where a chunk is a run of white space and
 the run of other characters after it; such a tokenizer also ends a piece where
-marks follow an ASCII letter (others may be normalized to a letter and a mark
+a run of letters ends, so a chunk of letters and what follows them is two parts
+(letters of a few alphabets only: others may be normalized to a letter and a mark
 of its own, which joins those after it).  Corpora repeat their chunks, so each worker asks the
 library for a chunk once and looks it up afterwards.  Most texts have single
 spaces between their words and perhaps line breaks inside a run of others: these
-are cut at the spaces, which is quickest, and new pieces are asked for many at a
-time.  Texts with white space other than the ASCII one, where a run could reach
+are cut at the spaces and the distinct pieces of many texts found by Arrow, so
+that only distinct ones are looked up; new ones are asked for many at a time.
+Texts with white space other than the ASCII one, where a run could reach
 over a cut, are encoded whole.
 """
 
@@ -18,24 +20,32 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Chunks remembered per worker before the table starts afresh (speed and memory only).
+# Chunks remembered per worker; beyond it those met once are forgotten, or all where that leaves too many (speed and memory only).
 REMEMBERED_CHUNKS = 1_000_000
-# ASCII white space, and white space or separators outside it.
+# ASCII white space, and white space or separators outside it (Arrow's notation).
 _CHUNK = re.compile("[ \\t\\n\\x0b\\x0c\\r]*[^ \\t\\n\\x0b\\x0c\\r]+|[ \\t\\n\\x0b\\x0c\\r]+")
-_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+_OTHER_SPACE = (
+    r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+)
 # Pieces asked of the library as one text.
 PIECES_PER_TEXT = 200
 # Fixed value: white space that makes a text one that is not cut at its spaces (a space beside a line break, or any other).
-_UNEVEN = ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")
+_UNEVEN = r"  | \n|\n |[\t\x0b\x0c\r]"
 # Fixed value: ASCII marks that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Letters that lower-casing and NFC leave one letter each, and a run of them with what may follow it:
+# marks, and lines of letters and marks (letters right after a mark could be a contraction or an added token).
+_LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+"
+_MARKS = r"[!-/:-@\[-`{-~]*"
+_PLAIN = rf"\A(?P<stem>{_LETTERS})(?P<rest>{_MARKS}(?:\n{_LETTERS}{_MARKS})*)\z"
 
 
 class ChunkTokenizer:
@@ -50,13 +60,35 @@ class ChunkTokenizer:
         self.remembered = remembered
         # Strings that are one token wherever they stand, marks included.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Ids that only the first token of a spaced run of letters has.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.heads = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.heads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        # Ids that only the last one has.
+        self.tails = np.zeros(len(self.heads), dtype=bool)
+        self.tails[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         # Chunks as they stand, and pieces that follow a space, by what follows it.
         self.place: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
-        self.ids, self.first, self.size = array("i"), array("q"), array("i")
+        self.ids, self.first, self.size, self.met = array("i"), array("q"), array("i"), array("i")
+
+    def _forget_rare(self) -> None:
+        """Keep what was met in two batches or more, unless that is more than half of what may be kept."""
+        keep = np.flatnonzero(np.asarray(self.met) > 1)
+        if 2 * len(keep) > self.remembered:
+            self._forget()
+            return
+        ids, sizes = self._ids_at(keep)
+        place = np.full(len(self.met), -1, dtype=np.int64)
+        place[keep] = np.arange(len(keep))
+        moved = [{c: p for c, p in zip(own, place[list(own.values())].tolist(), strict=True) if p >= 0} if own else {}
+                 for own in (self.place, self.spaced)]
+        self._forget()
+        self._add([], ids, sizes, {})
+        self.place, self.spaced = moved
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,13 +97,15 @@ class ChunkTokenizer:
         into.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks)), strict=True))
         self.first.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
         self.size.frombytes(sizes.astype(np.int32).tobytes())
+        self.met.frombytes(bytes(4 * len(sizes)))
         self.ids.frombytes(ids.astype(np.int32).tobytes())
 
-    def _ask(self, chunks: list[str]) -> None:
-        found = self._whole(chunks)
+    def _ask(self, chunks: list[str], into: dict[str, int], ahead: str = "") -> None:
+        """Ids of ``ahead + chunk`` for every chunk, each a text of its own."""
+        found = self._whole([ahead + c for c in chunks] if ahead else chunks)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
-        self._add(chunks, ids, sizes, self.place)
+        self._add(chunks, ids, sizes, into)
 
     def _ask_spaced(self, pieces: list[str]) -> None:
         """Ids of ``" " + piece`` for every piece: many pieces make one text, whose ids are shared out by their places in it."""
@@ -86,79 +120,128 @@ class ChunkTokenizer:
             ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype=np.int32)
             self._add(some, ids, np.concatenate(sizes), self.spaced)
 
-    def _parts(self, chunk: str) -> tuple[str, str] | None:
-        """A chunk that ends in marks after an ASCII letter, as what is ahead of the marks and the marks."""
-        stem = chunk.rstrip(MARKS)
-        if len(stem) < len(chunk) and stem[-1:].isascii() and stem[-1:].isalpha() and not any(x in chunk for x in self.added):
-            return stem, chunk[len(stem) :]
-        return None
-
-    def _learn(self, new: set[str], spaced: bool) -> None:
-        """Remember new chunks.  One that ends in marks after an ASCII letter is its two parts, known or asked for alone."""
+    def _ask_letters(self, words: list[str]) -> None:
+        """As ``_ask_spaced`` for runs of letters, whose first or last token tells where each ends."""
+        for some in (words[i : i + 50 * PIECES_PER_TEXT] for i in range(0, len(words), 50 * PIECES_PER_TEXT)):
+            found = self._whole([" " + " ".join(some[i : i + PIECES_PER_TEXT]) for i in range(0, len(some), PIECES_PER_TEXT)])
+            ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+            heads, ends = np.flatnonzero(self.heads[ids]), np.flatnonzero(self.tails[ids]) + 1
+            if len(heads) == len(some) and heads[0] == 0:
+                self._add(some, ids, np.diff(np.r_[heads, len(ids)]), self.spaced)
+            elif len(ends) == len(some) and ends[-1] == len(ids):
+                self._add(some, ids, np.diff(np.r_[0, ends]), self.spaced)
+            else:
+                self._ask_spaced(some)
+
+    def _learn(self, new: list[str], spaced: bool) -> None:
+        """Remember new, distinct chunks.  One of letters and more is its two parts, known or asked for alone."""
         own = self.spaced if spaced else self.place
-        parts = {chunk: both for chunk in new if (both := self._parts(chunk))}
-        marks = {both[1] for both in parts.values() if both[1] not in self.place}
-        stems = {both[0] for both in parts.values() if both[0] not in own}
-        ask = [*(c for c in new if c not in parts), *stems.difference(new)]
+        parts = pc.extract_regex(pa.array(new, type=pa.string()), _PLAIN)
+        plain = parts.is_valid()
+        odd = [new[i] for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()]
+        parts = parts.drop_null()
+        stems, rests = _strings(parts.field("stem")), _strings(parts.field("rest"))
+        words = list(set(stems).difference(own))
         if spaced:
+            if words:
+                self._ask_letters(words)
             # Asked for alone: what would join the space of the next piece, and what an added token could reach out of.
-            alone = [p for p in ask if not p or p.endswith("\n") or any(x in p for x in self.added)]
+            alone = [p for p in odd if not p or p.endswith("\n") or any(x in p for x in self.added)]
             if alone:
-                found = self._whole([" " + p for p in alone])
-                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-                self._add(alone, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes, own)
-            if more := [p for p in ask if p not in own]:
+                self._ask(alone, own, " ")
+            if more := [p for p in odd if p not in own]:
                 self._ask_spaced(more)
-            self._ask(list(marks))
         else:
-            self._ask([*ask, *marks.difference(ask)])
-        if parts:
-            at = np.array([[own[a], self.place[b]] for a, b in parts.values()], dtype=np.int64).ravel()
-            ids, sizes = self._ids_at(at)
-            self._add(list(parts), ids, sizes.reshape(-1, 2).sum(axis=1), own)
+            self._ask([*odd, *words], own)
+        if any(rests):
+            self._ask(list(set(rests).difference(self.place, [""])), self.place)
+            stems, rests = list(compress(stems, rests)), list(filter(None, rests))
+            at = np.empty((len(rests), 2), dtype=np.int64)
+            at[:, 0] = np.fromiter(map(own.__getitem__, stems), dtype=np.int64, count=len(stems))
+            at[:, 1] = np.fromiter(map(self.place.__getitem__, rests), dtype=np.int64, count=len(rests))
+            ids, sizes = self._ids_at(at.ravel())
+            self._add(list(map(str.__add__, stems, rests)), ids, sizes.reshape(-1, 2).sum(axis=1), own)
 
     def _places(self, chunks: list[str], spaced: bool) -> np.ndarray:
-        """Where the chunks are remembered; new ones are learnt."""
+        """Where the distinct chunks are remembered; new ones are learnt."""
         own = self.spaced if spaced else self.place
         at = np.fromiter(map(own.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self._learn({chunks[i] for i in missing}, spaced)
-            at[missing] = [own[chunks[i]] for i in missing]
+            new = [chunks[i] for i in missing]
+            self._learn(new, spaced)
+            at[missing] = [own[c] for c in new]
+        np.asarray(self.met)[at] += 1
         return at
 
     def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of remembered chunks one after the other, and how many each has."""
-        ids, first, size = (np.array(x) for x in (self.ids, self.first, self.size))
-        n = size[at].astype(np.int64)
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return ids[np.repeat(first[at] - (ends - n), n) + np.arange(total)], n
+        # Views: gone when this returns, so that the arrays can grow again.
+        n = np.asarray(self.size)[at].astype(np.int64)
+        return _runs(np.asarray(self.ids), np.asarray(self.first)[at], n), n
+
+    def _expanded(self, chunks: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, and how many each has."""
+        found = chunks.dictionary_encode()
+        codes, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
+        at = np.full(2 * len(distinct), -1, dtype=np.int64)
+        codes += np.where(spaced, 0, len(distinct))
+        used = np.zeros(len(at), dtype=bool)
+        used[codes] = True
+        for kind, start in ((True, 0), (False, len(distinct))):
+            here = np.flatnonzero(used[start : start + len(distinct)])
+            if len(here):
+                at[start + here] = self._places(_strings(distinct.take(pa.array(here))), kind)
+        # Only what these texts use is gathered from, which is small.
+        ids, n = self._ids_at(at[used])
+        sizes, first = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        sizes[used], first[used] = n, np.cumsum(n) - n
+        return _runs(ids, first[codes], sizes[codes]), sizes[codes]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text."""
         if len(self.place) + len(self.spaced) >= self.remembered:
-            self._forget()
-        even = [not any(x in t for x in _UNEVEN) for t in texts]
-        whole = [_OTHER_SPACE.search(t) is not None for t in texts]
+            self._forget_rare()
+        column = pa.array(texts, type=pa.string())
+        whole = pc.match_substring_regex(column, _OTHER_SPACE).to_numpy(zero_copy_only=False)
+        uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
         # Even texts: a first piece, and pieces after a space.  Others: chunks with the white space ahead of them.
-        split = [None if w else t.split(" ") if e else _CHUNK.findall(t) for t, e, w in zip(texts, even, whole, strict=True)]
-        counts = np.array([0 if cs is None else len(cs) for cs in split], dtype=np.int64)
-        edges = np.r_[0, np.cumsum(counts)]
-        spaced = np.repeat(np.array(even, dtype=bool), counts)
-        # An even text has a first piece even where it is empty.
-        spaced[edges[:-1][(counts > 0) & np.array(even, dtype=bool)]] = False
-        chunks = list(chain.from_iterable(cs for cs in split if cs is not None))
-        at = np.empty(len(chunks), dtype=np.int64)
-        for kind in (True, False):
-            here = np.flatnonzero(spaced == kind)
-            at[here] = self._places([chunks[i] for i in here.tolist()], kind)
-        ids, sizes = self._ids_at(at)
-        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)[edges]
-        return [
-            np.array(self._whole([text])[0], dtype=np.int32) if cs is None else ids[a:b]
-            for text, cs, a, b in zip(texts, split, ends, ends[1:], strict=False)
-        ]
+        even, others = np.flatnonzero(~whole & ~uneven), np.flatnonzero(~whole & uneven)
+        if len(even):
+            split = pc.split_pattern(column.take(pa.array(even)), " ")
+            edges = split.offsets.to_numpy().astype(np.int64)
+            # An even text has a first piece even where it is empty.
+            spaced = np.ones(edges[-1] - edges[0], dtype=bool)
+            spaced[edges[:-1] - edges[0]] = False
+            self._place(out, even, split.flatten(), spaced, edges - edges[0])
+        if len(others):
+            split = [_CHUNK.findall(texts[i]) for i in others.tolist()]
+            edges = np.r_[0, np.cumsum([len(cs) for cs in split])]
+            chunks = pa.array(list(chain.from_iterable(split)), type=pa.string())
+            self._place(out, others, chunks, np.zeros(len(chunks), dtype=bool), edges)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self._whole([texts[i]])[0], dtype=np.int32)
+        return out
+
+    def _place(self, out: list, rows: np.ndarray, chunks: pa.Array, spaced: np.ndarray, edges: np.ndarray) -> None:
+        """Put the ids of each row's chunks (``edges`` tell where they begin) into ``out``."""
+        ids, sizes = self._expanded(chunks, spaced)
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)[edges].tolist()
+        for row, a, b in zip(rows.tolist(), ends, ends[1:], strict=False):
+            out[row] = ids[a:b]
+
+
+def _strings(column: pa.Array) -> list[str]:
+    # Quicker than to_pylist, which makes a scalar of every value.
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``values[first : first + n]`` of every pair, one after the other."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(first - (ends - n), n) + np.arange(total)]
 
 
 def id_type(path: str, end_id: int) -> str:
