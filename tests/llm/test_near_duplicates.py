@@ -11,6 +11,7 @@ import pytest
 from toplist.llm import shingles as shingle_module
 from toplist.llm.components import components
 from toplist.llm.near_duplicates import _Job, near_duplicates, shared_at_least
+from toplist.plans.inspect import plan_text
 
 SCHEMA = "doc_id long, text string, node string, _id string"
 
@@ -155,3 +156,17 @@ def test_sets_are_made_of_few_texts_at_a_time():
     made = list(shingle_module.set_mapper(4, 256, 256, [])(iter([batch])))
     assert sum(b.num_rows for b in made) == 2500 and max(b.num_rows for b in made) <= 1000
     assert len(shingle_module._hashes) <= shingle_module.REMEMBERED_WORDS <= 100_000
+
+
+def test_only_sets_of_the_pairs_are_shuffled(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    texts += [t.replace("x29", "y") for t in texts[:2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    job = _Job(docs, "doc_id", "text", 4, 80, 256, 256)
+    node = {r["h"]: r["node"] for r in job.nodes.selectExpr("hex(set_hash) h", "node").collect()}
+    name = {r["_id"]: node[r["h"]] for r in job.rows().selectExpr("_id", "hex(set_hash) h").collect()}
+    pairs = [(name[0], name[40]), (name[1], name[41]), (name[2], name[3])]
+    found = job.estimated(spark.createDataFrame(pairs, "a long, b long"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == set(pairs[:2])
+    # The sets meet the nodes asked for before they meet a pair.
+    assert "LeftSemi" in plan_text(found)

@@ -27,12 +27,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toplist.llm.common import salted_join, stored
+from toplist.llm.common import salted, spread, stored
 from toplist.llm.components import components
 from toplist.llm.shingles import set_mapper
 
@@ -44,7 +45,7 @@ SHARED = 3
 ROWS_PER_SLICE = 256
 # Fixed value: marks list values of sketches, apart from those of whole sets.
 SKETCH_MARK = 0x5851F42D4C957F2D
-# Documents looked up by broadcasting their keys (8 bytes each); more are looked up by a shuffle join.
+# Documents or sets looked up by broadcasting their keys (8 bytes each); more are looked up by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -151,10 +152,14 @@ class _Job:
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch allows the threshold; ``sure`` where both sets were held whole."""
         held = self.nodes.select("node", "n_shingles", "shingles")
+        # The sets are wide: only those of the pairs are shuffled, and each pair's once.
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if wanted.count() <= BROADCAST_KEYS:
+            held = held.join(F.broadcast(wanted), "node", "left_semi")
         side = lambda x: held.select(
             F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("shingles").alias("s" + x)
         )
-        both = salted_join(pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE, counted=pairs)
+        both = self._both(pairs, side)
         k, o = self.sketch_size, shared_at_least(self.sketch_size, self.percent)
         sure = (F.col("na") <= self.whole_size) & (F.col("nb") <= self.whole_size)
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -164,6 +169,11 @@ class _Job:
         likely = F.size(F.array_intersect(F.array_intersect(a, b), union)) >= o
         return both.where(F.when(sure, exact).otherwise(likely)).select("a", "b", sure.alias("sure"))
 
+    def _both(self, pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+        """The pairs with the columns of both sides; they are dealt out before they carry any."""
+        dealt, slices = salted(pairs, "a", ROWS_PER_SLICE)
+        return dealt.join(side("b"), "b").join(spread(side("a"), slices, "a"), ["a", "_salt"]).drop("_salt")
+
     def sets(self, pairs: DataFrame) -> DataFrame:
         """``node, full``: the whole shingle sets of the nodes in the pairs, read from their texts again."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -190,7 +200,7 @@ class _Job:
         open_pairs = pairs.where("not sure").select("a", "b")
         sets = self.sets(open_pairs)
         side = lambda x: sets.select(F.col("node").alias(x), F.col("full").alias("f" + x))
-        both = salted_join(open_pairs.join(side("b"), "b"), side("a"), "a", ROWS_PER_SLICE, counted=open_pairs)
+        both = self._both(open_pairs, side)
         shared = F.size(F.array_intersect("fa", "fb"))
         union = F.size("fa") + F.size("fb") - shared
         confirmed = both.where(100 * shared >= self.percent * union).select("a", "b")
