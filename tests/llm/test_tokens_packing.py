@@ -223,3 +223,19 @@ def test_words_met_again_outlast_those_met_once(file):
         want = chunks.library.library.encode(t, add_special_tokens=False).ids
         assert chunks.encode([t])[0].tolist() == want
     assert not {"often", "seen"} & set(chunks.library.words)
+
+
+def test_a_tokenizer_without_case_and_white_space_is_asked_once_for_a_word():
+    chunks = ChunkTokenizer(public_tokenizers.path(FILES[1]))
+    texts = ["the word\nÉTAT, état", "THE Word,  éTat\r\nword. état! tHe", "\tWORD\x0bthe\x0cÉtat", "", ",", "é,", "×, ÷.", " \n"]
+    want = [LIBRARY[FILES[1]].encode(t, add_special_tokens=False).ids for t in texts]
+    chunks.library = Asked(chunks.library)
+    assert [x.tolist() for x in chunks.encode(texts)] == want
+    assert sorted(w for w in chunks.library.words if w.isalpha()) == ["the", "word", "é", "état"]
+
+
+def test_characters_that_change_beyond_their_case_equal_the_library():
+    codes = [*range(0x250), *range(0x2000, 0x2080), 0x20AC, 0x2126, 0x212A, 0x212B, 0x300, 0x301, 0x307, 0x30C, 0x3A3, 0x95C]
+    texts = [f"A{chr(c)}b, {chr(c)},J{chr(c)} '{chr(c)}s <|EndOfText|>{chr(c)}"[: 16 + 18 * (c % 2)] for c in codes]
+    want = [LIBRARY[FILES[1]].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ChunkTokenizer(public_tokenizers.path(FILES[1])).encode(texts)] == want
