@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from pathlib import Path
 
 import pytest
 from conftest import write_tree
+from pyspark.sql import functions as F
 
+from toplist.operators import refresh
 from toplist.operators.index import build_search_index, read_index
 from toplist.operators.refresh import read_manifest, refresh_search_index
 from toplist.session import scratch_dir
+from toplist.sources.tree_writer import write_csv_tree
 
 HEADER = "date,this_week,artist,song,last_week\n"
 
@@ -125,3 +129,29 @@ def test_manifest_and_failed_refresh(spark, tree):
     full = scratch_dir(spark, "index")
     build_search_index(spark, str(tree), full)
     assert rows(read_index(spark, path)) == rows(read_index(spark, full))
+
+
+def test_full_build_reads_the_tree_once_and_notes_every_part(spark, tmp_path, monkeypatch):
+    days = [("p", "c", "1997-01-04"), ("p", "c", "1998-01-03"), ("q", "d", "1997-01-04"), ("q", "d", None)]
+    rows = [(p, c, "weekly", day, 1, "A", "B") for p, c, day in days]
+    entries = spark.createDataFrame(rows, "provider string, chart string, frequency string, date string, this_week long, artist string, song string")
+    root, path, reads = str(tmp_path / "tree"), str(tmp_path / "index"), []
+    write_csv_tree(entries.withColumn("date", F.to_date("date")), root)
+    read = refresh.read_files
+    monkeypatch.setattr(refresh, "read_files", lambda *a, **k: reads.append(a) or read(*a, **k))
+    refresh.refresh_search_index(spark, root, path)
+    assert len(reads) == 1
+    found = {r["file"]: [tuple(x) for x in r["parts"]] for r in refresh.read_manifest(spark, path).collect()}
+    assert found == {
+        "p/c/1997.csv": [("p", 1997)], "p/c/1998.csv": [("p", 1998)], "q/d/1997.csv": [("q", 1997)], "q/d/undated.csv": [("q", None)],
+    }
+
+
+def test_full_build_of_files_without_rows(spark, tmp_path):
+    root, path = tmp_path / "tree", str(tmp_path / "index")
+    (root / "p" / "c").mkdir(parents=True)
+    (root / "p" / "c" / "1997.csv").write_text("date,this_week,artist,song\n")
+    chart = {"name": "c", "folder": "c", "prefix": "c", "frequency": "weekly", "start_date": "", "fields": ["date", "this_week", "artist", "song"]}
+    (root / "p" / "p-metadata.json").write_text(json.dumps({"name": "p", "prefix": "p", "charts": [chart]}))
+    assert refresh.refresh_search_index(spark, str(root), path).full
+    assert [(r["file"], r["parts"]) for r in refresh.read_manifest(spark, path).collect()] == [("p/c/1997.csv", None)]

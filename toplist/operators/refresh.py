@@ -14,8 +14,10 @@ went to.  A refresh compares it with the tree as it is now:
 * last, the new manifest is written.  A refresh that dies half-way left the old
   one in place, so the next one does the same directories again.
 
-What is brought to the driver is catalog metadata: names of changed files and
-affected directories.
+A first build reads the tree once and notes each file's directories in the same pass.
+
+What is brought to the driver is catalog metadata: names of changed files,
+affected directories, and in a first build the directories of every file.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,10 +132,17 @@ def refresh_search_index(
     index = Folder(spark, path.rstrip("/"))
     if old is None or not index.names():
         names = [r["file"] for r in now.select("file").collect()]
-        build_index(read_files(spark, root, files, multi_line).drop("_file"), path)
-        manifest = now.join(_checksums(spark, root, names), "file", "left").join(
-            _parts_of(read_files(spark, root, files, multi_line)), "file", "left"
-        )
+        # The rows are read once: what a file's rows belong to is noted as they pass (a few values per file).
+        seen = Observation("refresh-parts")
+        pairs = F.collect_set(F.struct(F.col("_file"), "provider", F.year("date").alias("year"))).alias("pairs")
+        build_index(read_files(spark, root, files, multi_line).observe(seen, pairs).drop("_file"), path)
+        # Without any row, and so without directories, nothing is noted.
+        noted = seen.get["pairs"] if any("=" in n for n in index.names()) else []
+        parts = spark.createDataFrame(
+            [(r["_file"], (r["provider"], r["year"])) for r in noted],
+            T.StructType([MANIFEST_SCHEMA["file"], T.StructField("part", PARTITION)]),
+        ).groupBy("file").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        manifest = now.join(_checksums(spark, root, names), "file", "left").join(parts, "file", "left")
         _write_manifest(manifest, path)
         return Refresh(full=True, changed=sorted(names))
 
